@@ -15,6 +15,7 @@ from cohort import fixed_values as fv
 from cohort.functions import exprs as X
 from cohort.functions.exprs import col
 from cohort.functions.quantiles import exact_quantiles
+from cohort.session import written
 
 # more labels than this are never gathered into one array or map
 MAX_LABELS = 10_000
@@ -72,6 +73,10 @@ class Dataset:
         """Whether the labels of a group column are few enough for one array or map."""
         return self.labels.get(column, MAX_LABELS + 1) <= MAX_LABELS
 
+    def materialised(self) -> "Dataset":
+        """The same rows written once to the shared folder, for several queries over an input that is dear to compute."""
+        return self.with_df(written(self.df, "dataset"))
+
     def with_df(self, df: DataFrame) -> "Dataset":
         """The same dataset over another frame with the same columns, such as a persisted or written one."""
         return replace(self, df=df)
