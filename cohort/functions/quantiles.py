@@ -94,13 +94,22 @@ def _finish(df: DataFrame, targets: list[_Target]) -> list[float]:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = DISTINCT_LIMIT
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = DISTINCT_LIMIT,
+    known: Mapping[str, tuple[int, int]] | None = None,
 ) -> Mapping[str, list[float | None]]:
-    """Linear-interpolated quantiles of several columns; None for a column without values."""
+    """Linear-interpolated quantiles of several columns; None for a column without values.
+
+    known gives the number of present values and the approximate number of distinct values per column and saves the
+    pass that counts them.
+    """
     targets = [_Target(c, p) for c in columns for p in probs]
     if not targets:
         return {}
-    _count(df, targets)
+    if known is None:
+        _count(df, targets)
+    else:
+        for t in targets:
+            t.inside, t.distinct = known[t.column]
     for t in targets:
         t.rank = t.prob * (t.inside - 1)
     todo = [t for t in targets if t.inside]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -81,20 +82,26 @@ def train(
         *[col(c).cast("double").alias(n) for c, n in zip(features, names)],
         col(target).cast("double").alias("__label"), F.coalesce(test_rows, F.lit(False)).alias("__test"),
     ).dropna()
-    if rows.count() < fv.MIN_TRAIN_ROWS:
-        return None
-    pipeline = Pipeline(stages=[
-        VectorAssembler(inputCols=names, outputCol="__raw"),
-        StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
-        # the normal equations need one pass and a matrix of the size of the features
-        LinearRegression(featuresCol="__scaled", labelCol="__label", predictionCol="__prediction", solver="normal"),
-    ]).fit(rows.where(~F.col("__test")))
-    scored = pipeline.transform(rows).select("__test", "__label", "__prediction")
-    return ScoreModel(pipeline, tuple(features), target, _metrics(scored))
+    # counting, scaling, fitting and measuring read the same few columns
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if rows.count() < fv.MIN_TRAIN_ROWS:
+            return None
+        pipeline = Pipeline(stages=[
+            VectorAssembler(inputCols=names, outputCol="__raw"),
+            StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
+            # the normal equations need one pass and a matrix of the size of the features
+            LinearRegression(featuresCol="__scaled", labelCol="__label", predictionCol="__prediction", solver="normal"),
+        ]).fit(rows.where(~F.col("__test")))
+        measured = _metrics(pipeline.transform(rows))
+        metrics = ds.df.sparkSession.createDataFrame(measured.collect(), measured.schema)
+    finally:
+        rows.unpersist()
+    return ScoreModel(pipeline, tuple(features), target, metrics)
 
 
 def _metrics(scored: DataFrame) -> DataFrame:
-    """R2 and mean absolute error on the test rows, and both sample counts, from one aggregate."""
+    """One row: R2 and mean absolute error on the test rows, and both sample counts, from one aggregate."""
     label = F.when(F.col("__test"), F.col("__label"))
     error = label - F.col("__prediction")
     spread = F.var_pop(label) * F.count(label)

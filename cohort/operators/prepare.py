@@ -35,6 +35,7 @@ class Dataset:
     n_rows: int
     ranges: Mapping[str, tuple[float, float]] = field(default_factory=dict)
     labels: Mapping[str, int] = field(default_factory=dict)     # approximate distinct counts of group columns
+    distinct: Mapping[str, int] = field(default_factory=dict)   # the same for numeric columns
     derived: tuple[str, ...] = ()                               # columns that preparation added
 
     @property
@@ -143,7 +144,10 @@ def _profile(df: DataFrame, group_cols: Sequence[str]) -> Mapping[str, object]:
             aggs.append(F.count_if(is_integer_text(c)).alias(f"whole_{i}"))
             c = numeric_text(c)
         if not isinstance(f.dataType, T.BooleanType):
-            aggs += [F.count(c).alias(f"numbers_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}")]
+            aggs += [
+                F.count(c).alias(f"numbers_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"),
+                F.approx_count_distinct(c).alias(f"distinct_{i}"),
+            ]
         if f.name in group_cols:
             aggs.append(F.approx_count_distinct(col(f.name)).alias(f"labels_{i}"))
     return df.agg(*aggs).first().asDict()
@@ -186,7 +190,8 @@ def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = Fa
         row = df.agg(*[F.percentile_approx(col(c), 0.5).alias(str(i)) for i, c in enumerate(missing)]).first()
         medians = dict(zip(missing, row))
     else:
-        medians = {c: q[0] for c, q in exact_quantiles(df, missing, [0.5]).items()}
+        known = {c: (found[f"numbers_{i}"], found[f"distinct_{i}"]) for i, c in enumerate(names) if c in missing}
+        medians = {c: q[0] for c, q in exact_quantiles(df, missing, [0.5], known=known).items()}
     filled = []
     for f in df.schema.fields:
         c = col(f.name)
@@ -215,7 +220,9 @@ def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = Fa
         df = df.withColumn("Grade", X.grade(F.col("Average").try_cast("double")))
         labels["Grade"] = len(fv.GRADE_ORDER)
     numeric_cols += [c for c in derived if c != "Grade"]
-    return Dataset(df, roles, subjects, tuple(numeric_cols), n_rows, ranges, labels, derived)
+    # a filled-in median adds at most one value
+    distinct = {names[i]: found[f"distinct_{i}"] + 1 for i in numbers if names[i] in ranges}
+    return Dataset(df, roles, subjects, tuple(numeric_cols), n_rows, ranges, labels, distinct, derived)
 
 
 def column_mapping(ds: Dataset) -> DataFrame:

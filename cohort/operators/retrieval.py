@@ -49,11 +49,13 @@ def row_chunks(ds: Dataset, key: str | None = None) -> DataFrame:
         parts.append(F.concat(F.lit("Attendance: "), col(ds.attendance).cast("string"), F.lit("%")))
     shown = [*ds.subjects, *[c for c in ("Average", "Grade") if c in ds.df.columns]]
     parts += [F.concat(F.lit(f"{c}: "), col(c).cast("string")) for c in shown]
+    # every part starts with a label and preparation leaves no gap, so a text is empty only when there are no parts
     text = F.concat_ws(" | ", *parts)
     key = key or ds.roll
     number = col(key).cast("string") if key else F.monotonically_increasing_id().cast("string")
     rows = ds.df.select(F.concat(F.lit("row:"), number).alias("chunk_id"), F.lit("row").alias("kind"), text.alias("text"))
-    rows = rows.where(F.trim("text") != "")
+    if not parts:
+        return rows.limit(0)
     return rows if key else written(rows, "chunks")
 
 
@@ -232,11 +234,12 @@ def _keyword_join(chunks: DataFrame, asked: DataFrame) -> DataFrame:
 def _padded(best: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # among the k lowest ids enough are unmatched for any query with fewer than k matches
     lowest = chunks.select("chunk_id").orderBy("chunk_id").limit(k).agg(F.collect_list("chunk_id")).scalar()
-    filler = queries.select("query_id", lowest.alias("lowest")).select("query_id", F.explode("lowest").alias("chunk_id"))
-    filler = filler.join(best, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0).cast("long"))
-    return _best(best.drop("rank").unionByName(filler), k, F.desc("score")).select(
-        "query_id", "rank", "chunk_id", "score"
+    filler = queries.select("query_id", lowest.alias("lowest")).select(
+        "query_id", F.explode("lowest").alias("chunk_id"), F.lit(0).cast("long").alias("score")
     )
+    # a filler that is a match as well keeps the score of the match
+    both = best.drop("rank").unionByName(filler).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return _best(both, k, F.desc("score")).select("query_id", "rank", "chunk_id", "score")
 
 
 # Dense vectors -------------------------------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from cohort.operators import reports as R
 from cohort.operators import retrieval as V
 from cohort.plans import questions as Q
 from cohort.plans.tables import gradebook, mixed_text, prepared_gradebook, table
-from cohort.session import shared_folder
+from cohort.session import shared_folder, spread
 from cohort.sources import cleaning, writers
 from cohort.sources.readers import load_table
 from cohort.streaming import buffers
@@ -47,7 +47,8 @@ def _one_feature(spark: SparkSession, sf_dir: str) -> M.ScoreModel:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    # tokenising is the dear part, so a small scan is spread over the cores first
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:

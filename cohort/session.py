@@ -16,6 +16,8 @@ def local_session(cores: int = 8, name: str = "cohort", **conf) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # keep all cores busy on shuffles that are small for a cluster
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -42,3 +44,12 @@ def written(df: DataFrame, purpose: str = "table") -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, spread over all cores; any larger scan as it is.
+
+    The rows that move are then less than one split per core, whatever the size of the cluster.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
