@@ -1,7 +1,7 @@
 """Exact quantiles without gathering a column in one task.
 
 Every (column, probability) pair is one target with a bracket [low, high] that holds its order statistics. While a
-bracket holds too many distinct values, a round narrows it: each of SALTS random parts of the rows computes a grid of
+bracket holds too many distinct values, a round narrows it: each of up to SALTS random parts of the rows computes a grid of
 approximate percentiles, and the smallest and largest grid values over the parts enclose the true quantile. When the
 bracket is small, its (value, count) table - pre-aggregated before the shuffle, at most `limit` rows per target - gives
 the exact answer from running counts.
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohort.functions.exprs import col
 
 SALTS = 64
-GRID = 256
+PART_ROWS = 100_000
+GRID = 100
 DISTINCT_LIMIT = 500_000
 
 
@@ -57,20 +58,22 @@ def _long(df: DataFrame, targets: list[_Target]) -> DataFrame:
 
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
-    grid = [i / GRID for i in range(GRID + 1)]
-    salted = _long(df, targets).withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int"))
-    parts = salted.groupBy("target", "salt").agg(F.percentile_approx("value", grid, GRID * 8).alias("grid"))
-    # one row per target: the extremes over the parts of every grid point
-    exprs = [F.min(F.col("grid")[i]).alias(f"min_{i}") for i in range(GRID + 1)]
-    exprs += [F.max(F.col("grid")[i]).alias(f"max_{i}") for i in range(GRID + 1)]
-    for row in parts.groupBy("target").agg(*exprs).collect():
-        t = targets[row["target"]]
+    # a part has enough rows for a sharp grid, and the parts are merged in parallel
+    salts = min(SALTS, 1 + max(t.inside for t in targets) // PART_ROWS)
+    salted = _long(df, targets).withColumn("salt", F.floor(F.rand(7) * salts).cast("int"))
+    shares = [i / GRID for i in range(GRID + 1)]
+    parts = salted.groupBy("target", "salt").agg(F.percentile_approx("value", shares, GRID * 10).alias("grid"))
+    points = parts.select("target", F.posexplode("grid").alias("point", "value"))
+    # a short table: GRID + 1 rows per target
+    extremes = points.groupBy("target", "point").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    grid = {(r["target"], r["point"]): (r["low"], r["high"]) for r in extremes}
+    for i, t in enumerate(targets):
         share = (t.rank - t.below) / max(t.inside - 1, 1)
         lower, upper = math.floor(share * GRID) - 1, math.ceil(share * GRID) + 1
         if lower > 0:
-            t.low = max(t.low, row[f"min_{lower}"])
+            t.low = max(t.low, grid[i, lower][0])
         if upper < GRID:
-            t.high = min(t.high, row[f"max_{upper}"])
+            t.high = min(t.high, grid[i, upper][1])
 
 
 def _finish(df: DataFrame, targets: list[_Target]) -> list[float]:

@@ -16,8 +16,12 @@ from cohort.operators.prepare import Dataset
 
 COLUMNS = ["conv_id", "turn", "role", "text"]
 
-def _is_system() -> Column:
-    return F.coalesce(F.col("role") == "system", F.lit(False))
+def _system(messages: DataFrame) -> DataFrame:
+    return messages.where(F.col("role") == "system").select(*COLUMNS)
+
+
+def _not_system(messages: DataFrame) -> DataFrame:
+    return messages.where(F.col("role").isNull() | (F.col("role") != "system")).select(*COLUMNS)
 
 
 def _last(messages: DataFrame, n: int) -> DataFrame:
@@ -25,26 +29,38 @@ def _last(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= n)
 
 
+def _first_system(messages: DataFrame) -> DataFrame:
+    """The first system message of every conversation that has one."""
+    oldest = Window.partitionBy("conv_id").orderBy("turn")
+    return _system(messages).withColumn("place", F.row_number().over(oldest)).where(F.col("place") == 1).drop("place")
+
+
 def _leading_system(messages: DataFrame) -> DataFrame:
     """The system message of every conversation that starts with one."""
-    oldest = Window.partitionBy("conv_id").orderBy("turn")
-    system = messages.where(_is_system()).select(*COLUMNS)
-    first_system = system.withColumn("place", F.row_number().over(oldest)).where(F.col("place") == 1).drop("place")
     starts = messages.groupBy("conv_id").agg(F.min("turn").alias("start"))
-    return first_system.join(starts, "conv_id").where(F.col("turn") == F.col("start")).select(*COLUMNS)
+    return _first_system(messages).join(starts, "conv_id").where(F.col("turn") == F.col("start")).select(*COLUMNS)
 
 
 def buffer(messages: DataFrame, n: int = fv.BUFFER_MESSAGES) -> DataFrame:
-    """The last n messages of every conversation; a leading system message stays and takes one of the n places."""
+    """What a buffer of n messages holds after a conversation.
+
+    The buffer drops its oldest message when it is full, but never a system message that has become its oldest. So the
+    first system message stays in one of the n places, the last messages fill the others.
+    """
     if n < 2:
         raise ValueError("A buffer needs at least 2 places.")
-    head = _leading_system(messages)
-    kept = _last(messages.select(*COLUMNS), n).join(
-        head.select("conv_id", F.col("turn").alias("head_turn")), "conv_id", "left"
+    last = _last(messages.select(*COLUMNS), n)
+    head = _first_system(messages).withColumn("back", F.lit(None).cast("int"))
+    # at most n + 1 candidates per conversation are left
+    whole = Window.partitionBy("conv_id")
+    candidates = last.unionByName(head).select(
+        "*",
+        F.max(F.when(F.col("back") == n, F.col("turn"))).over(whole).alias("oldest"),
+        F.max(F.when(F.col("back").isNull(), F.col("turn"))).over(whole).alias("head"),
     )
-    has_head = F.col("head_turn").isNotNull()
-    others = kept.where(~has_head | ((F.col("back") <= n - 1) & (F.col("turn") != F.col("head_turn"))))
-    return others.select(*COLUMNS).unionByName(head)
+    displaced = F.coalesce(F.col("head") < F.col("oldest"), F.lit(False))
+    kept = F.when(F.col("back").isNull(), displaced).otherwise((F.col("back") < n) | ~displaced)
+    return candidates.where(kept).select(*COLUMNS)
 
 
 def set_system(messages: DataFrame, system: str | DataFrame) -> DataFrame:
@@ -62,10 +78,8 @@ def set_system(messages: DataFrame, system: str | DataFrame) -> DataFrame:
         "conv_id", F.coalesce(F.col("head_turn"), F.col("start") - 1).alias("turn"),
         F.lit("system").alias("role"), F.col("new_text").alias("text"),
     )
-    rows = messages.select(*COLUMNS)
-    old_system = rows.where(_is_system()).join(fresh.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
-    others = rows.where(~_is_system())
-    return others.unionByName(old_system.select(*COLUMNS)).unionByName(fresh)
+    old_system = _system(messages).join(fresh.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    return _not_system(messages).unionByName(old_system.select(*COLUMNS)).unionByName(fresh)
 
 
 def in_order(messages: DataFrame) -> DataFrame:
@@ -75,12 +89,12 @@ def in_order(messages: DataFrame) -> DataFrame:
 
 def history(messages: DataFrame) -> DataFrame:
     """Messages without system messages."""
-    return messages.where(~_is_system()).select(*COLUMNS)
+    return _not_system(messages)
 
 
 def recent(messages: DataFrame, n: int = fv.RECENT_MESSAGES) -> DataFrame:
     """All system messages and the last n other messages, with their place in the result order."""
-    system = messages.where(_is_system()).select(*COLUMNS, F.lit(0).alias("part"))
+    system = _system(messages).withColumn("part", F.lit(0))
     last = _last(history(messages), n).select(*COLUMNS, F.lit(1).alias("part"))
     return system.unionByName(last)
 
@@ -99,14 +113,14 @@ def _texts(order: str, text: str) -> Column:
 
 def clear(messages: DataFrame, system: str | DataFrame | None = None) -> DataFrame:
     """Drop everything but system messages; with a text, set it as the system message afterwards."""
-    kept = messages.where(_is_system()).select(*COLUMNS)
+    kept = _system(messages)
     return kept if system is None else set_system(kept, system)
 
 
 def history_counts(messages: DataFrame) -> DataFrame:
     """Messages per conversation, all and without system messages."""
     return messages.groupBy("conv_id").agg(
-        F.count("*").alias("messages"), F.count_if(~_is_system()).alias("history"),
+        F.count("*").alias("messages"), F.count_if(F.col("role").isNull() | (F.col("role") != "system")).alias("history"),
     )
 
 

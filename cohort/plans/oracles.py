@@ -236,11 +236,15 @@ heads AS (
 
 
 def kept(n: int) -> str:
-    return f"""WITH {HEADS}
-SELECT conv_id, turn, role, text FROM (
-  SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) AS back, l.turn AS head_turn
-  FROM conversations c LEFT JOIN heads l ON c.conv_id = l.conv_id)
-WHERE CASE WHEN head_turn IS NULL THEN back <= {n} ELSE back <= {n} - 1 OR turn = head_turn END"""
+    """The last n messages, or the first system message and the last n - 1."""
+    return f"""
+WITH ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back,
+         min(turn) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id) AS head
+  FROM conversations),
+placed AS (SELECT *, max(turn) FILTER (WHERE back = {n}) OVER (PARTITION BY conv_id) AS oldest FROM ranked)
+SELECT conv_id, turn, role, text FROM placed
+WHERE CASE WHEN head < oldest THEN back < {n} OR turn = head ELSE back <= {n} END"""
 
 
 DOCUMENTS_BY_INTENT = f"""

@@ -129,6 +129,8 @@ def _read_json(spark: SparkSession, path: str, orient: str | None) -> DataFrame:
     start = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
     if start is None:
         raise ValueError("The file appears to be empty.")
+    if start[0] not in "[{":
+        raise ValueError("Cannot interpret JSON structure as a table.")
     orient = orient or ("records" if start[0] == "[" else "columns")
     if orient == "records":
         df = spark.read.json(path, multiLine=True, mode="FAILFAST")

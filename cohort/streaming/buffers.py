@@ -17,19 +17,29 @@ MESSAGES = f"array<{MESSAGE}>"
 
 
 def _reduced(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """Keep what a buffer can need from each batch: the first message and the last n of every conversation."""
+    """Keep what a buffer can need from each batch: the first system message and the last n of every conversation."""
     for batch in batches:
         ordered = batch.sort_values(["conv_id", "turn"], kind="stable")
-        groups = ordered.groupby("conv_id", sort=False)
-        size, place = groups["turn"].transform("size"), groups.cumcount()
-        yield ordered[(place == 0) | (place >= size - n)]
+        back = ordered.groupby("conv_id", sort=False).cumcount(ascending=False)
+        system = ordered["role"] == "system"
+        first = system & (ordered["turn"] == ordered["turn"].where(system).groupby(ordered["conv_id"]).transform("min"))
+        yield ordered[(back < n) | first]
+
+
+def _held(known: dict[int, tuple[str, str]], n: int) -> tuple[list[int], list[int]]:
+    """Turns to remember, and turns in the buffer: the last n, or the first system message and the last n - 1."""
+    last = sorted(known)[-n:]
+    head = min((t for t, (role, _) in known.items() if role == "system"), default=None)
+    if head is None or head >= last[0]:
+        return last, last
+    return [head, *last], [head, *(last[1:] if len(last) == n else last)]
 
 
 def buffer_stream(messages: DataFrame, n: int = fv.BUFFER_MESSAGES) -> DataFrame:
     """After every micro-batch the current buffer of the conversations it touched: conv_id, seen, messages.
 
-    The state of a conversation is its first message and its last n others by turn, so late messages find their place
-    and the state stays bounded. Batches are reduced before the shuffle, which takes the weight off a busy
+    The state of a conversation is its first system message and its last n messages by turn, so late messages find
+    their place and the state stays bounded. Batches are reduced before the shuffle, which takes the weight off a busy
     conversation. seen counts updates of the state, so the buffer with the highest seen is the current one.
     """
     if n < 2:
@@ -45,12 +55,9 @@ def buffer_stream(messages: DataFrame, n: int = fv.BUFFER_MESSAGES) -> DataFrame
         known = {t: (r, x) for t, r, x in zip(turns, roles, texts)}
         for frame in frames:
             known.update({int(t): (r, x) for t, r, x in zip(frame["turn"], frame["role"], frame["text"])})
-            kept = sorted(known)
-            known = {t: known[t] for t in dict.fromkeys([kept[0], *kept[-n:]])}
-        order = sorted(known)
-        state.update((order, [known[t][0] for t in order], [known[t][1] for t in order], seen + 1))
-        lead = order[:1] if known[order[0]][0] == "system" else []
-        shown = lead + [t for t in order if t not in lead][-(n - len(lead)):]
+            known = {t: known[t] for t in _held(known, n)[0]}
+        kept, shown = _held(known, n)
+        state.update((kept, [known[t][0] for t in kept], [known[t][1] for t in kept], seen + 1))
         rows = [{"turn": t, "role": known[t][0], "text": known[t][1]} for t in shown]
         yield pd.DataFrame({"conv_id": [key[0]], "seen": [seen + 1], "messages": [rows]})
 

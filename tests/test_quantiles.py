@@ -10,7 +10,7 @@ def frame(spark, values):
     return spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [20, 500_000])
+@pytest.mark.parametrize("limit", [150, 500_000])
 @pytest.mark.parametrize("kind", ["uniform", "one hot value", "outliers", "few"])
 def test_against_numpy(spark, kind, limit):
     rng = np.random.default_rng(3)
