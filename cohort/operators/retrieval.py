@@ -7,6 +7,7 @@ best rows per query before the final shuffle.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,7 @@ MAX_KEYWORDS = 2_000            # query words that are tested one by one inside
 BROADCAST_NUMBERS = 4_000_000   # numbers of all query vectors together that are sent to every executor
 CELL_ROWS = 50_000              # vectors per cell of the grid
 BROADCAST_ROWS = 1_000_000      # ranked rows that are sent to every executor
+LARGE_SAMPLE = 20               # a corpus of so many times the sample is cut down by a bound first
 SALTS = 32
 SCORE_PLACES = 9                # scores are compared at this precision, so exact copies of a chunk tie
 
@@ -77,8 +79,20 @@ def group_chunks(ds: Dataset) -> DataFrame:
 
 
 def sample_rows(chunks: DataFrame, n: int = fv.MAX_SAMPLE, seed: int = fv.SAMPLE_SEED) -> DataFrame:
-    """A seeded sample of at most n chunks without replacement, the same under any partitioning."""
-    return chunks.orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id").limit(n)
+    """A seeded sample of at most n chunks without replacement, the same under any partitioning.
+
+    The n lowest hashes win. Over a large corpus only hashes below a bound can win, so tasks hand on few rows; the bound
+    is used only after a count has shown that enough rows lie below it.
+    """
+    place = F.xxhash64("chunk_id", F.lit(seed))
+    rows = chunks
+    total = chunks.count()
+    if total > LARGE_SAMPLE * n:
+        share = (n + 10 * math.sqrt(n) + 10) / total
+        low = chunks.where(place < F.lit(int((share * 2 - 1) * 2**63)))
+        if not _at_most(low, n - 1):
+            rows = low
+    return rows.orderBy(place, "chunk_id").limit(n)
 
 
 def chunk_corpus(ds: Dataset, key: str | None = None, max_rows: int | None = None) -> DataFrame:
