@@ -8,10 +8,12 @@ best rows per query before the final shuffle.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,6 +25,9 @@ from cohort.operators.prepare import Dataset
 from cohort.operators.reports import _in_department
 from cohort.session import written
 
+# functions that run in Python workers travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_TERMS = 200_000       # query terms that are sent to every executor
 MANY_QUERIES = 64               # from here on, clustering the chunk vectors is cheaper than shuffling scored pairs
 MAX_KEYWORDS = 2_000            # query words that are tested one by one inside a chunk

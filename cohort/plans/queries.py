@@ -16,7 +16,7 @@ from cohort.operators import reports as R
 from cohort.operators import retrieval as V
 from cohort.plans import questions as Q
 from cohort.plans.tables import gradebook, mixed_text, prepared_gradebook, table
-from cohort.session import shared_folder, spread
+from cohort.session import shared_folder, spread, written
 from cohort.sources import cleaning, writers
 from cohort.sources.readers import load_table
 from cohort.streaming import buffers
@@ -493,10 +493,11 @@ def route_intents(spark, sf_dir):
 
 @query
 def answers(spark, sf_dir):
-    # six reports, the vocabulary and the retrieval read the same rows: compute them once
+    # six reports, the vocabulary and the retrieval read the same rows and questions: compute them once
     ds = _ds(spark, sf_dir).materialised()
+    questions = written(Q.asked_questions(spark, sf_dir), "questions")
     chunks = V.chunk_corpus(ds).select("chunk_id", "text")
-    return H.answers(Q.asked_questions(spark, sf_dir), ds, chunks, V.tfidf_index(chunks))
+    return H.answers(questions, ds, chunks, V.tfidf_index(chunks))
 
 
 @query

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cohort import fixed_values as fv
 from cohort.session import shared_folder
 
+# functions that run in Python workers travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MESSAGE = "struct<turn: bigint, role: string, text: string>"
 MESSAGES = f"array<{MESSAGE}>"
 
