@@ -143,11 +143,12 @@ def _profile(df: DataFrame, group_cols: Sequence[str]) -> Mapping[str, object]:
         if isinstance(f.dataType, T.StringType):
             aggs.append(F.count_if(is_integer_text(c)).alias(f"whole_{i}"))
             c = numeric_text(c)
-        if not isinstance(f.dataType, T.BooleanType):
-            aggs += [
-                F.count(c).alias(f"numbers_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"),
-                F.approx_count_distinct(c).alias(f"distinct_{i}"),
-            ]
+        elif isinstance(f.dataType, T.BooleanType):
+            c = c.cast("double")
+        aggs += [
+            F.count(c).alias(f"numbers_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"),
+            F.approx_count_distinct(c).alias(f"distinct_{i}"),
+        ]
         if f.name in group_cols:
             aggs.append(F.approx_count_distinct(col(f.name)).alias(f"labels_{i}"))
     return df.agg(*aggs).first().asDict()
@@ -175,6 +176,13 @@ def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = Fa
             if n_rows and found[f"numbers_{i}"] / n_rows > fv.NUMERIC_SHARE:
                 c = F.trim(c).try_cast("long") if found[f"whole_{i}"] == n_rows else numeric_text(c)
                 numbers.append(i)
+        elif isinstance(f.dataType, T.BooleanType):
+            # without a gap a boolean stays; with gaps it is a number or a text, like any other mixed column
+            if n_rows and fv.NUMERIC_SHARE < found[f"present_{i}"] / n_rows < 1:
+                c = c.cast("double")
+                numbers.append(i)
+            elif found[f"present_{i}"] < n_rows:
+                c = F.initcap(c.cast("string"))
         elif _is_number(f):
             c = c if found[f"present_{i}"] == n_rows else c.cast("double")
             numbers.append(i)

@@ -45,7 +45,7 @@ def drop_blank(df: DataFrame) -> DataFrame:
 def typed_from_text(df: DataFrame) -> DataFrame:
     """Type text columns whose values all parse, and drop blank rows and columns; one counting pass.
 
-    Whole numbers without a gap become long, other numbers double, true/false without a gap boolean.
+    Whole numbers without a gap become long, other numbers double, true/false boolean.
     """
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(df.columns):
@@ -69,7 +69,7 @@ def typed_from_text(df: DataFrame) -> DataFrame:
             value = F.trim(value).try_cast("long")
         elif found[f"numbers_{i}"] == present:
             value = numeric_text(value)
-        elif found[f"booleans_{i}"] == rows:
+        elif found[f"booleans_{i}"] == present:
             value = value.try_cast("boolean")
         out.append(value.alias(c))
     if not out:

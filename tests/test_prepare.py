@@ -47,9 +47,11 @@ def test_approximate_median_stays_within_the_values(spark):
     assert values(ds, "algebra")[1] == 2.0
 
 
-def test_booleans_are_left_alone(spark):
-    ds = P.prepare(one(spark, "ok boolean, algebra long", [(True, 1), (None, 2)]))
-    assert values(ds, "ok") == [True, None] and ds.subjects == ("algebra",)
+def test_booleans(spark):
+    rows = [(i, True, None if i == 7 else i != 0, None if i else True) for i in range(8)]
+    ds = P.prepare(one(spark, "algebra long, full boolean, most boolean, few boolean", rows))
+    assert dict(ds.df.dtypes)["full"] == "boolean" and ds.subjects == ("algebra", "most")
+    assert values(ds, "most") == [0.0] + [1.0] * 7 and values(ds, "few") == ["True"] + ["Unknown"] * 7
 
 
 def test_alias_order_and_last_column(spark):

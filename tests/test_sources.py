@@ -26,6 +26,8 @@ def test_types_and_missing_cells(spark, tmp_path):
     text = "n,f,g,t,b,m,e\n1,1,1.5,x,true,NA,\n2,,2.5,NULL,False,n/a,\n3,3,1e3,z,TRUE,q,\n"
     df = load(spark, tmp_path / "types.csv", text)
     assert dict(df.dtypes) == {"n": "bigint", "f": "double", "g": "double", "t": "string", "b": "boolean", "m": "string"}
+    gaps = load(spark, tmp_path / "gaps.csv", "n,b\n1,True\n2,\n")
+    assert dict(gaps.dtypes)["b"] == "boolean"
     assert [r["m"] for r in df.orderBy("n").collect()] == [None, None, "q"]
 
 
