@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm import fertility, license_templates, line_dedup, simhash
+from cohort.llm import bpe, fertility, license_templates, line_dedup, simhash, token_records
 from cohort.plans.tables import table
+from cohort.session import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,6 +22,16 @@ def _documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query
+def op1_token_records(spark, sf_dir):
+    return token_records.token_digests(_documents(spark, sf_dir), shared_folder(spark, "records"))
+
+
+@query
+def op3_bpe(spark, sf_dir):
+    return bpe.digests(_documents(spark, sf_dir))
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir))
