@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -141,8 +142,9 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
     return tokens.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, with nothing kept but digests.
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY,
+            with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass; with_ids adds the ids.
 
     ids are hashed as decimal numbers joined by spaces. Edge cases as in encode.
     """
@@ -151,19 +153,23 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         plain = tool.whole.decoder is None   # then decoding joins the tokens by spaces, so runs decode by themselves
 
         def forms(runs):
-            return [(len(ids), " ".join(map(str, ids)), " ".join([tool.tokens[i] for i in ids]), ids)[:3 if plain else 4]
+            return [(len(ids), " ".join(map(str, ids)), " ".join([tool.tokens[i] for i in ids]),
+                     np.array(ids, np.int32))[:3 if plain and not with_ids else 4]
                     for ids in tool.encode_runs(runs)]
 
-        memo = once(f"digests {path}", lambda: Memo(forms))
+        memo = once(f"digests {path} {with_ids}", lambda: Memo(forms))
         split = [tool.runs(t.decode()) for t in texts]
         code = memo.codes(split)
-        n, hashed, decoded = [], [], []
+        n, hashed, decoded, ids = [], [], [], []
         for runs in split:
             got = [g for g in map(code, runs) if g[0]]
             n.append(sum([g[0] for g in got]))
             hashed.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
-            text = " ".join([g[2] for g in got]) if plain else tool.decode([i for g in got for i in g[3]])
+            text = " ".join([g[2] for g in got]) if plain else tool.decode([i for g in got for i in g[3].tolist()])
             decoded.append(hashlib.sha256(text.encode()).hexdigest())
-        return [n, hashed, decoded]
+            if with_ids:
+                ids.append(np.concatenate([g[3] for g in got]) if got else [])
+        return [n, hashed, decoded] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
 
-    return map_texts(docs, id_col, text_col, measure, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return map_texts(docs, id_col, text_col, measure, fields)

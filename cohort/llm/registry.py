@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm import bpe, fertility, license_templates, line_dedup, simhash, token_records
+from cohort.llm import bpe, decontaminate, fertility, license_templates, line_dedup, simhash, token_records
 from cohort.plans.tables import table
 from cohort.session import shared_folder
 
@@ -64,6 +64,11 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+@query
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_fertility_rules(spark, sf_dir):
     return fertility.fertility_rules(_documents(spark, sf_dir))
