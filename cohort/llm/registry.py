@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm import bpe, decontaminate, fertility, license_templates, line_dedup, simhash, token_records
+from cohort.llm import (
+    bpe, decontaminate, fertility, html_layout, license_templates, line_dedup, quality_fm, simhash, token_records,
+)
 from cohort.plans.tables import table
 from cohort.session import shared_folder
 
@@ -27,6 +29,11 @@ def op1_token_records(spark, sf_dir):
     return token_records.token_digests(_documents(spark, sf_dir), shared_folder(spark, "records"))
 
 
+@query
+def op2_quality_fm(spark, sf_dir):
+    return quality_fm.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_bpe(spark, sf_dir):
     return bpe.digests(_documents(spark, sf_dir))
@@ -59,6 +66,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op6_html_layout(spark, sf_dir):
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(_documents(spark, sf_dir))
