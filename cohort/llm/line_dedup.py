@@ -37,6 +37,8 @@ def _drops(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars
                                  F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
     shared = (lines.select("h1", "h2", "__id").distinct().groupBy("h1", "h2")
               .agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first")).where(F.col("n") >= min_docs))
+    # read from a table, so that both sides of the join are plain exchanges and AQE can split a line of many documents
+    shared = written(shared.select("h1", "h2", "first"), "shared-lines")
     found = lines.join(shared, ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("first")))
     at = found.groupBy("__id", "__t1", "__t2").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     gaps = F.transform("p", lambda x, i: F.concat(
