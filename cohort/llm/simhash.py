@@ -72,7 +72,9 @@ def near_duplicates(
     joined = roots.join(firsts, "fp")
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = joined.join(smallest, "root").select("fp", "component_id")
-    groups = firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # a table, so that AQE can split a fingerprint of many documents in the last join
+    groups = written(firsts.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "first").alias("component_id")), "groups")
     return prints.join(groups, "fp").select(
         F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
