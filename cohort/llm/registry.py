@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohort.llm import (
-    bpe, decontaminate, fertility, html_layout, license_templates, line_dedup, quality_fm, simhash, token_records,
+    bpe, context_mixing, decontaminate, fertility, html_layout, license_templates, line_dedup, quality_fm, simhash, token_records,
 )
 from cohort.plans.tables import table
 from cohort.session import shared_folder
@@ -39,6 +39,11 @@ def op3_bpe(spark, sf_dir):
     return bpe.digests(_documents(spark, sf_dir))
 
 
+@query
+def op4_context_mixing(spark, sf_dir):
+    return context_mixing.score(_documents(spark, sf_dir))
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir))
