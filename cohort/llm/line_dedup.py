@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohort.llm.common import named
 from cohort.session import written
 
 STRIPPED = " \t\n\v\f\r"
@@ -24,8 +23,8 @@ def _key(line: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
-    return docs.select("*", named(id_col).alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__t1"),
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select("*", F.col(id_col).alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__t1"),
                        F.xxhash64(F.lit(1), text).alias("__t2"))
 
 
@@ -48,32 +47,44 @@ def _drops(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars
                      F.array_join(gaps, "").cast("binary").alias("__mask"))
 
 
-def dedup_lines(
+def _shortened(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
+    """The columns of docs as c0, c1, ..., and __new (the text that is kept), __n (lines before) and __k (dropped lines)."""
+    if min_docs < 2:
+        raise ValueError("min_docs must be at least 2")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    drops = _drops(plain, own_id, own_text, min_docs, min_chars)
+    rows = _rows(plain, own_id, own_text)
+    same = rows["__id"].eqNullSafe(drops["__id"]) & (rows["__t1"] == drops["__t1"]) & (rows["__t2"] == drops["__t2"])
+    both = rows.join(drops.withColumnsRenamed({"__mask": "__m", "__n": "__k"}), same, "left")
+    kept = F.filter(F.split("__text", "\n"),
+                    lambda x, i: F.coalesce(F.substring(F.col("__m"), i + 1, F.lit(1)), F.lit(b"")) != F.lit(b"1"))
+    n_lines = F.char_length("__text") - F.char_length(F.replace(F.col("__text"), F.lit("\n"), F.lit(""))) + 1
+    return both.select(
+        *plain.columns, F.when(F.col("__m").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n")).alias("__new"),
+        n_lines.cast("long").alias("__n"), F.coalesce("__k", F.lit(0)).cast("long").alias("__k"))
+
+
+def line_report(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10
 ) -> DataFrame:
-    """The rows and columns of docs with shortened texts, and n_lines (before) and n_dropped.
+    """(id, text, n_lines, n_dropped) of every row: the text that is kept, its lines before, and how many went.
 
     A line's key is the line without ASCII white space at its ends, with A-Z lower-cased. Keys of at least min_chars
     characters that occur in at least min_docs documents lose all their lines outside the smallest id that holds them.
 
-    A null or empty text is one empty line and stays an empty text. Rows that share an id count as one document, each is
+    A null or empty text is one empty line and gives an empty text. Rows that share an id count as one document, each is
     shortened by itself, and repeated rows stay repeated. A null id is one more document that never is the first. When
-    all lines go, the text is empty. An empty table gives an empty table. Further columns are kept; names that start
-    with two underscores, n_lines and n_dropped are reserved for the operator and raise when docs has them.
+    all lines go, the text is empty. An empty table gives an empty table; further columns are not returned.
     """
-    if min_docs < 2:
-        raise ValueError("min_docs must be at least 2")
-    taken = [c for c in docs.columns if c.startswith("__") or c in ("n_lines", "n_dropped")]
-    if taken:
-        raise ValueError(f"columns {taken} are used by the operator; rename them first")
-    drops = _drops(docs, id_col, text_col, min_docs, min_chars)
-    rows = _rows(docs, id_col, text_col)
-    same = (rows["__id"].eqNullSafe(drops["__id"]) & (rows["__t1"] == drops["__t1"]) & (rows["__t2"] == drops["__t2"]))
-    both = rows.join(drops.withColumnsRenamed({"__mask": "__m", "__n": "__k"}), same, "left")
-    kept = F.filter(F.split("__text", "\n"),
-                    lambda x, i: F.coalesce(F.substring(F.col("__m"), i + 1, F.lit(1)), F.lit(b"")) != F.lit(b"1"))
-    text = F.when(F.col("__m").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.char_length("__text") - F.char_length(F.replace(F.col("__text"), F.lit("\n"), F.lit(""))) + 1
-    return both.select(
-        *[text.alias(c) if c == text_col else rows[f"`{c}`"] for c in docs.columns],
-        n_lines.cast("long").alias("n_lines"), F.coalesce("__k", F.lit(0)).cast("long").alias("n_dropped"))
+    own_id = f"c{docs.columns.index(id_col)}"
+    return _shortened(docs, id_col, text_col, min_docs, min_chars).select(
+        F.col(own_id).alias(id_col), F.col("__new").alias("text"), F.col("__n").alias("n_lines"), F.col("__k").alias("n_dropped"))
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10
+) -> DataFrame:
+    """The rows and columns of docs, with the texts that line_report keeps; null texts become empty."""
+    short = _shortened(docs, id_col, text_col, min_docs, min_chars)
+    return short.select(*[F.col("__new" if c == text_col else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

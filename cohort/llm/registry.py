@@ -46,7 +46,7 @@ def op4_context_mixing(spark, sf_dir):
 
 @query
 def op5_line_dedup(spark, sf_dir):
-    kept = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    kept = line_dedup.line_report(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

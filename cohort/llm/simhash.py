@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from cohort.llm.common import components, map_texts
+from cohort.llm.common import components, map_texts, named
 from cohort.session import written
 
 SEED = 42
@@ -80,7 +80,8 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3) -> DataFrame:
-    """The rows of docs without those whose group holds a smaller id; rows without an id stay."""
+    """The rows of docs, with all their columns, whose group holds no smaller id; rows without an id stay."""
     gone = near_duplicates(docs, id_col, text_col, distance, words).where(
-        F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+        named(id_col) != F.col("component_id")).select(named(id_col).alias("gone")).distinct()
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.join(gone, F.col(f"c{docs.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
