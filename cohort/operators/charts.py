@@ -34,8 +34,8 @@ def department_share(ds: Dataset) -> DataFrame:
 def attendance_histogram(ds: Dataset, bins: int = fv.HISTOGRAM_BINS) -> DataFrame:
     """Rows in equal-width bins over the range of attendance, with the position of the threshold marker."""
     name = ds.need("attendance", R.NO_ATTENDANCE)
-    low, high = ds.ranges[name]
     c = col(name).cast("double")
+    low, high = ds.ranges.get(name) or ds.df.agg(F.coalesce(F.min(c), F.lit(0.0)), F.coalesce(F.max(c), F.lit(0.0))).first()
     width = (high - low) / bins
     bucket = F.least(F.width_bucket(c, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)) if high > low else F.lit(1)
     counts = ds.df.where(c.isNotNull()).groupBy(bucket.cast("int").alias("bin")).count()
@@ -107,8 +107,8 @@ def subject_top_n(ds: Dataset, subject: str, n: int = 10) -> DataFrame:
 def score_quartiles(ds: Dataset) -> DataFrame:
     """Box plot per subject: min, quartiles, max, and whisker ends at 1.5 interquartile ranges."""
     subjects = R._subjects(ds)
-    # preparation has filled every subject and counted its values
-    known = {s: (ds.n_rows, ds.distinct[s]) for s in subjects}
+    # preparation has filled every subject and counted its values, unless the rows were changed since
+    known = {s: (ds.n_rows, ds.distinct[s]) for s in subjects} if ds.n_rows is not None else None
     quartiles = exact_quantiles(ds.df, subjects, [0.25, 0.5, 0.75], known=known)
     cells = []
     for i, s in enumerate(subjects):

@@ -63,19 +63,23 @@ def buffer(messages: DataFrame, n: int = fv.BUFFER_MESSAGES) -> DataFrame:
     return candidates.where(kept).select(*COLUMNS)
 
 
-def set_system(messages: DataFrame, system: str | DataFrame) -> DataFrame:
+def set_system(messages: DataFrame, system: str | DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     """Replace the leading system message, or put one in front; system is one text or a table (conv_id, text).
 
+    One text goes to all conversations of the log and of conversations (conv_id), if given; a table to those it names. A
+    conversation without any message gets its system message as turn 0.
+
     Only system messages and one row per conversation are shuffled; all other messages pass straight through.
     """
     starts = messages.groupBy("conv_id").agg(F.min("turn").alias("start"))
     if isinstance(system, str):
-        wanted = starts.withColumn("new_text", F.lit(system))
+        everyone = starts if conversations is None else starts.join(conversations.select("conv_id").distinct(), "conv_id", "full")
+        wanted = everyone.withColumn("new_text", F.lit(system))
     else:
-        wanted = starts.join(system.select("conv_id", F.col("text").alias("new_text")), "conv_id")
+        wanted = system.select("conv_id", F.col("text").alias("new_text")).join(starts, "conv_id", "left")
     head = _leading_system(messages).select("conv_id", F.col("turn").alias("head_turn"))
     fresh = wanted.join(head, "conv_id", "left").select(
-        "conv_id", F.coalesce(F.col("head_turn"), F.col("start") - 1).alias("turn"),
+        "conv_id", F.coalesce(F.col("head_turn"), F.col("start") - 1, F.lit(0)).alias("turn"),
         F.lit("system").alias("role"), F.col("new_text").alias("text"),
     )
     old_system = _system(messages).join(fresh.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
@@ -112,9 +116,9 @@ def _texts(order: str, text: str) -> Column:
 
 
 def clear(messages: DataFrame, system: str | DataFrame | None = None) -> DataFrame:
-    """Drop everything but system messages; with a text, set it as the system message afterwards."""
+    """Drop everything but system messages; with a text, set it as the system message of every conversation afterwards."""
     kept = _system(messages)
-    return kept if system is None else set_system(kept, system)
+    return kept if system is None else set_system(kept, system, messages.select("conv_id"))
 
 
 def history_counts(messages: DataFrame) -> DataFrame:
@@ -125,9 +129,9 @@ def history_counts(messages: DataFrame) -> DataFrame:
 
 
 def transcript_lines(messages: DataFrame) -> DataFrame:
-    """One block of transcript text per message: conv_id, turn, block."""
+    """One block of transcript text per message that is no system message: conv_id, turn, block."""
     speaker = F.when(F.col("role") == "user", "User").otherwise("Agent")
-    return messages.select("conv_id", "turn", F.concat(speaker, F.lit(": "), F.col("text")).alias("block"))
+    return _not_system(messages).select("conv_id", "turn", F.concat(speaker, F.lit(": "), F.col("text")).alias("block"))
 
 
 def transcripts(messages: DataFrame, turns: int = 1000) -> DataFrame:
@@ -140,12 +144,17 @@ def transcripts(messages: DataFrame, turns: int = 1000) -> DataFrame:
     return lines.groupBy("conv_id", "segment").agg(F.array_join(_texts("turn", "block"), "\n\n").alias("transcript"))
 
 
-def write_transcripts(messages: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write transcripts as text, one folder per conversation, its parts in order.
+def write_transcripts(
+    messages: DataFrame, path: str, mode: str = "errorifexists", turns: int = 1000, folders: bool = False
+) -> None:
+    """Write transcripts as JSON lines (conv_id, segment, transcript), in files of many conversations.
 
-    Rows are spread by conversation and turn range, so a long conversation becomes several files in order.
+    With folders, as text in one folder per conversation, its parts in order: for a log of few conversations.
     """
-    text = transcripts(messages).select("conv_id", "segment", F.concat("transcript", F.lit("\n")).alias("value"))
+    if not folders:
+        transcripts(messages, turns).write.mode(mode).json(path)
+        return
+    text = transcripts(messages, turns).select("conv_id", "segment", F.concat("transcript", F.lit("\n")).alias("value"))
     placed = text.repartitionByRange("conv_id", "segment").sortWithinPartitions("conv_id", "segment")
     placed.drop("segment").write.mode(mode).partitionBy("conv_id").text(path)
 
@@ -164,9 +173,6 @@ def _document(df: DataFrame, entry: Column, *order: str) -> DataFrame:
 
 def report_documents(ds: Dataset) -> DataFrame:
     """The reports that answer routed questions, one JSON text per intent: intent, answer."""
-    if ds.department and not ds.few_labels(ds.department):
-        raise ValueError("Too many departments for one answer text: query department_stats instead.")
-
     def all_columns(df: DataFrame) -> Column:
         return F.struct(*[F.col(c) for c in df.columns])
 

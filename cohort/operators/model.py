@@ -35,7 +35,7 @@ class ScoreModel:
         """All columns of df and the prediction; missing features count as 0."""
         names = [f"__feature_{i}" for i in range(len(self.features))]
         wide = df.select("*", *[
-            F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in zip(self.features, names)
+            F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(n) for c, n in zip(self.features, names)
         ])
         scored = self.pipeline.transform(wide)
         return scored.select(*[col(c) for c in df.columns], F.col("__prediction").alias(self.prediction_col))

@@ -17,11 +17,8 @@ from cohort.functions.exprs import col
 from cohort.functions.quantiles import exact_quantiles
 from cohort.session import written
 
-# more labels than this are never gathered into one array or map
-MAX_LABELS = 10_000
-
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE = r"^\s*[+-]?\d+\s*$"
 
 
 @dataclass(frozen=True)
@@ -32,10 +29,9 @@ class Dataset:
     roles: Mapping[str, str | None]
     subjects: tuple[str, ...]
     numeric_cols: tuple[str, ...]
-    n_rows: int
+    n_rows: int | None = None                                   # unknown once the rows were changed, as the next two are
     ranges: Mapping[str, tuple[float, float]] = field(default_factory=dict)
-    labels: Mapping[str, int] = field(default_factory=dict)     # approximate distinct counts of group columns
-    distinct: Mapping[str, int] = field(default_factory=dict)   # the same for numeric columns
+    distinct: Mapping[str, int] = field(default_factory=dict)   # approximate distinct counts of numeric columns
     derived: tuple[str, ...] = ()                               # columns that preparation added
 
     @property
@@ -70,17 +66,16 @@ class Dataset:
         names = [c for c in (self.roll, self.name, *outputs) if c]
         return [col(c).asc() for c in dict.fromkeys(names)]
 
-    def few_labels(self, column: str) -> bool:
-        """Whether the labels of a group column are few enough for one array or map."""
-        return self.labels.get(column, MAX_LABELS + 1) <= MAX_LABELS
-
     def materialised(self) -> "Dataset":
         """The same rows written once to the shared folder, for several queries over an input that is dear to compute."""
-        return self.with_df(written(self.df, "dataset"))
+        return self.with_df(written(self.df, "dataset"), same_rows=True)
+
+    def with_df(self, df: DataFrame, same_rows: bool = False) -> "Dataset":
+        """The same dataset over another frame with the same columns.
 
-    def with_df(self, df: DataFrame) -> "Dataset":
-        """The same dataset over another frame with the same columns, such as a persisted or written one."""
-        return replace(self, df=df)
+        What was counted over the old rows is forgotten, unless same_rows says that they are the same, such as persisted ones.
+        """
+        return replace(self, df=df) if same_rows else replace(self, df=df, n_rows=None, ranges={}, distinct={})
 
 
 def numeric_text(text: Column) -> Column:
@@ -90,7 +85,12 @@ def numeric_text(text: Column) -> Column:
 
 def is_integer_text(text: Column) -> Column:
     """Whether a text is a whole number that fits a long."""
-    return F.coalesce(text.rlike(INTEGER), F.lit(False))
+    return F.coalesce(text.rlike(WHOLE) & F.trim(text).try_cast("long").isNotNull(), F.lit(False))
+
+
+def is_long_id_text(text: Column) -> Column:
+    """Whether a text is a whole number beyond a long, which a double would not keep apart from its neighbours."""
+    return F.coalesce(text.rlike(WHOLE) & F.trim(text).try_cast("long").isNull(), F.lit(False))
 
 
 def detect_column(columns: Sequence[str], role: str) -> str | None:
@@ -134,14 +134,14 @@ def check_name_clash(df_columns: Sequence[str], case_sensitive: bool) -> None:
             raise ValueError(f"columns {other!r} and {c!r} differ only in case: set spark.sql.caseSensitive=true")
 
 
-def _profile(df: DataFrame, group_cols: Sequence[str]) -> Mapping[str, object]:
-    """One row: row count, and per column present values, parse counts, ranges, distinct estimates of groups."""
+def _profile(df: DataFrame) -> Mapping[str, object]:
+    """One row: row count, and per column present values, parse counts, ranges and distinct estimates."""
     aggs = [F.count("*").alias("rows")]
     for i, f in enumerate(df.schema.fields):
         c = col(f.name)
         aggs.append(F.count(c).alias(f"present_{i}"))
         if isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_if(is_integer_text(c)).alias(f"whole_{i}"))
+            aggs += [F.count_if(is_integer_text(c)).alias(f"whole_{i}"), F.count_if(is_long_id_text(c)).alias(f"beyond_{i}")]
             c = numeric_text(c)
         elif isinstance(f.dataType, T.BooleanType):
             c = c.cast("double")
@@ -149,8 +149,6 @@ def _profile(df: DataFrame, group_cols: Sequence[str]) -> Mapping[str, object]:
             F.count(c).alias(f"numbers_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"),
             F.approx_count_distinct(c).alias(f"distinct_{i}"),
         ]
-        if f.name in group_cols:
-            aggs.append(F.approx_count_distinct(col(f.name)).alias(f"labels_{i}"))
     return df.agg(*aggs).first().asDict()
 
 
@@ -165,7 +163,7 @@ def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = Fa
     df = plain_types(df)
     names = df.columns
     roles = {r: detect_column(names, r) for r in fv.DETECTED_ROLES}
-    found = _profile(df, [c for c in (roles["department"], "Grade") if c])
+    found = _profile(df)
     n_rows = found["rows"]
 
     # types: the share of parsing rows counts missing rows against a text column
@@ -173,7 +171,8 @@ def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = Fa
     for i, f in enumerate(df.schema.fields):
         c = col(f.name)
         if isinstance(f.dataType, T.StringType):
-            if n_rows and found[f"numbers_{i}"] / n_rows > fv.NUMERIC_SHARE:
+            # whole numbers beyond a long are ids; as doubles they would run together, so they stay text
+            if n_rows and found[f"numbers_{i}"] / n_rows > fv.NUMERIC_SHARE and not found[f"beyond_{i}"]:
                 c = F.trim(c).try_cast("long") if found[f"whole_{i}"] == n_rows else numeric_text(c)
                 numbers.append(i)
         elif isinstance(f.dataType, T.BooleanType):
@@ -218,7 +217,6 @@ def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = Fa
         and X.normalise_name(names[i]) not in fv.NOT_SUBJECTS and names[i] not in taken
     )
     numeric_cols = [names[i] for i in numbers]
-    labels = {c: found[f"labels_{i}"] for i, c in enumerate(names) if f"labels_{i}" in found}
     derived = tuple(c for c in ("Total", "Average", "Grade") if subjects and c not in names)
     if "Total" in derived:
         df = df.withColumn("Total", X.row_total(subjects))
@@ -226,11 +224,10 @@ def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = Fa
         df = df.withColumn("Average", X.row_average(subjects))
     if "Grade" in derived:
         df = df.withColumn("Grade", X.grade(F.col("Average").try_cast("double")))
-        labels["Grade"] = len(fv.GRADE_ORDER)
     numeric_cols += [c for c in derived if c != "Grade"]
     # a filled-in median adds at most one value
     distinct = {names[i]: found[f"distinct_{i}"] + 1 for i in numbers if names[i] in ranges}
-    return Dataset(df, roles, subjects, tuple(numeric_cols), n_rows, ranges, labels, distinct, derived)
+    return Dataset(df, roles, subjects, tuple(numeric_cols), n_rows, ranges, distinct, derived)
 
 
 def column_mapping(ds: Dataset) -> DataFrame:

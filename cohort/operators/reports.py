@@ -49,7 +49,7 @@ def row_count(ds: Dataset) -> DataFrame:
 def dataset_summary(ds: Dataset) -> DataFrame:
     """One row: sizes, column and subject names, flags and overall means.
 
-    The department list is null when the labels are too many for one array; `departments` always lists them.
+    The department list holds every label; `departments` has them as rows.
     """
     aggs = [
         F.count("*").alias("total_students"),
@@ -58,14 +58,9 @@ def dataset_summary(ds: Dataset) -> DataFrame:
     ]
     if not ds.department:
         aggs += [F.lit(0).cast("long").alias("n_departments"), F.array().cast("array<string>").alias("departments")]
-    elif ds.few_labels(ds.department):
+    else:
         found = F.array_sort(F.collect_set(col(ds.department).cast("string")))
         aggs += [F.size(found).cast("long").alias("n_departments"), found.alias("departments")]
-    else:
-        aggs += [
-            F.count_distinct(col(ds.department)).alias("n_departments"),
-            F.lit(None).cast("array<string>").alias("departments"),
-        ]
     aggs += [
         F.array(*[F.lit(c) for c in ds.subjects]).cast("array<string>").alias("subject_columns"),
         F.lit(ds.attendance is not None).alias("has_attendance"),
@@ -97,8 +92,8 @@ def department_grades(ds: Dataset, department: str | None = None) -> DataFrame:
 def department_stats(ds: Dataset, department: str | None = None) -> DataFrame:
     """Per department: rows, mean of subject means, mean attendance, grade histogram.
 
-    One shuffle of partial aggregates. An input Grade column with too many labels for a map gets no histogram here;
-    `department_grades` has it as rows.
+    One shuffle of partial aggregates, and a second one for the histogram of an input Grade column, whose labels are not
+    known beforehand; `department_grades` has it as rows.
     """
     df, dept = _in_department(ds, department)
     aggs = [F.count("*").alias("count")]
@@ -112,7 +107,7 @@ def department_stats(ds: Dataset, department: str | None = None) -> DataFrame:
         aggs.append(F.map_filter(grades, lambda _, n: n > 0).alias("grade_dist"))
         return df.groupBy(dept).agg(*aggs)
     stats = df.groupBy(dept).agg(*aggs)
-    if "Grade" in ds.df.columns and ds.few_labels("Grade"):
+    if "Grade" in ds.df.columns:
         pairs = F.collect_list(F.struct("grade", "count"))
         maps = department_grades(ds, department).groupBy("department").agg(F.map_from_entries(pairs).alias("grade_dist"))
         stats = stats.join(maps, "department", "left")

@@ -1,21 +1,21 @@
 """Batch retrieval: many queries against many chunks or vectors.
 
-The query side is the small one. When it is within a checked size it travels to the executors and the chunks stay where
-they are; beyond that size the two sides meet in a shuffle that is spread by salts. Either way tasks keep only their k
-best rows per query before the final shuffle.
+The query side is the small one. It travels to the executors, in blocks of a bounded size, and the chunks stay where they are;
+tasks keep only their k best rows per query before the final shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort import fixed_values as fv
@@ -28,11 +28,13 @@ from cohort.session import written
 # functions that run in Python workers travel with their code, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BROADCAST_TERMS = 200_000       # query terms that are sent to every executor
-MANY_QUERIES = 64               # from here on, clustering the chunk vectors is cheaper than shuffling scored pairs
+BROADCAST_VOCABULARY = 500_000  # terms that are sent to every executor
+BLOCK_CELLS = 8_000_000         # of the matrix of terms and queries that is sent at once
+SCORED_ROWS = 1_000             # chunks that are scored at once
 MAX_KEYWORDS = 2_000            # query words that are tested one by one inside a chunk
 BROADCAST_NUMBERS = 4_000_000   # numbers of all query vectors together that are sent to every executor
-CELL_ROWS = 50_000              # vectors per cell of the grid
+CELL_NUMBERS = 1_000_000        # of the vectors that are compared at once
+CELL_QUERIES = 500              # queries that they are compared with at once
 BROADCAST_ROWS = 1_000_000      # ranked rows that are sent to every executor
 LARGE_SAMPLE = 20               # a corpus of so many times the sample is cut down by a bound first
 SALTS = 32
@@ -44,8 +46,9 @@ SCORE_PLACES = 9                # scores are compared at this precision, so exac
 def row_chunks(ds: Dataset, key: str | None = None) -> DataFrame:
     """One text per row: chunk_id, kind, text.
 
-    key names a column that is unique per row (default: roll). Without any, rows get numbers that are written to the
-    shared folder once, so they stay the same when a task runs again.
+    key names a column that tells rows apart (default: roll). Where its values repeat, rows of the same value are told apart by
+    their text as well, and equal texts by a number, so every row keeps a chunk of its own. Without any key, rows get
+    numbers that are written to the shared folder once, so they stay the same when a task runs again.
     """
     parts = []
     if ds.name:
@@ -63,7 +66,17 @@ def row_chunks(ds: Dataset, key: str | None = None) -> DataFrame:
     rows = ds.df.select(F.concat(F.lit("row:"), number).alias("chunk_id"), F.lit("row").alias("kind"), text.alias("text"))
     if not parts:
         return rows.limit(0)
-    return rows if key else written(rows, "chunks")
+    if key is None:
+        return written(rows, "chunks")
+    sizes = rows.groupBy("chunk_id").agg(F.count("*").alias("size"))
+    if sizes.agg(F.max("size")).first()[0] in (None, 1):
+        return rows
+    # equal rows are counted before the shuffle, so a value that many rows share is spread by its texts
+    repeated = rows.groupBy("chunk_id", "kind", "text").agg(F.count("*").alias("copies")).join(sizes, "chunk_id")
+    place = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("place")
+    own = F.when(F.col("size") == 1, F.col("chunk_id")).otherwise(
+        F.concat_ws("#", "chunk_id", F.md5("text"), F.when(F.col("place") > 1, F.col("place").cast("string"))))
+    return repeated.select("chunk_id", "kind", "text", "size", place).select(own.alias("chunk_id"), "kind", "text")
 
 
 def group_chunks(ds: Dataset) -> DataFrame:
@@ -117,87 +130,164 @@ def _best(scored: DataFrame, k: int, order: Column) -> DataFrame:
 
 
 def _at_most(df: DataFrame, n: int) -> bool:
-    return df.limit(n + 1).count() <= n
+    return df.count() <= n      # partial counts; a limit would send its rows to one task
+
+
+# Best rows of a task -------------------------------------------------------------------------------------------------
+
+class Best:
+    """The k best (query, id, value) rows of a task so far, smallest values first, ties by id."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.limit = k, np.full(n_queries, np.inf)
+        self.query, self.id, self.value = np.empty(0, np.int64), np.empty(0, object), np.empty(0)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
+        query, value = np.concatenate([self.query, query]), np.concatenate([self.value, value])
+        ids = np.concatenate([self.id, ids])
+        order = np.lexsort((ids, value, query))
+        query, ids, value = query[order], ids[order], value[order]
+        first = np.searchsorted(query, query)               # where each row's query begins
+        kept = np.arange(len(query)) - first < self.k
+        self.query, self.id, self.value = query[kept], ids[kept], value[kept]
+        full = (np.arange(len(query)) - first == self.k - 1)
+        self.limit[query[full]] = value[full]
+
+    def frame(self, query_ids: np.ndarray, names: tuple[str, str, str], sign: float = 1.0) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(names, (query_ids[self.query], self.id, sign * self.value))))
 
 
 # TF-IDF --------------------------------------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
 class TfidfIndex:
-    """Vocabulary of a corpus, at most max_terms entries: term, df, total, idf, in index order."""
+    """Vocabulary of a corpus as a written table (term, df, total, idf), and its sizes."""
 
-    terms: tuple[tuple[str, int, int, float], ...]
+    terms: DataFrame
+    n_terms: int
     n_chunks: int
 
-    def vectors(self, texts: DataFrame, key: str) -> DataFrame:
-        """Key, indices and values of the normalised weights of every text; works row by row, without a shuffle."""
-        counts = CountVectorizerModel.from_vocabulary([t[0] for t in self.terms], inputCol="t", outputCol="tf")
-        idf = ElementwiseProduct(scalingVec=Vectors.dense([t[3] for t in self.terms]), inputCol="tf", outputCol="w")
-        unit = Normalizer(p=2.0, inputCol="w", outputCol="u")
-        rows = texts.select(col(key).alias(key), X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-        unpacked = F.unwrap_udt("u")
-        return unit.transform(idf.transform(counts.transform(rows))).select(
-            key, unpacked["indices"].alias("indices"), unpacked["values"].alias("values")
-        )
-
     def weights(self, texts: DataFrame, key: str) -> DataFrame:
-        """Long form: key, term index, weight."""
-        cells = F.arrays_zip(F.col("indices").alias("term"), F.col("values").alias("weight"))
-        return self.vectors(texts, key).select(key, F.inline(cells))
-
-
-def tfidf_index(chunks: DataFrame, max_terms: int = fv.MAX_TERMS, stop_words: list[str] | None = None) -> TfidfIndex:
-    """Count terms over a corpus and keep the max_terms most frequent ones with their smoothed idf.
-
-    Stop words default to Spark's English list. The counts are partial sums per task before the shuffle; only the
-    vocabulary comes to the driver.
+        """Key, term and normalised weight of every term of every text."""
+        named = self.terms.select(F.col("term"), F.col("term").alias("place"))
+        rows = self._rows(texts, key, named)
+        return rows.select(key, F.inline("cells")).withColumnRenamed("place", "term")
+
+    def _rows(self, texts: DataFrame, key: str, wanted: DataFrame, limit: int = BROADCAST_VOCABULARY) -> DataFrame:
+        """Key and cells (place, weight) of every text, for the terms of wanted (term, place); norms are over all terms.
+
+        A vocabulary within the checked size travels to the texts. Beyond it the texts' terms meet it in a shuffle, with one row for
+        each term of a text, and the cells of a text come together again.
+        """
+        place = wanted.schema["place"].dataType.simpleString()
+        tokens = texts.select(col(key).alias(key), X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+        if self.n_terms <= limit:
+            known = self.terms.join(wanted, "term", "left").select("term", "idf", "place").collect()
+            sent = texts.sparkSession.sparkContext.broadcast({r["term"]: (r["idf"], r["place"]) for r in known})
+
+            def count(batches):
+                get = sent.value.get
+                for batch in batches:
+                    cells = []
+                    for words in batch["t"]:
+                        found = {w: (n, got) for w, n in Counter(words).items() if (got := get(w))}
+                        norm = math.sqrt(math.fsum((n * idf) ** 2 for n, (idf, _) in found.values()))
+                        cells.append([{"place": at, "weight": n * idf / norm} for n, (idf, at) in found.values() if at is not None])
+                    yield pd.DataFrame({key: batch[key], "cells": cells})
+
+            kind = texts.schema[key].dataType.simpleString()
+            return tokens.mapInPandas(count, f"`{key}` {kind}, cells array<struct<place: {place}, weight: double>>")
+        pairs = tokens.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+        found = pairs.join(self.terms.select("term", "idf"), "term").join(wanted, "term", "left")
+        raw = F.col("n") * F.col("idf")
+        whole = found.groupBy(key).agg(
+            F.sqrt(F.sum(raw * raw)).alias("norm"),
+            F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", raw.alias("raw")))).alias("cells"))
+        return whole.select(key, F.transform("cells", lambda c: F.struct(
+            c["place"].alias("place"), (c["raw"] / F.col("norm")).alias("weight"))).alias("cells"))
+
+
+def tfidf_index(chunks: DataFrame, max_terms: int | None = None, stop_words: list[str] | None = None) -> TfidfIndex:
+    """Count the terms of a corpus, all of them or the max_terms most frequent ones, with their smoothed idf.
+
+    Stop words default to Spark's English list. One pass counts terms and chunks as partial sums per task; the vocabulary is
+    written to the shared folder and only its size comes to the driver.
     """
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     found = chunks.select(X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     every = F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
-    once = F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))
-    counts = found.select(F.inline(F.concat(every, once))).where(~F.col("term").isin(stop)).groupBy("term").agg(
-        F.sum("first").alias("df"), F.count_if(F.col("first") == 0).alias("total")
-    )
-    n = chunks.count()
+    # the empty term, which no text has, counts the chunks
+    once = F.transform(F.concat(F.array_distinct("t"), F.array(F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))
+    counts = written(found.select(F.inline(F.concat(every, once))).where(~F.col("term").isin(stop)).groupBy("term").agg(
+        F.sum("first").alias("df"), F.count_if(F.col("first") == 0).alias("total")), "terms")
+    size = counts.where("term = ''").first()
+    n = size["df"] if size else 0
     idf = F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1
-    kept = counts.orderBy(F.desc("total"), "term").limit(max_terms).select("term", "df", "total", idf.alias("idf"))
-    return TfidfIndex(tuple(tuple(r) for r in kept.collect()), n)
+    terms = counts.where("term <> ''").select("term", "df", "total", idf.alias("idf"))
+    if max_terms is not None:
+        terms = written(terms.orderBy(F.desc("total"), "term").limit(max_terms), "terms")
+    return TfidfIndex(terms, terms.count(), n)
+
+
+def _blocks(rows: DataFrame, n: int):
+    """The rows of queries in n parts by query; a query is whole in one of them."""
+    for i in range(n):
+        yield rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
 
 
 def tfidf_topk(
-    index: TfidfIndex, chunks: DataFrame, queries: DataFrame, k: int = fv.TOP_K,
-    broadcast_terms: int = BROADCAST_TERMS, many_queries: int = MANY_QUERIES,
+    index: TfidfIndex, chunks: DataFrame, queries: DataFrame, k: int = fv.TOP_K, block_cells: int = BLOCK_CELLS,
+    vocabulary: int = BROADCAST_VOCABULARY,
 ) -> DataFrame:
     """The k most similar chunks per query with a positive cosine: query_id, rank, chunk_id, score.
 
-    chunks has a unique chunk_id and text, queries a unique query_id and text.
+    chunks has a unique chunk_id and text, queries a unique query_id and text. Queries are sent to the chunks in blocks of a
+    bounded size; tasks score chunks where they are and hand on k rows per query.
     """
-    if not index.terms:
-        ids = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-        schema = f"query_id {ids[1]}, rank int, chunk_id {ids[0]}, score double"
-        return chunks.sparkSession.createDataFrame([], schema)
-    wanted = index.weights(queries, "query_id").withColumnRenamed("weight", "query_weight")
-    vectors = index.vectors(chunks, "chunk_id")
-    if _at_most(wanted, broadcast_terms):
-        if not _at_most(queries, many_queries):
-            # all pairs of a chunk are then scored and cut to k in its own task
-            vectors = vectors.repartition("chunk_id")
-        pairs = _exploded(vectors).join(F.broadcast(wanted), "term")
-    else:
-        salted = _exploded(vectors).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
-        copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = salted.join(copies, ["term", "salt"])
-    product = F.sum(F.col("query_weight") * F.col("weight"))
-    scored = pairs.groupBy("query_id", "chunk_id").agg(F.round(product, SCORE_PLACES).alias("score"))
+    spark = chunks.sparkSession
+    ids = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {ids[1]}, chunk_id {ids[0]}, score double"
+    named = index.terms.select(F.col("term"), F.col("term").alias("place"))
+    wanted = written(index._rows(queries, "query_id", named, vocabulary).select("query_id", F.inline("cells")), "query-terms")
+    cells, n_queries = wanted.agg(F.count("*"), F.count_distinct("query_id")).first()
+    n_blocks = max(1, math.ceil(math.sqrt(cells * n_queries / block_cells)))
+    parts = []
+    for block in _blocks(wanted, n_blocks) if cells else ():
+        rows = block.collect()
+        if not rows:
+            continue
+        query_ids = np.array(sorted({r["query_id"] for r in rows}), object)
+        at = {q: i for i, q in enumerate(query_ids)}
+        terms = sorted({r["place"] for r in rows})
+        row = {t: i for i, t in enumerate(terms)}
+        matrix = np.zeros((len(terms), len(query_ids)))
+        for r in rows:
+            matrix[row[r["place"]], at[r["query_id"]]] = r["weight"]
+        sent = spark.sparkContext.broadcast((query_ids, matrix))
+        asked = spark.createDataFrame(list(row.items()), "term string, place int")
+        vectors = index._rows(chunks, "chunk_id", asked, vocabulary)
+
+        def search(batches, sent=sent):
+            query_ids, matrix = sent.value
+            best = Best(len(query_ids), k)
+            for batch in batches:
+                chunk_ids, cells = batch["chunk_id"].to_numpy(object), batch["cells"].to_numpy()
+                for start in range(0, len(cells), SCORED_ROWS):
+                    some = cells[start:start + SCORED_ROWS]
+                    scores = np.zeros((len(some), len(query_ids)))
+                    for i, found in enumerate(some):
+                        if len(found):
+                            scores[i] = np.array([c["weight"] for c in found]) @ matrix[[c["place"] for c in found]]
+                    values = -np.round(scores, SCORE_PLACES)
+                    i, q = np.nonzero((values < 0) & (values <= best.limit))
+                    best.add(q, chunk_ids[start + i], values[i, q])
+            yield best.frame(query_ids, ("query_id", "chunk_id", "score"), -1.0)
+
+        parts.append(vectors.mapInPandas(search, schema))
+    scored = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     return _best(scored, k, F.desc("score")).select("query_id", "rank", "chunk_id", "score")
 
 
-def _exploded(vectors: DataFrame) -> DataFrame:
-    cells = F.arrays_zip(F.col("indices").alias("term"), F.col("values").alias("weight"))
-    return vectors.select("chunk_id", F.inline(cells))
-
-
 # Keywords ------------------------------------------------------------------------------------------------------------
 
 def keyword_topk(
@@ -263,86 +353,61 @@ def _padded(best: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> D
 
 # Dense vectors -------------------------------------------------------------------------------------------------------
 
-def _distances(block: np.ndarray, query: np.ndarray) -> np.ndarray:
-    return np.round(np.square(block - query).sum(axis=1), SCORE_PLACES)
-
-
-def _nearest(ids: np.ndarray, block: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    distance = _distances(block, query)
-    if len(distance) > k:
-        # everything up to the k-th distance, ties included
-        near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
-    else:
-        near = np.arange(len(distance))
-    near = near[np.lexsort((ids[near], distance[near]))][:k]
-    return ids[near], distance[near]
-
-
-def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    if not len(a[0]):
-        return b
-    ids, distance = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    order = np.lexsort((ids, distance))[:k]
-    return ids[order], distance[order]
-
+def _matrix(embeddings) -> np.ndarray:
+    return np.stack([np.asarray(e, dtype="float64") for e in embeddings])
 
-def _matrix(embeddings: pd.Series) -> np.ndarray:
-    return np.stack(embeddings.to_numpy()).astype("float64")
 
+def _near(block: np.ndarray, points: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, query and exact distance of all pairs that can be among the k nearest, ties included.
 
-def knn_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = fv.TOP_K, broadcast_numbers: int = BROADCAST_NUMBERS,
-    cell_rows: int = CELL_ROWS,
-) -> DataFrame:
+    Distances by a matrix product pick the candidates, with room for its rounding; exact ones decide.
+    """
+    rows, asked = np.square(block).sum(axis=1), np.square(points).sum(axis=1)
+    about = rows[:, None] + asked - 2 * (block @ points.T)
+    room = 1e-9 * (1 + rows.max() + asked)
+    if len(block) > k:
+        limit = np.minimum(limit, np.partition(about, k - 1, axis=0)[k - 1] + room)
+    i, q = np.nonzero(about <= limit + room)
+    exact = np.concatenate([np.square(block[i[a:a + SCORED_ROWS]] - points[q[a:a + SCORED_ROWS]]).sum(axis=1)
+                            for a in range(0, len(i), SCORED_ROWS)] or [np.empty(0)])
+    return i, q, np.round(exact, SCORE_PLACES)
+
+
+def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = fv.TOP_K, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """Exact nearest vectors by squared Euclidean distance: query_id, rank, chunk_id, distance.
 
-    vectors has chunk_id and embedding, queries query_id and embedding. Tasks compare a batch of vectors with all
-    queries and hand on k rows per query. Queries beyond the checked size meet the vectors in a grid of
-    (part of the vectors, part of the queries) cells instead.
+    vectors has chunk_id and embedding, queries query_id and embedding. Queries are sent to the vectors in blocks of a
+    bounded size; tasks compare batches of vectors with a block and hand on k rows per query.
     """
     spark = vectors.sparkSession
     id_type, query_type = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, chunk_id {id_type}, distance double"
     vectors = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
     queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    numbers = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
-
-    def frame(query_ids, hits) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": q, "chunk_id": i, "distance": d}) for q, (i, d) in zip(query_ids, hits)]
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=["query_id", "chunk_id", "distance"])
-
-    if numbers <= broadcast_numbers:
-        small = queries.toPandas()      # within the size checked above
-        sent = spark.sparkContext.broadcast(
-            (small["query_id"].to_numpy(), [np.asarray(e, dtype="float64") for e in small["embedding"]])
-        )
+    numbers, size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)), F.max(F.size("embedding"))).first()
+    at_once = max(1, CELL_NUMBERS // max(1, size or 1))
+    parts = []
+    for block in _blocks(queries, max(1, -(-numbers // broadcast_numbers))):
+        rows = block.collect()
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], object), _matrix([r["embedding"] for r in rows])))
 
-        def search(batches):
+        def search(batches, sent=sent):
             query_ids, points = sent.value
-            best = [(np.empty(0, dtype=object), np.empty(0))] * len(points)
+            best = Best(len(query_ids), k)
             for batch in batches:
-                if len(batch):
-                    ids, block = batch["chunk_id"].to_numpy(), _matrix(batch["embedding"])
-                    best = [_merged(b, _nearest(ids, block, p, k), k) for b, p in zip(best, points)]
-            yield frame(query_ids, best)
-
-        near = vectors.mapInPandas(search, schema)
-    else:
-        parts = max(1, -(-vectors.count() // cell_rows))
-        groups = max(1, -(-numbers // broadcast_numbers))
-        left = vectors.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
-        left = left.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(int(groups) - 1))))
-        right = queries.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(int(groups))).cast("int"))
-        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-        def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return frame([], [])
-            ids, block = a["chunk_id"].to_numpy(), _matrix(a["embedding"])
-            points = [np.asarray(e, dtype="float64") for e in b["embedding"]]
-            return frame(b["query_id"].to_numpy(), [_nearest(ids, block, p, k) for p in points])
-
-        near = left.groupBy("part", "grp").cogroup(right.groupBy("part", "grp")).applyInPandas(cell, schema)
+                ids, embeddings = batch["chunk_id"].to_numpy(object), batch["embedding"].to_numpy()
+                for start in range(0, len(ids), at_once):
+                    cells = _matrix(embeddings[start:start + at_once])
+                    for q0 in range(0, len(points), CELL_QUERIES):
+                        part = slice(q0, q0 + CELL_QUERIES)
+                        i, q, distance = _near(cells, points[part], best.limit[part], k)
+                        best.add(q0 + q, ids[start + i], distance)
+            yield best.frame(query_ids, ("query_id", "chunk_id", "distance"))
+
+        parts.append(vectors.mapInPandas(search, schema))
+    near = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     return _best(near, k, F.asc("distance")).select("query_id", "rank", "chunk_id", "distance")
 
 

@@ -153,7 +153,7 @@ TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 STOP = ", ".join(text(w) for w in STOP_WORDS)
 
 
-def tfidf(chunks: str, queries: str = "SELECT NULL AS query_id, '' AS text WHERE false") -> str:
+def tfidf(chunks: str, queries: str = "SELECT NULL AS query_id, '' AS text WHERE false", limit: str = "LIMIT 5000") -> str:
     """Vocabulary, chunk weights, query weights and cosines of a corpus given by two selects."""
     return f"""
 corpus AS ({chunks}),
@@ -164,7 +164,7 @@ tf AS (
 terms AS (
   SELECT term, df, total, ln((1.0 + n) / (1 + df)) + 1 AS idf
   FROM (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term
-        ORDER BY total DESC, term LIMIT 5000), (SELECT count(*) AS n FROM corpus)),
+        ORDER BY total DESC, term {limit}), (SELECT count(*) AS n FROM corpus)),
 weighted AS (SELECT chunk_id, term, tf * idf AS w FROM tf JOIN terms USING (term)),
 weights AS (SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS w FROM weighted),
 asked_weighted AS (
@@ -460,6 +460,8 @@ FROM book, fit""", FIT),
 SELECT chunk_id, count(*) AS terms, round(sum(w), 6) AS sum_weight, round(max(w), 6) AS max_weight
 FROM weights GROUP BY chunk_id""",
     "tfidf_topk": f"""WITH {tfidf(DOCUMENTS, PASSAGES)},{best(6)}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM best""",
+    "tfidf_topk_all_terms": f"""WITH {tfidf(DOCUMENTS, PASSAGES, "")},{best(6)}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM best""",
     "keyword_topk": f"""WITH {keyword(DOCUMENTS)}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
@@ -509,7 +511,7 @@ SELECT conv_id, count(*) AS messages, count(*) FILTER (WHERE role <> 'system') A
     "transcripts": """
 SELECT conv_id, turn // 1000 AS segment,
        string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Agent: ' END || text, chr(10) || chr(10) ORDER BY turn) AS transcript
-FROM conversations GROUP BY conv_id, segment""",
+FROM conversations WHERE role <> 'system' GROUP BY conv_id, segment""",
     "route_intents": f"""WITH {RAW},
 asked AS (SELECT 'document:' || doc_id AS query_id, text FROM documents UNION ALL {ASKED})
 SELECT query_id, {INTENT} AS intent FROM asked""",

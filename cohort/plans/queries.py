@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohort.functions import exprs as X
@@ -27,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 SEARCH = "order#00000012"
 COMPARED = ["order#00000012", "ORDER#000000346", ".", "nobody"]
 BUFFER = 4
+TERMS = 5_000       # the vocabulary of the queries that fix one; tfidf_topk_all_terms has all terms
 NEW_SYSTEM = "Answer briefly."
 
 
@@ -36,9 +35,8 @@ def query(f: Query) -> Query:
     return f
 
 
-@lru_cache(maxsize=8)
 def _ds(spark: SparkSession, sf_dir: str) -> P.Dataset:
-    """The prepared gradebook; its types, medians and subjects are found once per session, its rows stay lazy."""
+    """The prepared gradebook; every query prepares it anew."""
     return prepared_gradebook(spark, sf_dir)
 
 
@@ -372,15 +370,13 @@ def sample_chunks(spark, sf_dir):
 
 @query
 def tfidf_terms(spark, sf_dir):
-    terms = V.tfidf_index(_documents(spark, sf_dir)).terms
-    rows = spark.createDataFrame(list(terms), "term string, df long, total long, idf double")
-    return rows.withColumn("idf", F.bround("idf", 6))
+    return V.tfidf_index(_documents(spark, sf_dir), TERMS).terms.withColumn("idf", F.bround("idf", 6))
 
 
 @query
 def tfidf_weights(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    weights = V.tfidf_index(docs).weights(docs, "chunk_id")
+    weights = V.tfidf_index(docs, TERMS).weights(docs, "chunk_id")
     return weights.groupBy("chunk_id").agg(
         F.count("*").alias("terms"), F.bround(F.sum("weight"), 6).alias("sum_weight"),
         F.bround(F.max("weight"), 6).alias("max_weight"),
@@ -389,6 +385,13 @@ def tfidf_weights(spark, sf_dir):
 
 @query
 def tfidf_topk(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    best = V.tfidf_topk(V.tfidf_index(docs, TERMS), docs, _passages(spark, sf_dir))
+    return best.withColumn("score", F.bround("score", 6))
+
+
+@query
+def tfidf_topk_all_terms(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     best = V.tfidf_topk(V.tfidf_index(docs), docs, _passages(spark, sf_dir))
     return best.withColumn("score", F.bround("score", 6))
@@ -409,7 +412,7 @@ def keyword_topk_padded(spark, sf_dir):
 def knn_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     found = V.knn_topk(
-        vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"),
+        spread(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")),
         vectors.select(F.col("vec_id").alias("query_id"), "embedding"),
     )
     return found.withColumn("distance", F.bround("distance", 6))
@@ -417,7 +420,7 @@ def knn_topk(spark, sf_dir):
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, passages = _documents(spark, sf_dir), _passages(spark, sf_dir)
-    best = V.tfidf_topk(V.tfidf_index(docs), docs, passages)
+    best = V.tfidf_topk(V.tfidf_index(docs, TERMS), docs, passages)
     return V.context_blocks(passages, best, docs)
 
 
@@ -497,7 +500,7 @@ def answers(spark, sf_dir):
     ds = _ds(spark, sf_dir).materialised()
     questions = written(Q.asked_questions(spark, sf_dir), "questions")
     chunks = V.chunk_corpus(ds).select("chunk_id", "text")
-    return H.answers(questions, ds, chunks, V.tfidf_index(chunks))
+    return H.answers(questions, ds, chunks, V.tfidf_index(chunks, TERMS))
 
 
 @query

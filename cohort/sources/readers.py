@@ -48,14 +48,8 @@ def _finish(df: DataFrame) -> DataFrame:
 
 # CSV -----------------------------------------------------------------------------------------------------------------
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    line = F.col("value").cast("binary")
-    name = "ISO-8859-1" if encoding == "auto" else encoding
-    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(line, name))
-    first = spark.read.text(path).where(F.trim("value") != "").select(text.alias("value")).first()
-    if first is None:
-        raise ValueError("The file appears to be empty.")
-    names = next(csv.reader([first["value"].lstrip("﻿")]))
+def _names(header: str) -> list[str]:
+    names = next(csv.reader([header.lstrip("﻿")]))
     out: list[str] = []
     for i, name in enumerate(names):
         name = name or f"Unnamed: {i}"
@@ -67,43 +61,50 @@ def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
     return out
 
 
-def _files_by_encoding(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files to read per encoding; only names of files that are not UTF-8 come back from the check."""
-    text = spark.read.text(path)
-    checked = text.groupBy(F.input_file_name().alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-    other = {unquote(r["file"]) for r in checked.where(~F.col("valid")).select("file").collect()}
-    if not other:
-        return {"UTF-8": [path]}
-    # both listings come from the same reader, compared without their scheme
-    def bare(name: str) -> str:
-        return "/" + name.split(":", 1)[-1].lstrip("/")
-
-    others = {bare(f) for f in other}
-    valid = [f for f in map(unquote, text.inputFiles()) if bare(f) not in others]
-    return {"UTF-8": valid, "ISO-8859-1": sorted(other)} if valid else {"ISO-8859-1": sorted(other)}
+def _groups(spark: SparkSession, path: str, encoding: str) -> list[tuple[str, str, list[str]]]:
+    """Header, encoding and files of each kind of file, from one pass; kinds in the order of their first files.
 
-
-def read_csv(spark: SparkSession, path: str, encoding: str = "auto", multi_line: bool = False) -> DataFrame:
-    """All-text CSV scan: short rows are padded, rows with too many fields are left out, missing cells are null."""
-    names = _header(spark, path, encoding)
+    A header is the first line of a file that is not blank. Only one short row per file comes back, and only when there is
+    more than one kind.
+    """
+    line = F.col("value").cast("binary")
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(line, "ISO-8859-1" if encoding == "auto" else encoding))
+    lines = spark.read.text(path).select(
+        "value", text.alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    shown = F.when(F.trim("text") != "", F.col("place"))
+    files = lines.groupBy("file").agg(
+        F.min_by("text", shown).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.count(shown).alias("shown"))
+    charset = F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1") if encoding == "auto" else F.lit(encoding)
+    files = files.where("shown > 0").withColumn("charset", charset).persist()
+    try:
+        kinds = files.groupBy("header", "charset").agg(F.min("file").alias("first")).orderBy("first").collect()
+        if not kinds:
+            raise ValueError("The file appears to be empty.")
+        if len(kinds) == 1:
+            return [(kinds[0]["header"], kinds[0]["charset"], [path])]
+        found: dict[tuple, list[str]] = {(k["header"], k["charset"]): [] for k in kinds}
+        for r in files.select("header", "charset", "file").toLocalIterator():
+            found[r["header"], r["charset"]].append(unquote(r["file"]))
+    finally:
+        files.unpersist()
+    return [(header, charset, sorted(names)) for (header, charset), names in found.items()]
+
+
+def _read_kind(spark: SparkSession, header: str, charset: str, files: list[str], multi_line: bool) -> DataFrame:
+    names = _names(header)
     kept = clean_names(names)
-    groups = _files_by_encoding(spark, path) if encoding == "auto" else {encoding: [path]}
     positions = [f"c{i}" for i in range(len(names))]
-    parts = []
-    for charset, files in groups.items():
-        parts.append(
-            spark.read.schema(text_schema(positions, RAW))
-            .options(
-                header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, encoding=charset,
-                quote='"', escape='"', multiLine=multi_line, maxColumns=max(20480, len(names) + 1),
-                # rows are judged by all their fields, whatever columns a query needs
-                columnPruning=False,
-            )
-            .csv(files)
+    df = (
+        spark.read.schema(text_schema(positions, RAW))
+        .options(
+            header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, encoding=charset,
+            quote='"', escape='"', multiLine=multi_line, maxColumns=max(20480, len(names) + 1),
+            # rows are judged by all their fields, whatever columns a query needs
+            columnPruning=False,
         )
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part)
+        .csv(files)
+    )
     # the reader hands over the raw text of rows whose field count differs from the header's; separators inside
     # quotes do not count
     unquoted = F.regexp_replace(RAW, r'"(?:[^"]|"")*"', "")
@@ -114,6 +115,18 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "auto", multi_line:
     return df.select(*cells)
 
 
+def read_csv(spark: SparkSession, path: str, encoding: str = "auto", multi_line: bool = False) -> DataFrame:
+    """All-text CSV scan: short rows are padded, rows with too many fields are left out, missing cells are null.
+
+    Every file is read by its own header; columns that a file lacks are null in its rows.
+    """
+    parts = [_read_kind(spark, *kind, multi_line) for kind in _groups(spark, path, encoding)]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
+    return df
+
+
 # JSON ----------------------------------------------------------------------------------------------------------------
 
 def _in_first_record_order(df: DataFrame, text: DataFrame, path: str) -> DataFrame:

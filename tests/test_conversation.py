@@ -64,7 +64,9 @@ def test_set_system(spark, log):
 def test_clear_and_recent(log):
     system = [r for r in ROWS if r[2] == "system"]
     assert rows(H.clear(log)) == sorted(system)
-    assert {r[3] for r in rows(H.clear(log, "x"))} >= {"x"}
+    heads = {c: min(r[1] for r in system if r[0] == c) for c in {r[0] for r in system}}
+    reset = [(c, t, r, "x" if heads[c] == t else x) for c, t, r, x in system] + [(c, 0, "system", "x") for c in LOGS if c not in heads]
+    assert rows(H.clear(log, "x")) == sorted(reset)
     last = [r for c in LOGS for r in [x for x in ROWS if x[0] == c and x[2] != "system"][-2:]]
     assert rows(H.recent(log, 2)) == sorted(system + last)
     assert rows(H.history(log)) == sorted(r for r in ROWS if r[2] != "system")
@@ -83,7 +85,9 @@ def test_transcript_segments(log):
 
 
 def test_transcript_files(spark, log, tmp_path):
-    H.write_transcripts(log, str(tmp_path / "out"))
+    H.write_transcripts(log, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).where("conv_id = 3").first()["transcript"] == "User: user 3/0\n\nAgent: assistant 3/1"
+    H.write_transcripts(log, str(tmp_path / "out"), folders=True)
     text = "".join(f.read_text() for f in sorted((tmp_path / "out" / "conv_id=3").glob("*.txt")))
     assert text.strip() == "User: user 3/0\n\nAgent: assistant 3/1"
 

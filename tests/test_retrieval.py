@@ -50,16 +50,23 @@ def expected_cosines(max_terms, stop, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("way", [{}, {"many_queries": 0}, {"broadcast_terms": 0}])
-def test_tfidf_against_brute_force(chunks, queries, way):
-    index = V.tfidf_index(chunks, max_terms=8, stop_words=["and"])
-    assert len(index.terms) == 8 and index.n_chunks == len(TEXTS)
-    assert found(V.tfidf_topk(index, chunks, queries, 2, **way)) == expected_cosines(8, {"and"}, 2)
+@pytest.mark.parametrize("way", [{}, {"block_cells": 8}, {"vocabulary": 0}, {"vocabulary": 0, "block_cells": 1}])
+@pytest.mark.parametrize("terms", [8, None])
+def test_tfidf_against_brute_force(chunks, queries, way, terms):
+    index = V.tfidf_index(chunks, max_terms=terms, stop_words=["and"])
+    assert index.n_terms == (terms or index.terms.count()) and index.n_chunks == len(TEXTS)
+    assert found(V.tfidf_topk(index, chunks, queries, 2, **way)) == expected_cosines(terms, {"and"}, 2)
+
+
+def test_only_the_best_rows_are_shuffled(chunks, queries, capsys):
+    V.tfidf_topk(V.tfidf_index(chunks), chunks, queries, 2).explain()
+    text = capsys.readouterr().out
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
 
 
 def test_empty_vocabulary(spark, chunks, queries):
     index = V.tfidf_index(spark.createDataFrame([(1, "a")], "chunk_id long, text string"))
-    assert index.terms == () and V.tfidf_topk(index, chunks, queries).count() == 0
+    assert index.n_terms == 0 and V.tfidf_topk(index, chunks, queries).count() == 0
 
 
 def test_every_chunk_finds_itself(book):
@@ -86,7 +93,7 @@ def test_padded_keywords(chunks, queries):
     assert found(V.keyword_topk(chunks, queries, 5, pad=True)) == sorted(expected)
 
 
-@pytest.mark.parametrize("way", [{}, {"broadcast_numbers": 12, "cell_rows": 15}])
+@pytest.mark.parametrize("way", [{}, {"broadcast_numbers": 12}])
 def test_nearest_against_brute_force(spark, way):
     rng = np.random.default_rng(1)
     points = rng.integers(0, 4, (60, 4)).astype(float)
@@ -129,3 +136,29 @@ def test_context_and_prompt(chunks, queries):
     prompts = {r["query_id"]: r["prompt"] for r in V.augmented_prompts(queries, contexts, 10).collect()}
     assert prompts[2] == "nothing known"
     assert prompts[1] == "école\n\n[Retrieved dataset context]\n- École de…"
+
+
+def test_nearest_of_wide_vectors_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(300, 700))
+    points[250:] = points[:50]
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(rows[:20], "query_id long, embedding array<double>")
+    monkeypatch.setattr(V, "CELL_NUMBERS", 7_000)
+    monkeypatch.setattr(V, "CELL_QUERIES", 7)
+    expected = []
+    for q in range(20):
+        order = sorted((round(float(((p - points[q]) ** 2).sum()), 9), i) for i, p in enumerate(points))[:3]
+        expected += [(q, r + 1, i, round(d, 6)) for r, (d, i) in enumerate(order)]
+    assert found(V.knn_topk(vectors, queries, 3), "distance") == sorted(expected)
+
+
+def test_rows_with_the_same_roll_keep_their_own_chunk(spark):
+    rows = [(7, "a", 1.0), (7, "b", 2.0), (7, "b", 2.0), (8, "c", 3.0)]
+    chunks = V.row_chunks(prepare(spark.createDataFrame(rows, "roll long, name string, maths double")))
+    ids = [r["chunk_id"] for r in chunks.collect()]
+    assert len(set(ids)) == len(ids) == 4 and "row:8" in ids
+    index = V.tfidf_index(chunks, stop_words=[])
+    best = V.tfidf_topk(index, chunks, chunks.selectExpr("chunk_id AS query_id", "text"), 1).collect()
+    assert all(r["score"] <= 1 for r in best)
