@@ -102,12 +102,12 @@ def sample_rows(chunks: DataFrame, n: int = fv.MAX_SAMPLE, seed: int = fv.SAMPLE
     The n lowest hashes win. Over a large corpus only hashes below a bound can win, so tasks hand on few rows; the bound
     is used only after a count has shown that enough rows lie below it.
     """
-    place = F.xxhash64("chunk_id", F.lit(seed))
+    place = F.md5(F.concat(F.col("chunk_id").cast("string"), F.lit(f"#{seed}")))
     rows = chunks
     total = chunks.count()
     if total > LARGE_SAMPLE * n:
         share = (n + 10 * math.sqrt(n) + 10) / total
-        low = chunks.where(place < F.lit(int((share * 2 - 1) * 2**63)))
+        low = chunks.where(place < F.lit(f"{int(share * 2**32):08x}"))
         if not _at_most(low, n - 1):
             rows = low
     return rows.orderBy(place, "chunk_id").limit(n)

@@ -283,6 +283,8 @@ documents_by_intent AS (
   JOIN (SELECT subject, string_agg(CAST(json_object('name', name, 'score', score) AS VARCHAR), ',' ORDER BY rank) AS top_3
         FROM best3 GROUP BY subject) b ON s.subject = b.subject)"""
 
+ORDERS = "listed AS (SELECT o_orderkey AS roll, o_orderpriority AS department, o_orderkey % 101 AS marks FROM orders)"
+
 RAW_TABLE = f"WITH {RAW} SELECT * FROM raw"
 
 ORACLE_SQL: dict[str, str] = {
@@ -524,4 +526,56 @@ UNION ALL SELECT query_id, 'retrieval', context FROM contexts""",
     "json_round_trip": RAW_TABLE,
     "parquet_round_trip": RAW_TABLE,
     "search_export": book(f"SELECT roll, student_name, attendance, total FROM book WHERE {FOUND}"),
+    "wide_departments": book(f"""
+SELECT 'D' || roll AS department, 1 AS count, round((algebra + networks + rhetoric) / 3, 2) AS avg_marks,
+       round(attendance, 2) AS avg_attendance, grade, 1 AS grade_count FROM book"""),
+    "wide_summary": book("""
+SELECT count(*) AS total_students, count(*) AS n_departments, md5(string_agg('D' || roll, ',' ORDER BY 'D' || roll)) AS departments_md5
+FROM book"""),
+    "text_gaps": f"""WITH {RAW}
+SELECT CASE WHEN roll % 7 > 0 THEN department ELSE 'Unknown' END AS department, count(*) AS count FROM raw GROUP BY 1""",
+    "regression_split": book("""
+SELECT round(1 - sum((average - a - b * algebra) ** 2) FILTER (WHERE test)
+         / (var_pop(average) FILTER (WHERE test) * count(*) FILTER (WHERE test)), 4) AS r2,
+       round(avg(abs(average - a - b * algebra)) FILTER (WHERE test), 4) AS mae,
+       count(*) FILTER (WHERE NOT test) AS train_samples, count(*) FILTER (WHERE test) AS test_samples
+FROM marked, split_fit""", """,
+marked AS (SELECT *, md5(roll || '|' || student_name || '|42') < '33333333' AS test FROM book),
+split_fit AS (SELECT regr_slope(average, algebra) AS b, regr_intercept(average, algebra) AS a FROM marked WHERE NOT test)"""),
+    "predict_with_gaps": book("""
+SELECT roll, round(a + b * CASE WHEN roll % 10 IN (1, 2) THEN 0 ELSE algebra END, 4) AS predicted_average FROM book, fit""", FIT),
+    "sample_chunks": book("""
+SELECT chunk_id, kind, text FROM chunks WHERE kind = 'row' ORDER BY md5(chunk_id || '#42'), chunk_id LIMIT 2000""", CHUNKS),
+    "repeated_rolls": book("""
+SELECT CASE WHEN count(*) OVER (PARTITION BY shown) > 1 THEN md5(text) END AS own, text
+FROM (SELECT CASE WHEN roll % 11 > 0 THEN CAST(roll // 10 AS DOUBLE) ELSE middle END AS shown,
+             'Student: ' || student_name || ' | Department: ' || department || ' | Attendance: ' || attendance || '%'
+             || ' | algebra: ' || algebra || ' | networks: ' || networks || ' | rhetoric: ' || rhetoric
+             || ' | Average: ' || average || ' | Grade: ' || grade AS text
+      FROM book, (SELECT median(roll // 10) AS middle FROM book WHERE roll % 11 > 0))"""),
+    "reset_conversations": """
+WITH found AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role = 'system')
+SELECT conv_id, turn, role, CASE WHEN place = 1 THEN 'Answer briefly.' ELSE text END AS text FROM found
+UNION ALL
+SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 'system', 'Answer briefly.' FROM conversations
+WHERE conv_id NOT IN (SELECT conv_id FROM found)""",
+    "long_buffers": kept(12).replace("WITH ranked", """
+WITH long_log AS (
+  SELECT conv_id % 10 AS conv_id, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) - 1 AS turn, role, text
+  FROM conversations),
+ranked""").replace("FROM conversations),\nplaced", "FROM long_log),\nplaced"),
+    "csv_ragged": f"""WITH {ORDERS}
+SELECT roll, CASE WHEN roll % 4 = 0 THEN 'x' ELSE 'x, y' END AS word, CASE WHEN roll % 4 = 1 THEN CAST(marks AS DOUBLE) END AS marks
+FROM listed WHERE roll % 4 < 2""",
+    "csv_mixed_headers": f"""WITH {ORDERS}
+SELECT roll, marks, CASE WHEN roll % 2 = 1 THEN department END AS department FROM listed""",
+    "csv_latin1": f"WITH {ORDERS} SELECT roll, 'José Ñandú ' || roll AS name FROM listed",
+    "csv_header_duplicates": f"WITH {ORDERS} SELECT roll, department FROM listed",
+    "long_ids": f"""WITH {ORDERS}
+SELECT '12345678901' || lpad(CAST(roll AS VARCHAR), 8, '0') AS fits, '98765432109' || lpad(CAST(roll AS VARCHAR), 8, '0') AS beyond
+FROM listed""",
+    "json_array": f"WITH {ORDERS} SELECT roll, department, marks FROM listed",
+    "json_columns": f"WITH {ORDERS} SELECT roll, department, marks FROM listed",
+    "json_index": f"WITH {ORDERS} SELECT roll, department, marks FROM listed",
 }
+ORACLE_SQL["transcript_files"] = ORACLE_SQL["transcripts"]

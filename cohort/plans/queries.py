@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohort.functions import exprs as X
 from cohort.operators import charts as C
@@ -174,6 +176,25 @@ def department_grades(spark, sf_dir):
     return R.department_grades(_ds(spark, sf_dir))
 
 
+@query
+def wide_departments(spark, sf_dir):
+    wide = gradebook(spark, sf_dir).withColumn("department", F.concat(F.lit("D"), F.col("roll")))
+    return _with_grades(R.department_stats(P.prepare(wide)))
+
+
+@query
+def wide_summary(spark, sf_dir):
+    wide = gradebook(spark, sf_dir).withColumn("department", F.concat(F.lit("D"), F.col("roll")))
+    found = R.dataset_summary(P.prepare(wide))
+    return found.select("total_students", "n_departments", F.md5(F.array_join("departments", ",")).alias("departments_md5"))
+
+
+@query
+def text_gaps(spark, sf_dir):
+    gaps = gradebook(spark, sf_dir).withColumn("department", F.when(F.col("roll") % 7 > 0, F.col("department")))
+    return P.prepare(gaps).df.groupBy("department").agg(F.count("*").alias("count"))
+
+
 @query
 def department_table(spark, sf_dir):
     return R.department_table(_ds(spark, sf_dir))
@@ -349,6 +370,19 @@ def regression_default(spark, sf_dir):
     return M.train(_ds(spark, sf_dir)).metrics
 
 
+@query
+def regression_split(spark, sf_dir):
+    return M.train(_ds(spark, sf_dir), "Average", ["algebra"]).metrics
+
+
+@query
+def predict_with_gaps(spark, sf_dir):
+    ds = _ds(spark, sf_dir)
+    gap = F.when(F.col("roll") % 10 == 1, None).when(F.col("roll") % 10 == 2, F.lit(float("nan"))).otherwise(F.col("algebra"))
+    scored = _one_feature(spark, sf_dir).predict(ds.df.withColumn("algebra", gap))
+    return scored.select("roll", F.bround("Predicted_Average", 4).alias("predicted_average"))
+
+
 @query
 def batch_predict(spark, sf_dir):
     ds = _ds(spark, sf_dir)
@@ -363,6 +397,14 @@ def chunk_corpus(spark, sf_dir):
     return V.chunk_corpus(_ds(spark, sf_dir))
 
 
+@query
+def repeated_rolls(spark, sf_dir):
+    """Rolls that ten rows share, and one missing roll in eleven, which preparation fills with the median."""
+    shared = F.when(F.col("roll") % 11 > 0, F.floor(F.col("roll") / 10))
+    chunks = V.row_chunks(P.prepare(gradebook(spark, sf_dir).withColumn("roll", shared)))
+    return chunks.select(F.element_at(F.split("chunk_id", "#"), 2).alias("own"), "text")
+
+
 @query
 def sample_chunks(spark, sf_dir):
     return V.sample_rows(V.row_chunks(_ds(spark, sf_dir)))
@@ -456,6 +498,20 @@ def messages_in_order(spark, sf_dir):
     return H.in_order(_messages(spark, sf_dir))
 
 
+@query
+def reset_conversations(spark, sf_dir):
+    return H.clear(_messages(spark, sf_dir), NEW_SYSTEM)
+
+
+@query
+def long_buffers(spark, sf_dir):
+    """Ten long conversations, with system messages all along them."""
+    place = Window.partitionBy("long_id").orderBy("conv_id", "turn")
+    long = _messages(spark, sf_dir).withColumn("long_id", F.col("conv_id") % 10).select(
+        F.col("long_id").alias("conv_id"), (F.row_number().over(place) - 1).cast("long").alias("turn"), "role", "text")
+    return H.buffer(long)
+
+
 @query
 def recent_n(spark, sf_dir):
     return H.recent(_messages(spark, sf_dir), 3)
@@ -538,3 +594,100 @@ def parquet_round_trip(spark, sf_dir):
     path = shared_folder(spark, "gradebook-parquet")
     writers.write_table(gradebook(spark, sf_dir), path, "parquet")
     return load_table(spark, path, "parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("roll"), F.col("o_orderpriority").alias("department"),
+        (F.col("o_orderkey") % 101).alias("marks"))
+
+
+def _write_with_header(lines: DataFrame, header: str, path: str) -> str:
+    """Lines of text as files that start with a header line each."""
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    lines.select(F.col(lines.columns[0]).alias("value")).mapInPandas(headed, "value string").write.text(path)
+    return path
+
+
+@query
+def csv_ragged(spark, sf_dir):
+    roll, marks = F.col("roll").cast("string"), F.col("marks").cast("string")
+    line = F.when(F.col("roll") % 4 == 0, F.concat_ws(",", roll, F.lit("x"))).when(
+        F.col("roll") % 4 == 1, F.concat_ws(",", roll, F.lit('"x, y"'), marks)).when(
+        F.col("roll") % 4 == 2, F.concat_ws(",", roll, F.lit("x"), marks, F.lit("more"))).otherwise(F.lit(",,"))
+    path = _write_with_header(_orders(spark, sf_dir).select(line), "roll,word,marks", shared_folder(spark, "ragged"))
+    return load_table(spark, path, "csv")
+
+
+@query
+def csv_mixed_headers(spark, sf_dir):
+    rows, path = _orders(spark, sf_dir), shared_folder(spark, "mixed")
+    rows.where("roll % 2 = 0").select("roll", "marks").write.csv(f"{path}/a", header=True)
+    rows.where("roll % 2 = 1").select("marks", "department", "roll").write.csv(f"{path}/b", header=True)
+    return load_table(spark, f"{path}/*", "csv").select("roll", "marks", "department")
+
+
+@query
+def csv_latin1(spark, sf_dir):
+    path = shared_folder(spark, "latin1")
+    names = _orders(spark, sf_dir).select("roll", F.concat(F.lit("José Ñandú "), "roll").alias("name"))
+    names.write.option("encoding", "ISO-8859-1").csv(path, header=True)
+    return load_table(spark, path, "csv")
+
+
+@query
+def csv_header_duplicates(spark, sf_dir):
+    lines = _orders(spark, sf_dir).select(F.concat_ws(",", F.col("roll"), F.lit("later"), F.col("department"), F.lit("")))
+    path = _write_with_header(lines, "roll, roll ,department,empty", shared_folder(spark, "duplicates"))
+    return load_table(spark, path, "csv")
+
+
+@query
+def long_ids(spark, sf_dir):
+    key = F.lpad(F.col("roll").cast("string"), 8, "0")
+    path = shared_folder(spark, "ids")
+    _orders(spark, sf_dir).select(
+        F.concat(F.lit("12345678901"), key).alias("fits"), F.concat(F.lit("98765432109"), key).alias("beyond"),
+    ).write.csv(path, header=True)
+    ids = P.prepare(load_table(spark, path, "csv")).df
+    return ids.select(F.col("fits").cast("string").alias("fits"), F.col("beyond").cast("string").alias("beyond"))
+
+
+def _json_documents(spark: SparkSession, sf_dir: str, document) -> str:
+    """One JSON document per file, over 16 groups of rows."""
+    path = shared_folder(spark, "documents")
+    grouped = _orders(spark, sf_dir).groupBy((F.col("roll") % 16).alias("part")).agg(document.alias("value"))
+    grouped.repartition(16, "part").write.partitionBy("part").text(path)
+    return f"{path}/*/*.txt"
+
+
+@query
+def json_array(spark, sf_dir):
+    rows = F.to_json(F.collect_list(F.struct("roll", "department", "marks")))
+    return load_table(spark, _json_documents(spark, sf_dir, rows), "json")
+
+
+def _mapped(key: str, value) -> object:
+    return F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), value)))
+
+
+@query
+def json_columns(spark, sf_dir):
+    columns = F.to_json(F.struct(*[_mapped("roll", F.col(c)).alias(c) for c in ("roll", "department", "marks")]))
+    return load_table(spark, _json_documents(spark, sf_dir, columns), "json")
+
+
+@query
+def json_index(spark, sf_dir):
+    index = F.to_json(_mapped("roll", F.struct("roll", "department", "marks")))
+    return load_table(spark, _json_documents(spark, sf_dir, index), "json", orient="index")
+
+
+@query
+def transcript_files(spark, sf_dir):
+    path = shared_folder(spark, "transcripts")
+    H.write_transcripts(_messages(spark, sf_dir), path)
+    return spark.read.schema("conv_id bigint, segment bigint, transcript string").json(path)

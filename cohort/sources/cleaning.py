@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohort.functions.exprs import col
-from cohort.operators.prepare import check_name_clash, is_integer_text, numeric_text
+from cohort.operators.prepare import check_name_clash, is_integer_text, is_long_id_text, numeric_text
 
 BOOLEAN = r"^(?i:true|false)$"
 
@@ -45,7 +45,7 @@ def drop_blank(df: DataFrame) -> DataFrame:
 def typed_from_text(df: DataFrame) -> DataFrame:
     """Type text columns whose values all parse, and drop blank rows and columns; one counting pass.
 
-    Whole numbers without a gap become long, other numbers double, true/false boolean.
+    Whole numbers without a gap become long, other numbers double, true/false boolean; whole numbers beyond a long stay text.
     """
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(df.columns):
@@ -53,6 +53,7 @@ def typed_from_text(df: DataFrame) -> DataFrame:
             F.count(col(c)).alias(f"present_{i}"),
             F.count(numeric_text(col(c))).alias(f"numbers_{i}"),
             F.count_if(is_integer_text(col(c))).alias(f"whole_{i}"),
+            F.count_if(is_long_id_text(col(c))).alias(f"beyond_{i}"),
             F.count_if(col(c).rlike(BOOLEAN)).alias(f"booleans_{i}"),
         ]
     found = df.agg(*aggs).first()
@@ -67,7 +68,7 @@ def typed_from_text(df: DataFrame) -> DataFrame:
         value = col(c)
         if found[f"whole_{i}"] == rows:
             value = F.trim(value).try_cast("long")
-        elif found[f"numbers_{i}"] == present:
+        elif found[f"numbers_{i}"] == present and not found[f"beyond_{i}"]:
             value = numeric_text(value)
         elif found[f"booleans_{i}"] == present:
             value = value.try_cast("boolean")
