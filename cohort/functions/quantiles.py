@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions.exprs import col
 
+from cohort.session import written
+
 SALTS = 64
 PART_ROWS = 100_000
 GRID = 100
@@ -76,10 +78,19 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
             t.high = min(t.high, grid[i, upper][1])
 
 
+def _reached_by_ranges(table: DataFrame) -> DataFrame:
+    """How many values lie up to each one, for a column whose distinct values could not be narrowed: summed in ranges of them."""
+    ranges = written(table.repartitionByRange("target", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("target", "part").agg(F.sum("n").alias("held"))     # one row per range
+    before = sums.select("target", "part", (F.sum("held").over(Window.partitionBy("target").orderBy("part")) - F.col("held")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("target", "part").orderBy("value"))
+    return ranges.join(before, ["target", "part"]).withColumn("reached", F.col("before") + inside)
+
+
 def _finish(df: DataFrame, targets: list[_Target]) -> list[float]:
     table = _long(df, targets).groupBy("target", "value").agg(F.count("*").alias("n"))
-    reached = F.sum("n").over(Window.partitionBy("target").orderBy("value"))
-    pick = table.withColumn("reached", reached)
+    pick = _reached_by_ranges(table) if any(not t.distinct for t in targets) else table.withColumn(
+        "reached", F.sum("n").over(Window.partitionBy("target").orderBy("value")))
     first = F.lit(None).cast("double")
     second = F.lit(None).cast("double")
     for i, t in enumerate(targets):

@@ -306,17 +306,20 @@ def keyword_topk(
         per_query = asked.groupBy("query_id").agg(entries.alias("words"))
         listed = per_query.agg(F.collect_list(F.struct("query_id", "words"))).scalar()
 
-        def score(text: Column, query: Column) -> Column:
-            hits = F.filter(query["words"], lambda w: F.contains(text, w["word"]))
+        every = asked.agg(F.collect_set("word")).scalar()
+
+        def score(found: Column, query: Column) -> Column:
+            hits = F.filter(query["words"], lambda w: F.array_contains(found, w["word"]))
             return F.aggregate(hits, F.lit(0).cast("long"), lambda total, w: total + w["times"])
 
-        # words hold no white space, so the distinct parts of a chunk stand for it; the outer array of one holds them,
-        # so they are computed once per chunk
+        # words hold no white space, so the distinct parts of a chunk stand for it; every word is tried once per chunk, and
+        # arrays of one hold what is computed once
         parts = F.array_join(F.array_distinct(X.words(F.col("text"))), " ")
-        cells = F.transform(F.array(parts), lambda text: F.transform(
-            "asked", lambda q: F.struct(q["query_id"].alias("query_id"), score(text, q).alias("score"))
+        found = F.transform(F.array(parts), lambda text: F.filter("every", lambda w: F.contains(text, w)))[0]
+        cells = F.transform(F.array(found), lambda words: F.transform(
+            "asked", lambda q: F.struct(q["query_id"].alias("query_id"), score(words, q).alias("score"))
         ))[0]
-        asked_by_all = chunks.select("chunk_id", "text", listed.alias("asked"))
+        asked_by_all = chunks.select("chunk_id", "text", listed.alias("asked"), every.alias("every"))
         scored = asked_by_all.select("chunk_id", F.inline(cells)).where(F.col("score") > 0)
     else:
         scored = _keyword_join(chunks, asked)

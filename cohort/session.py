@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,9 @@ def local_session(cores: int = 8, name: str = "cohort", **conf) -> SparkSession:
     return spark
 
 
+_made: list[str] = []     # what this process has written to the shared folder
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path under the session's spark.checkpoint.dir; a temporary folder only on a local master without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,8 +40,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cohort-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder so far; frames that still read it are gone then.
+
+    Results are lazy, so call it when they have been used: at the end of a job, or between jobs.
+    """
+    jvm, n = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, purpose: str = "table") -> DataFrame:

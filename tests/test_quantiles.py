@@ -29,3 +29,38 @@ def test_empty_and_single(spark):
     assert exact_quantiles(frame(spark, [None, None]), ["v"], [0.5]) == {"v": [None]}
     assert exact_quantiles(frame(spark, [7]), ["v"], [0.25, 0.5]) == {"v": [7.0, 7.0]}
     assert exact_quantiles(frame(spark, [1, 2]), ["v"], [0.5]) == {"v": [1.5]}
+
+
+def test_a_bracket_that_does_not_shrink(spark):
+    """Distinct values are said to be many but are two, so narrowing gives up and sums by ranges."""
+    values = [1.0] * 30 + [5.0] * 71
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    found = exact_quantiles(df, ["x"], [0.0, 0.25, 0.3, 0.5, 1.0], limit=1, known={"x": (len(values), 10**9)})
+    assert found["x"] == [float(np.quantile(values, p)) for p in (0.0, 0.25, 0.3, 0.5, 1.0)]
+
+
+def test_sums_by_ranges(spark):
+    from cohort.functions.quantiles import _reached_by_ranges
+
+    rows = [(t, float(v), v % 3 + 1) for t in (0, 1) for v in range(200)]
+    got = {(r["target"], r["value"]): r["reached"] for r in _reached_by_ranges(
+        spark.createDataFrame(rows, "target int, value double, n long").repartition(5)).collect()}
+    for t in (0, 1):
+        total = 0
+        for v in range(200):
+            total += v % 3 + 1
+            assert got[t, float(v)] == total
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    import os
+
+    from cohort import session
+
+    session.written(spark.range(3), "scratch")
+    path = session._made[-1]
+    bare = path.removeprefix("file://")
+    assert os.path.isdir(bare)
+    kept, session._made[:] = session._made[:-1], [path]
+    assert session.remove_scratch(spark) == 1 and not os.path.exists(bare)
+    session._made[:] = kept
