@@ -140,11 +140,22 @@ class Best:
 
     def __init__(self, n_queries: int, k: int):
         self.k, self.limit = k, np.full(n_queries, np.inf)
-        self.query, self.id, self.value = np.empty(0, np.int64), np.empty(0, object), np.empty(0)
+        self.query, self.id, self.value = np.empty(0, np.int64), None, np.empty(0)
+
+    def add_scores(self, ids: np.ndarray, values: np.ndarray) -> None:
+        """Rows for a matrix of values, whose rows are in the order of their ids; positive values do not count."""
+        i, q = np.nonzero((values < 0) & (values <= self.limit))
+        if len(i) > 4 * self.k * values.shape[1]:
+            # many rows tie: the first k of each query, found by a stable sort, are all that can stay
+            first = np.argsort(values, axis=0, kind="stable")[:self.k]
+            i, q = first.T.reshape(-1), np.repeat(np.arange(values.shape[1]), len(first))
+            live = values[i, q] < 0
+            i, q = i[live], q[live]
+        self.add(q, ids[i], values[i, q])
 
     def add(self, query: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
         query, value = np.concatenate([self.query, query]), np.concatenate([self.value, value])
-        ids = np.concatenate([self.id, ids])
+        ids = ids if self.id is None else np.concatenate([self.id, ids])
         order = np.lexsort((ids, value, query))
         query, ids, value = query[order], ids[order], value[order]
         first = np.searchsorted(query, query)               # where each row's query begins
@@ -154,7 +165,14 @@ class Best:
         self.limit[query[full]] = value[full]
 
     def frame(self, query_ids: np.ndarray, names: tuple[str, str, str], sign: float = 1.0) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(names, (query_ids[self.query], self.id, sign * self.value))))
+        ids = np.empty(0, object) if self.id is None else self.id.astype(object)
+        return pd.DataFrame(dict(zip(names, (query_ids[self.query], ids, sign * self.value))))
+
+
+def _ids(column: pd.Series) -> np.ndarray:
+    """Ids as an array that sorts without Python: numbers, or texts of one width."""
+    found = column.to_numpy()
+    return found.astype(str) if found.dtype == object else found
 
 
 # TF-IDF --------------------------------------------------------------------------------------------------------------
@@ -271,16 +289,16 @@ def tfidf_topk(
             query_ids, matrix = sent.value
             best = Best(len(query_ids), k)
             for batch in batches:
-                chunk_ids, cells = batch["chunk_id"].to_numpy(object), batch["cells"].to_numpy()
+                chunk_ids, cells = _ids(batch["chunk_id"]), batch["cells"].to_numpy()
+                order = np.argsort(chunk_ids, kind="stable")
+                chunk_ids, cells = chunk_ids[order], cells[order]
                 for start in range(0, len(cells), SCORED_ROWS):
                     some = cells[start:start + SCORED_ROWS]
                     scores = np.zeros((len(some), len(query_ids)))
                     for i, found in enumerate(some):
                         if len(found):
                             scores[i] = np.array([c["weight"] for c in found]) @ matrix[[c["place"] for c in found]]
-                    values = -np.round(scores, SCORE_PLACES)
-                    i, q = np.nonzero((values < 0) & (values <= best.limit))
-                    best.add(q, chunk_ids[start + i], values[i, q])
+                    best.add_scores(chunk_ids[start:start + SCORED_ROWS], -np.round(scores, SCORE_PLACES))
             yield best.frame(query_ids, ("query_id", "chunk_id", "score"), -1.0)
 
         parts.append(vectors.mapInPandas(search, schema))
@@ -400,7 +418,7 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = fv.TOP_K, broadcas
             query_ids, points = sent.value
             best = Best(len(query_ids), k)
             for batch in batches:
-                ids, embeddings = batch["chunk_id"].to_numpy(object), batch["embedding"].to_numpy()
+                ids, embeddings = _ids(batch["chunk_id"]), batch["embedding"].to_numpy()
                 for start in range(0, len(ids), at_once):
                     cells = _matrix(embeddings[start:start + at_once])
                     for q0 in range(0, len(points), CELL_QUERIES):
