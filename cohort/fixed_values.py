@@ -105,3 +105,12 @@ MISSING_CELLS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
+
+# Texts of errors that callers see.
+NO_DEPARTMENT = "No department column detected."
+NO_ATTENDANCE = "No attendance column detected."
+NO_SUBJECTS = "No subject/marks columns detected."
+NO_MARKS = "No numeric marks columns found."
+NO_NAME = "No student name column detected."
+NO_GRADE = "No Grade column (need subject marks)"
+NO_NAME_OR_SUBJECT = "Missing name or subject column"

@@ -58,7 +58,7 @@ def department_marks(ds: Dataset) -> DataFrame:
 def grade_counts(ds: Dataset) -> DataFrame:
     """Rows per known grade, best grade first; absent grades are left out."""
     if "Grade" not in ds.df.columns:
-        raise ValueError("No Grade column (need subject marks)")
+        raise ValueError(fv.NO_GRADE)
     order = F.array(*[F.lit(g) for g in fv.GRADE_ORDER])
     grade = F.col("Grade").cast("string").alias("grade")
     counts = ds.df.select(grade).where(F.col("grade").isin(fv.GRADE_ORDER)).groupBy("grade").count()
@@ -98,7 +98,7 @@ def subject_top_n(ds: Dataset, subject: str, n: int = 10) -> DataFrame:
     """The n best rows in one subject; rows without name or score are left out."""
     name = ds.need("student_name", R.NO_NAME)
     if subject not in ds.df.columns:
-        raise ValueError("Missing name or subject column")
+        raise ValueError(fv.NO_NAME_OR_SUBJECT)
     rows = ds.df.where(col(name).isNotNull() & col(subject).isNotNull())
     best = rows.orderBy(col(subject).desc(), *ds.order_keys(name, subject)).limit(n)
     return best.select(col(name).cast("string").alias("name"), col(subject).alias("score"))

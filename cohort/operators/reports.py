@@ -11,11 +11,8 @@ from cohort.functions import exprs as X
 from cohort.functions.exprs import col
 from cohort.operators.prepare import Dataset
 
-NO_DEPARTMENT = "No department column detected."
-NO_ATTENDANCE = "No attendance column detected."
-NO_SUBJECTS = "No subject/marks columns detected."
-NO_MARKS = "No numeric marks columns found."
-NO_NAME = "No student name column detected."
+NO_DEPARTMENT, NO_ATTENDANCE, NO_SUBJECTS = fv.NO_DEPARTMENT, fv.NO_ATTENDANCE, fv.NO_SUBJECTS
+NO_MARKS, NO_NAME = fv.NO_MARKS, fv.NO_NAME
 
 
 def _subjects(ds: Dataset) -> tuple[str, ...]:

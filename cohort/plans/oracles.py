@@ -202,6 +202,7 @@ ASKED = f"""{SAMPLES}
   UNION ALL SELECT DISTINCT 'group:' || department, 'Compare algebra and grade of ' || department FROM raw
   UNION ALL SELECT 'turn:' || conv_id || ':' || turn, text FROM conversations WHERE role = 'user'"""
 
+# The words of each intent, in the order in which they are tried.
 INTENT_WORDS = {
     "summary": ["summary", "overview", "about"],
     "count": ["total", "how many", "count"],
