@@ -16,6 +16,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
@@ -23,6 +24,8 @@ from tokenizers import Tokenizer
 from cohort.llm.common import Memo, map_texts, once
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+# Characters that normalisation leaves alone but for their case, which is the same in every library.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0137\u0139-\u0148\u014a-\u017e]+")
 LEAF = 4_096     # symbols of a leaf of the tree; longer words are put together
 WINDOW = 8       # tokens on each side of a join that are encoded again at first
 
@@ -41,6 +44,11 @@ class Codec:
         self.merges = Tokenizer.from_str(json.dumps(spec | {
             "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
         self.by_run = self._drops_space()
+        self.pattern = self._pattern(spec) if self.by_run else None
+        self.words = Memo(self._merge_words)
+        # the printable form of each byte in a byte-level vocabulary: itself, or the next free code point from 256 on
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.printable = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
         self.tokens = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
         self.memo = Memo(self.encode_runs)
 
@@ -66,9 +74,36 @@ class Codec:
                     out += self.tree(word)
         return out
 
+    def _pattern(self, spec: dict):
+        """The splitting pattern, when the file lower-cases, splits by a pattern and maps bytes, and does nothing else."""
+        form = lambda x, *names: [s.get("type") for s in (x or {}).get(names[0], [])] == list(names[1:])
+        if not (form(spec["normalizer"], "normalizers", "NFC", "Replace", "Lowercase")
+                and form(spec["pre_tokenizer"], "pretokenizers", "Split", "ByteLevel")):
+            return None
+        space, (split, level) = spec["normalizer"]["normalizers"][1], spec["pre_tokenizer"]["pretokenizers"]
+        known = (space["pattern"] == {"Regex": "\\s+"} and space["content"] == " " and split["invert"] and split["behavior"] == "Removed"
+                 and "Regex" in split["pattern"] and not level["add_prefix_space"] and not level["use_regex"])
+        pattern = regex.compile(split["pattern"]["Regex"]) if known else None
+        # most runs are a word, or one with a mark or digit behind, and are told without the pattern
+        usual = {"ab": ["ab"], "ab,": ["ab", ","], "ab1": ["ab", "1"], "ab'": ["ab", "'"], "é-": ["é", "-"]}
+        return pattern if known and all(pattern.findall(t) == words for t, words in usual.items()) else None
+
+    def _merge_words(self, words: list[str]) -> list[list[int]]:
+        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(self.printable) for w in words]
+        return [e.ids for e in self.merges.encode_batch_fast(mapped, add_special_tokens=False)]
+
     def encode_runs(self, runs: list[str]) -> list[list[int]]:
-        short = iter(self.whole.encode_batch_fast([r for r in runs if len(r) <= self.leaf], add_special_tokens=False))
-        return [next(short).ids if len(r) <= self.leaf else self.run(r) for r in runs]
+        """The ids of each run. Plain runs are split here and their words, which repeat more than runs, are remembered."""
+        everything = "\n".join(runs)
+        special = any(t in everything for t in self.special)
+        kinds = [2 if len(r) > self.leaf else self.pattern is not None and PLAIN.fullmatch(r) is not None
+                 and not (special and any(t in r for t in self.special)) for r in runs]
+        split = [(r.lower(),) if r.isalpha() else (r[:-1].lower(), r[-1]) if r[:-1].isalpha() else self.pattern.findall(r.lower())
+                 for r, k in zip(runs, kinds) if k is True]
+        code = self.words.codes(split)
+        plain = iter([code(words[0]) if len(words) == 1 else [i for w in words for i in code(w)] for words in split])
+        other = iter(self.whole.encode_batch_fast([r for r, k in zip(runs, kinds) if k is False], add_special_tokens=False))
+        return [next(plain) if k is True else next(other).ids if k is False else self.run(r) for r, k in zip(runs, kinds)]
 
     def tree(self, word: str) -> list[int]:
         """The ids of one word, which the splitting pattern does not cut."""
@@ -114,7 +149,7 @@ class Codec:
 
 def codec(path: str = VOCABULARY) -> Codec:
     """The codec of a worker process."""
-    return once(f"codec {path}", lambda: Codec(path))
+    return once(f"bpe codec {path}", lambda: Codec(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -154,10 +189,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
         def forms(runs):
             return [(len(ids), " ".join(map(str, ids)), " ".join([tool.tokens[i] for i in ids]),
-                     np.array(ids, np.int32))[:3 if plain and not with_ids else 4]
+                     np.array(ids, "<i4").tobytes())[:3 if plain and not with_ids else 4]
                     for ids in tool.encode_runs(runs)]
 
-        memo = once(f"digests {path} {with_ids}", lambda: Memo(forms))
+        memo = once(f"bpe digests {path} {with_ids}", lambda: Memo(forms))
         split = [tool.runs(t.decode()) for t in texts]
         code = memo.codes(split)
         n, hashed, decoded, ids = [], [], [], []
@@ -165,10 +200,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             got = [g for g in map(code, runs) if g[0]]
             n.append(sum([g[0] for g in got]))
             hashed.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
-            text = " ".join([g[2] for g in got]) if plain else tool.decode([i for g in got for i in g[3].tolist()])
+            text = " ".join([g[2] for g in got]) if plain else tool.decode(np.frombuffer(b"".join([g[3] for g in got]), "<i4").tolist())
             decoded.append(hashlib.sha256(text.encode()).hexdigest())
             if with_ids:
-                ids.append(np.concatenate([g[3] for g in got]) if got else [])
+                ids.append(np.frombuffer(b"".join([g[3] for g in got]), "<i4"))
         return [n, hashed, decoded] + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

@@ -13,15 +13,22 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from cohort.session import written
 
-PIECE_BYTES = 8 << 20   # text that a Python worker holds as objects at once, unless one text is longer
+PIECE_BYTES = 2 << 20   # text that a Python worker holds as objects at once, unless one text is longer
 PIECE_ROWS = 2_000
 MEMO_WORDS = 300_000    # words whose encoding a worker remembers; later words are encoded each time they come
 MEMO_CHARS = 64
 
 
 def once(key: str, make: Callable):
-    """A value made once in each Python worker process and kept for its later tasks."""
+    """A value made once in each Python worker process and kept for its later tasks.
+
+    The first word of the key names a family; a worker keeps the values of one family, so those of an earlier stage go.
+    """
     store = sys.modules.setdefault("_cohort_llm_store", types.ModuleType("_cohort_llm_store")).__dict__
+    family = key.split(" ", 1)[0]
+    if store.get("family") != family:
+        store.clear()
+        store["family"] = family
     if key not in store:
         store[key] = make()
     return store[key]
@@ -93,8 +100,7 @@ class Memo(dict):
 
     def codes(self, texts: list[list]) -> Callable:
         """A lookup that knows every word of these texts; unknown ones are encoded together, once."""
-        known = self.keys()
-        new = list({w for words in texts for w in words if w not in known})
+        new = list(set().union(*texts).difference(self))
         if not new:
             return self.__getitem__
         fresh = dict(zip(new, self.encode(new)))

@@ -40,11 +40,11 @@ def _frames(payloads: list[bytes]) -> list[bytes]:
 def _encoder(path: str, end_id: int | None):
     def make():
         tool = codec(path)
-        kind = "<u2" if max(len(tool.tokens), (end_id or 0) + 1) <= 1 << 16 else "<u4"
-        memo = Memo(lambda runs: [np.array(i, kind).tobytes() for i in tool.encode_runs(runs)])
-        return tool, memo, np.dtype(kind).itemsize, b"" if end_id is None else np.array([end_id], kind).tobytes()
+        width, kind = (2, "H") if max(len(tool.tokens), (end_id or 0) + 1) <= 1 << 16 else (4, "I")
+        memo = Memo(lambda runs: [struct.pack(f"<{len(i)}{kind}", *i) for i in tool.encode_runs(runs)])
+        return tool, memo, width, b"" if end_id is None else struct.pack(f"<{kind}", end_id)
 
-    return once(f"records {path} {end_id}", make)
+    return once(f"bpe records {path} {end_id}", make)
 
 
 def write_records(
