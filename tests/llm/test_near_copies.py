@@ -1,0 +1,61 @@
+"""Near copies of the pipeline against all pairs of small tables."""
+
+import random
+
+import corpus_pipeline
+from cohort.llm import near_copies, simhash
+from tests.llm.cases import as_bag, docs, empty, rows
+
+
+def shingled(text, k=5):
+    words = (text or "").encode().lower().split()
+    k = min(k, len(words))
+    return set(zip(*(words[i:] for i in range(k)))) if k else set()
+
+
+def slow_groups(table, similarity=0.8):
+    """(id, smallest id of the component) by all pairs."""
+    sets, group = [shingled(t) for _, t, *_ in table], list(range(len(table)))
+    for a in range(len(table)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if group[a] != group[b] and (not union or len(sets[a] & sets[b]) / union >= similarity):
+                group = [group[b] if g == group[a] else g for g in group]
+    ids = {g: min((table[i][0] for i in range(len(table)) if group[i] == g and table[i][0] is not None), default=None) for g in group}
+    return [(table[i][0], ids[group[i]]) for i in range(len(table))]
+
+
+def edited(n=12, seed=3):
+    """(id, text, lang, source, n_chars): texts and copies with some of their words replaced; one text has many copies."""
+    r = random.Random(seed)
+    out = []
+    for g in range(n):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(120, 400))]
+        for copy in range(40 if g == 0 else 4):
+            now = list(words)
+            for _ in range(copy and r.randint(1, max(1, len(now) // 60))):
+                now[r.randrange(len(now))] = f"new{r.randrange(5000)}"
+            out.append((len(out), " ".join(now), "en", "made", 0))
+    return out
+
+
+def test_groups_against_all_pairs(spark):
+    assert as_bag(map(tuple, near_copies.near_copies(docs(spark)).collect())) == as_bag(slow_groups(rows()))
+
+
+def test_the_stage_drops_edited_copies(spark, sf_dir):
+    made = edited()
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted(i for i, c in slow_groups(made) if i == c)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, sf_dir).collect())
+    assert got == want
+    # three bits of SimHash leave many of them
+    assert simhash.keep_first(table).count() > len(want)
+
+
+def test_empty_tables_and_columns(spark):
+    assert near_copies.near_copies(empty(spark)).count() == 0
+    kept = near_copies.keep_first(docs(spark))
+    assert kept.columns == docs(spark).columns
+    ids = [r[0] for r in kept.collect()]
+    assert 103 not in ids and 101 not in ids and 5 in ids and 100 in ids and ids.count(None) == 2
