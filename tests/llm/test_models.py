@@ -169,3 +169,11 @@ def test_more_text_is_learned_from(spark):
     assert sum(r["bits_per_byte"] for r in got) / len(got) < 2.6
 
 
+
+
+def test_all_contexts_are_counted():
+    assert M.ORDERS == (3, 4, 5, 7) and M.BACK == 7 and len(M.BITS) == len(M.START) == 5
+    # seven bytes of a word tell apart what six do not
+    keys = [np.array([sum(b << 8 * k for k, b in enumerate(t[::-1]))], np.uint64) for t in (b"aabcdefg", b"babcdefg")]
+    assert int(M.contexts(keys[0])[3][0]) != int(M.contexts(keys[1])[3][0])
+    assert int(M.contexts(keys[0])[4][0]) != int(M.contexts(keys[1])[4][0])
