@@ -6,7 +6,8 @@ goes term set by term set: without enough upper bounds there is no pivot and the
 added up next, and only where a block can reach the threshold are full scores computed. What is retrieved is verified on the
 word shingles of question and answer.
 
-Documents stay where they are. Items are indexed in blocks of bounded size, each sent to the executors in turn.
+Documents stay where they are. Distinct item texts are indexed in blocks of bounded size, each sent to the executors in turn;
+document frequencies, lengths and numbers are those of all items, so the blocks change no score. Ids are joined back.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from cohort.llm.common import keep_texts, named, pieces, texts_of, utf8
+from cohort.session import written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -46,14 +47,34 @@ def shingles(words: list[str]) -> set[tuple]:
     return set(zip(*(words[i:] for i in range(k)))) if k else set()
 
 
-def build_index(items: list[tuple]) -> dict:
-    """The index of (id, question, answer) rows; texts may be None."""
+def segments(question: list[str], answer: list[str]) -> list[list[str]]:
+    """The words of an item in segments; an item without a question is searched by its answer."""
+    words = question or answer
+    return [words[i:i + SEGMENT] for i in range(0, len(words), SEGMENT)]
+
+
+def statistics(parts: list[tuple]) -> dict:
+    """What scores need of (segment, how many items have it): document frequencies, number, words, longest segment."""
+    df: Counter = Counter()
+    for part, times in parts:
+        for w in set(part):
+            df[w] += times
+    return {"df": df, "n": sum(t for _, t in parts), "words": sum(len(p) * t for p, t in parts),
+            "span": max((len(p) for p, _ in parts), default=1)}
+
+
+def build_index(items: list[tuple], whole: dict | None = None) -> dict:
+    """The index of (id, question, answer) rows; texts may be None.
+
+    whole: the statistics of all items, when these are a part of them; by default these are all.
+    """
     texts = [(words_of(q or ""), words_of(a or "")) for _, q, a in items]
-    parts = [(j, w[i:i + SEGMENT]) for j, (q, a) in enumerate(texts) for w in [q or a] for i in range(0, len(w), SEGMENT)]
-    df = Counter(w for _, p in parts for w in set(p))
+    parts = [(j, p) for j, (q, a) in enumerate(texts) for p in segments(q, a)]
+    whole = whole or statistics([(p, 1) for _, p in parts])
+    df = whole["df"]
     # neighbours in the order of their most common word score alike, which keeps block maxima tight
     parts.sort(key=lambda x: (max((df[w], w) for w in x[1]), x[0]))
-    n, mean = len(parts), sum(len(p) for _, p in parts) / max(1, len(parts))
+    n, mean = whole["n"], whole["words"] / max(1, whole["n"])
     terms: dict[str, int] = {}
     postings: list[list[tuple]] = []
     own = []
@@ -67,7 +88,7 @@ def build_index(items: list[tuple]) -> dict:
                 postings.append([])
             postings[terms[w]].append((at, s / own[-1]))
     index = {"terms": terms, "of": [j for j, _ in parts], "own": own, "upper": [max(s for _, s in p) for p in postings],
-             "span": max((len(p) for _, p in parts), default=1), "ids": [i for i, _, _ in items],
+             "span": whole["span"], "ids": [i for i, _, _ in items],
              "questions": [shingles(q) for q, _ in texts], "answers": [shingles(a) for _, a in texts]}
     index["parts"] = [(np.array([a for a, _ in p]), np.array([s for _, s in p])) for p in postings]
     index["blocks"] = []
@@ -103,7 +124,7 @@ def retrieve(words: list[str], index: dict, threshold: float = THRESHOLD) -> dic
         for part in np.flatnonzero(scores >= threshold - 1e-9).tolist():
             item, score = index["of"][part], float(scores[part])
             best, at, n, last, own = found.get(item, (0.0, 0, 0, -1, 0.0))
-            if score > best:
+            if score > best + 1e-9:    # sums of equal terms may differ in their last bits
                 best, at, own = score, start, index["own"][part]
             found[item] = (best, at, n + (last != start), start, own)
     return found
@@ -127,18 +148,55 @@ def leaks(text: bytes, index: dict, threshold: float = THRESHOLD, overlap: float
     return out
 
 
-def _indexes(items: DataFrame, item_id: str, question: str, answer: str | None):
-    """Broadcast indexes of all items, one block after the other."""
+def _rows(items: DataFrame, item_id: str, question: str, answer: str | None) -> DataFrame:
+    """(id, q, a, key): the key stands for both texts, null and empty ones told apart."""
     q = named(question).cast("string")
     a = named(answer).cast("string") if answer else F.lit(None).cast("string")
     rows = items.select(named(item_id).alias("id"), q.alias("q"), a.alias("a"))
+    length = lambda c: F.coalesce(F.char_length(c), F.lit(-1)).cast("string")
+    return rows.withColumn("key", F.sha2(F.concat(
+        length("q"), F.lit(" "), length("a"), F.lit(" "), F.coalesce("q", F.lit("")), F.coalesce("a", F.lit(""))), 256))
+
+
+def _statistics(texts: DataFrame):
+    """(block, word, n) of (block, q, a, times): how many segments of a block's items hold a word; and the other statistics."""
+    def run(batches):
+        for batch in batches:
+            found: dict = {}
+            for block, q, a, times in zip(*(c.to_pylist() for c in batch.columns)):
+                found.setdefault(block, []).extend((p, times) for p in segments(words_of(q or ""), words_of(a or "")))
+            for block, parts in found.items():
+                own = statistics(parts)
+                rows = [*own["df"].items()]
+                k = len(rows)
+                # the row without a word holds the number of segments, their words and the longest one
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * (k + 1), pa.int64()), pa.array([w for w, _ in rows] + [None], pa.string()),
+                     pa.array([c for _, c in rows] + [own["n"]], pa.int64()), pa.array([None] * k + [own["words"]], pa.int64()),
+                     pa.array([None] * k + [own["span"] if parts else 1], pa.int64())], names=["block", "word", "n", "words", "span"])
+
+    made = written(texts.select("block", "q", "a", "times").mapInArrow(
+        run, "block long, word string, n long, words long, span long"), "item-words")
+    zero = F.lit(0)
+    n, words, span = made.where("word IS NULL").agg(
+        F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("words"), zero), F.coalesce(F.max("span"), F.lit(1))).first()
+    totals = written(made.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("df")), "item-df")
+    return made.where("word IS NOT NULL").select("block", "word"), totals, {"n": n, "words": words, "span": span}
+
+
+def _indexes(rows: DataFrame):
+    """Broadcast indexes of all distinct texts of items, by their keys, one block after the other."""
+    texts = written(rows.groupBy("key").agg(F.first("q").alias("q"), F.first("a").alias("a"), F.count("*").alias("times")), "items")
     size = F.coalesce(F.char_length("q"), F.lit(0)) + F.coalesce(F.char_length("a"), F.lit(0)) + 64
-    total = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
+    total = texts.agg(F.sum(size.cast("long"))).first()[0] or 0
     n = -(-total * 3 // (2 * INDEX_CHARS)) or 1     # hashed blocks differ in size, so they are planned at two thirds
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("long"))
+    words, totals, rest = _statistics(texts)
     for i in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("q", "a"), F.lit(n)) == i)
-        found = sorted((tuple(r) for r in block.collect()), key=repr)
-        yield items.sparkSession.sparkContext.broadcast(build_index(found))
+        found = sorted(tuple(r) for r in texts.where(F.col("block") == i).select("key", "q", "a").collect())
+        of_block = totals.join(words.where(F.col("block") == i).select("word").distinct(), "word").select("word", "df")
+        whole = {**rest, "df": {w: c for w, c in of_block.collect()}}
+        yield rows.sparkSession.sparkContext.broadcast(build_index(found, whole))
 
 
 def find_leaks(
@@ -153,9 +211,8 @@ def find_leaks(
     found, rows with null ids take part. Empty tables give an empty table; further columns are not read.
     """
     item_name = item_id if item_id != id_col else f"item_{item_id}"
-    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField(item_name, items.schema[item_id].dataType),
+    schema = StructType([StructField("__doc", docs.schema[id_col].dataType), StructField("__key", StringType()),
                          *_parse_datatype_string(FIELDS).fields])
-    item_kind = to_arrow_type(items.schema[item_id].dataType)
     source = texts_of(docs, id_col, text_col)
 
     def search(index) -> DataFrame:
@@ -171,17 +228,22 @@ def find_leaks(
                         columns = list(zip(*rows))
                         kinds = [pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                         yield pa.RecordBatch.from_arrays(
-                            [part.column("id").take(pa.array(at)), pa.array(columns[0]).cast(item_kind),
+                            [part.column("id").take(pa.array(at)), pa.array(columns[0], pa.string()),
                              *[pa.array(c, t) for c, t in zip(columns[1:], kinds)]], names=schema.names)
 
         return source.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, [search(i) for i in _indexes(items, item_id, question, answer)])
+    rows = _rows(items, item_id, question, answer)
+    # a table, so that AQE can split the ids of a text that many items have
+    ids = written(rows.select(F.col("key").alias("__key"), F.col("id").alias("__item")), "item-ids")
+    found = reduce(DataFrame.unionAll, [search(i) for i in _indexes(rows)])
+    measures = [f.name for f in schema.fields[2:]]
+    return found.join(ids, "__key").select("__doc", "__item", *measures).toDF(id_col, item_name, *measures)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", question: str = "text",
                answer: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of docs, with all their columns, that contain no item."""
-    for index in _indexes(items, item_id, question, answer):
+    for index in _indexes(_rows(items, item_id, question, answer)):
         docs = keep_texts(docs, text_col, lambda texts, index=index: [not leaks(t, index.value, threshold, overlap) for t in texts])
     return docs
