@@ -177,3 +177,30 @@ def test_all_contexts_are_counted():
     keys = [np.array([sum(b << 8 * k for k, b in enumerate(t[::-1]))], np.uint64) for t in (b"aabcdefg", b"babcdefg")]
     assert int(M.contexts(keys[0])[3][0]) != int(M.contexts(keys[1])[3][0])
     assert int(M.contexts(keys[0])[4][0]) != int(M.contexts(keys[1])[4][0])
+
+
+def test_long_texts_are_refined_as_often_as_short_ones():
+    import random
+
+    r = random.Random(4)
+    words = [bytes(r.choice(b"abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    text = b" ".join(r.choice(words) for _ in range(7_000))[:33_500]
+    counts = [np.zeros(n, np.uint32) for n in M.TABLES]
+    M.count(counts, [text[:3_000]])
+    tables = [M.predictions(c) for c in counts]
+    start = np.tile(np.array(M.START, np.float32), (8, 1))
+    got, final = M.cost(tables, [text, b"short"], start)
+    data = b"\0" * M.BACK + text + bytes([M.END])
+    n = len(text) + 1
+    keys = np.array([sum(data[p + M.BACK - k] << 8 * k for k in range(M.BACK + 1)) for p in range(n)], np.uint64)
+    x = M._inputs(tables, keys).astype(np.float64)
+    sign = M.SIGNS[np.frombuffer(data[M.BACK:], np.uint8)].astype(np.float64)
+    w, total = start.astype(np.float64) * M.SCALE, 0.0
+    for at in range(0, n, 64):
+        stop = min(n, at + 64)
+        p = 1 / (1 + np.exp(-np.clip(sign[at:stop] * (x[at:stop] * w).sum(axis=2), -15, 15)))
+        total -= np.log(p).sum()
+        wrong = sign[at:stop] * (1 - p)
+        w += (wrong[:, :, None] * x[at:stop]).sum(axis=0) * M.RATE * M.SCALE / (stop - at) * min((stop - at) / 64, 1)
+    assert got[0] == pytest.approx(total, rel=2e-4)
+    assert final[0] == pytest.approx(w / M.SCALE, rel=2e-2, abs=2e-3)
