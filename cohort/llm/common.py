@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -28,6 +29,7 @@ def once(key: str, make: Callable):
     family = key.split(" ", 1)[0]
     if store.get("family") != family:
         store.clear()
+        gc.collect()   # memos and their encoders refer to each other
         store["family"] = family
     if key not in store:
         store[key] = make()
