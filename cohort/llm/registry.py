@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohort.llm import (
     bpe, context_mixing, decontaminate, fertility, html_layout, license_templates, line_dedup, quality_fm, simhash, token_records,
+    turn_repair,
 )
 from cohort.plans.tables import table
 from cohort.session import shared_folder
@@ -94,3 +95,74 @@ def op9_fertility_rules(spark, sf_dir):
 @query
 def op10_license_templates(spark, sf_dir):
     return license_templates.license_scan(_documents(spark, sf_dir))
+
+
+@query
+def op13_turn_repair(spark, sf_dir):
+    return turn_repair.structure_repair(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op13_turn_repair"] = """
+WITH RECURSIVE plain AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           list_concat([4294967295::UBIGINT], list_transform(string_split(
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::UBIGINT)) AS bytes
+    FROM conversations
+), marked AS (
+    SELECT *, xor(4294967295::UBIGINT, list_reduce(bytes, lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+           lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::UBIGINT) ELSE y // 2 END))) % 20 AS kind
+    FROM plain
+), hurt AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM marked WHERE kind <> 0
+), ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+           rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+    FROM hurt
+), judged AS (
+    SELECT conv_id, turn, role, text, pos, left(role, 1) AS i,
+           left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS pair,
+           CASE WHEN shown = '' THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM ordered
+), steps(f, t, i) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+inserts(f, t, cost, letters, lines) AS (
+    VALUES ('0', '0', 0, '', []), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []),
+           ('0', 'u', 3, 'I', ['user:']), ('s', 'u', 3, 'I', ['user:']), ('a', 'u', 3, 'I', ['user:']), ('u', 'a', 3, 'I', ['assistant:']),
+           ('0', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'a', 6, 'II', ['user:', 'assistant:'])
+), edits AS (
+    SELECT conv_id, pos, f, f AS t, 4 AS cost, 'D' AS letter, []::VARCHAR[] AS lines FROM judged, (VALUES ('0'), ('s'), ('u'), ('a')) AS p(f)
+    UNION ALL
+    SELECT conv_id, pos, f, t, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'K', [role || ':' || text]
+    FROM judged JOIN steps USING (i) WHERE fault IN ('', 'truncated')
+    UNION ALL
+    SELECT conv_id, pos, f, t, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R', [CASE steps.i WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+    FROM judged, steps WHERE fault IN ('', 'truncated') AND steps.i <> 's'
+), parse(conv_id, pos, state, best) AS (
+    SELECT conv_id, 0::BIGINT, '0', {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} FROM (SELECT DISTINCT conv_id FROM hurt)
+    UNION ALL
+    SELECT parse.conv_id, parse.pos + 1, edits.t, min({'cost': best.cost + inserts.cost + edits.cost, 'audit': best.audit || inserts.letters || edits.letter,
+               'lines': list_concat(list_concat(best.lines, inserts.lines), edits.lines)})
+    FROM parse JOIN inserts ON inserts.f = parse.state
+    JOIN edits ON edits.conv_id IS NOT DISTINCT FROM parse.conv_id AND edits.pos = parse.pos + 1 AND edits.f = inserts.t
+    GROUP BY parse.conv_id, parse.pos, edits.t
+), whole AS (
+    SELECT conv_id, min({'cost': best.cost + inserts.cost, 'audit': best.audit || inserts.letters, 'lines': list_concat(best.lines, inserts.lines)}) AS best
+    FROM parse JOIN inserts ON inserts.f = parse.state JOIN (SELECT conv_id AS c, max(pos) AS n FROM judged GROUP BY 1) AS sizes
+        ON c IS NOT DISTINCT FROM parse.conv_id AND n = parse.pos
+    WHERE inserts.t IN ('0', 'a') GROUP BY conv_id
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+           count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE pos > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
