@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohort.llm import (
-    bpe, context_mixing, decontaminate, fertility, html_layout, license_templates, line_dedup, quality_fm, simhash, token_records,
-    turn_repair,
+    bpe, context_mixing, decontaminate, fertility, html_layout, license_templates, line_dedup, periodic_runs, pu_toxicity, quality_fm,
+    simhash, token_records, turn_repair,
 )
 from cohort.plans.tables import table
 from cohort.session import shared_folder
@@ -97,6 +97,16 @@ def op10_license_templates(spark, sf_dir):
     return license_templates.license_scan(_documents(spark, sf_dir))
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted(_documents(spark, sf_dir))))
+
+
+@query
+def op12_pu_toxicity(spark, sf_dir):
+    return pu_toxicity.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_turn_repair(spark, sf_dir):
     return turn_repair.structure_repair(table(spark, sf_dir, "conversations"))
