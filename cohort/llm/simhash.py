@@ -56,18 +56,12 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return found.select("u", "v").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3
-) -> DataFrame:
-    """(id, fingerprint, component_id) of every row: 16 hex digits, and the smallest id that links reach.
-
-    Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other. Shorter texts
-    than a shingle are one shingle. Repeated rows stay repeated. A null id has a row too and never is a component's id,
-    unless no row of the component has one: then it is null. An empty table gives an empty table.
-    """
-    # texts are hashed once; the rounds below read two numbers for each row
-    prints = written(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "__id"), "prints")
-    firsts = written(prints.groupBy("fp").agg(F.min("__id").alias("first")), "firsts")
+def _groups(docs: DataFrame, id_col: str, text_col: str, distance: int, words: int) -> DataFrame:
+    """(key, fp, component_id) of every row; key is its id and a hash of its text."""
+    keyed = docs.select(F.struct(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("h")).alias("key"), named(text_col).alias("text"))
+    # texts are hashed once; the rounds below read a few numbers for each row
+    prints = written(fingerprints(keyed, "key", "text", words), "prints")
+    firsts = written(prints.groupBy("fp").agg(F.min("key.id").alias("first")), "firsts")
     roots = components(links(firsts.select("fp"), distance)).withColumnRenamed("node", "fp")
     joined = roots.join(firsts, "fp")
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -75,13 +69,32 @@ def near_duplicates(
     # a table, so that AQE can split a fingerprint of many documents in the last join
     groups = written(firsts.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")), "groups")
-    return prints.join(groups, "fp").select(
-        F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(groups, "fp")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3
+) -> DataFrame:
+    """(id, fingerprint, component_id) of every row: 16 hex digits, and the smallest id that links reach.
+
+    Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other. Shorter texts
+    than a shingle are one shingle, texts of any length are hashed whole, block by block. Repeated rows stay repeated. A null id has
+    a row too and never is a component's id, unless no row of the component has one: then it is null. An empty table gives an
+    empty table. Other columns are not read.
+    """
+    return _groups(docs, id_col, text_col, distance, words).select(
+        F.col("key.id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, words: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, whose group holds no smaller id; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, distance, words).where(
-        named(id_col) != F.col("component_id")).select(named(id_col).alias("gone")).distinct()
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.join(gone, F.col(f"c{docs.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
+    """The rows of docs, with all their columns, whose group holds no smaller id; rows without an id stay.
+
+    Rows are told apart by id and text: of rows that share an id, only those go whose own text is in a group with a smaller id. Exact
+    repeats of a row that stays all stay. Nulls, empty and very long texts are treated as in near_duplicates.
+    """
+    gone = _groups(docs, id_col, text_col, distance, words).where("key.id <> component_id").select(
+        F.col("key.id").alias("gone"), F.col("key.h").alias("gone_h")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own_id, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    return plain.join(gone, (own_id == F.col("gone")) & (F.xxhash64(text) == F.col("gone_h")), "left_anti").toDF(*docs.columns)

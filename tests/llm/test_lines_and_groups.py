@@ -93,6 +93,23 @@ def test_groups_edge_cases(spark):
     assert 103 not in ids and 101 not in ids and 5 in ids and 100 in ids and ids.count(None) == 2
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve", "red green blue black white grey")
+    table = [(5, a, 1, "a", None, 7), (103, a, 1, "a", None, 7), (103, b, 1, "b", 3, 8), (103, b, 1, "b", 3, 8), (None, a, 1, "a", 0, 0),
+             (200, b, 2, None, 0, 0), (201, c, 2, None, 0, 0), (7, c, 2, None, 0, 0), (7, a, 2, None, 0, 0), (9, None, 0, "", 0, 0), (8, "", 0, "", 0, 0)]
+    kept = simhash.keep_first(spark.createDataFrame(table, "doc_id long, text string, id long, row string, pos int, fp long"))
+    ids = {(i, t): component for (i, t, *_), (_, _, component) in zip(table, brute_groups(table))}
+    want = [r for r in table if r[0] is None or ids[r[0], r[1]] == r[0]]
+    assert as_bag(map(tuple, kept.collect())) == as_bag(want)
+    assert (103, b, 1, "b", 3, 8) in want and (103, a, 1, "a", None, 7) not in want
+
+
+def test_a_very_long_text_has_one_print(spark):
+    text = "alpha beta gamma " * 60_000
+    got = simhash.near_duplicates(spark.createDataFrame([(1, text), (2, text + "delta"), (3, "other words here")], "doc_id long, text string"))
+    assert {r[0]: r[2] for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_spark_hash_is_the_same(spark):
     got = spark.sql("SELECT xxhash64('ab cd é') AS h").first()["h"]
     assert got % 2 ** 64 == xxh64_intdigest("ab cd é".encode(), 42)

@@ -60,3 +60,22 @@ def test_registered(spark, sf_dir, name):
         assert difference(spark, database(sf_dir), sf_dir, name, registry.QUERIES[name], registry.ORACLE_SQL[name]) is None
     else:
         assert got.count() > 0
+
+
+def test_near_dedup_is_the_simhash_operator_with_its_three_bits(spark, sf_dir):
+    """Exact copies and texts within three bits go, more distant edits stay."""
+    import random
+
+    r = random.Random(3)
+    made = []
+    for g in range(25):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(300, 900))]
+        for copy in range(4):
+            now = list(words)
+            for _ in range(copy):
+                now[r.randrange(len(now))] = f"new{r.randrange(5000)}"
+            made.append((len(made), " ".join(now), "en", "made", 0))
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = [i for i, _, c in brute_groups(made) if i == c]
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, table, sf_dir).collect()) == want
+    assert 25 <= len(want) < 100
