@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohort.llm import bpe, decontaminate, fertility, line_dedup, near_copies
+from cohort.llm import bpe, decontaminate, fertility, line_dedup, simhash
 from cohort.plans.tables import table
 from cohort.session import written
 
@@ -20,8 +20,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.keep_first(docs)
+    """The document with the smallest id of each group of SimHash fingerprints of three-word shingles that three bits or fewer link."""
+    return simhash.keep_first(docs, distance=3, words=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
