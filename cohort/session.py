@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,17 +32,19 @@ def local_session(cores: int = 8, name: str = "cohort", **conf) -> SparkSession:
 
 
 _made: list[str] = []     # what this process has written to the shared folder
+_own: list[str] = []      # the temporary folder of local sessions without spark.checkpoint.dir
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path under the session's spark.checkpoint.dir; a temporary folder only on a local master without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cohort-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="cohort-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        base = _own[0]
     _made.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
     return _made[-1]
 
