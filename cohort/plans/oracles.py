@@ -571,6 +571,8 @@ FROM listed WHERE roll % 4 < 2""",
     "csv_mixed_headers": f"""WITH {ORDERS}
 SELECT roll, marks, CASE WHEN roll % 2 = 1 THEN department END AS department FROM listed""",
     "csv_latin1": f"WITH {ORDERS} SELECT roll, 'José Ñandú ' || roll AS name FROM listed",
+    "csv_line_breaks": f"""WITH {ORDERS}
+SELECT roll, 'first ' || roll || chr(10) || 'second, "quoted"' || chr(10) || chr(10) || department AS note, marks FROM listed""",
     "csv_header_duplicates": f"WITH {ORDERS} SELECT roll, department FROM listed",
     "long_ids": f"""WITH {ORDERS}
 SELECT '12345678901' || lpad(CAST(roll AS VARCHAR), 8, '0') AS fits, '98765432109' || lpad(CAST(roll AS VARCHAR), 8, '0') AS beyond

@@ -630,6 +630,14 @@ def csv_mixed_headers(spark, sf_dir):
     return load_table(spark, f"{path}/*", "csv").select("roll", "marks", "department")
 
 
+@query
+def csv_line_breaks(spark, sf_dir):
+    note = F.concat(F.lit("first "), F.col("roll"), F.lit('\nsecond, "quoted"\n\n'), F.col("department"))
+    path = shared_folder(spark, "breaks")
+    _orders(spark, sf_dir).select("roll", note.alias("note"), "marks").write.csv(path, header=True, escape='"')
+    return load_table(spark, path, "csv")
+
+
 @query
 def csv_latin1(spark, sf_dir):
     path = shared_folder(spark, "latin1")

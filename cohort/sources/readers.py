@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohort.fixed_values import MISSING_CELLS
+from cohort.session import written
 from cohort.sources.cleaning import clean_headers, clean_names, drop_blank, text_schema, typed_from_text
+from cohort.sources.csv_records import broken_records, plain_line
 
 RAW = "__raw_record"
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet"}
@@ -20,13 +22,13 @@ def load_table(
     fmt: str | None = None,
     encoding: str = "auto",
     orient: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read a file, folder or glob into a typed table without blank rows and columns.
 
-    encoding "auto" checks every CSV file and reads those that are not UTF-8 as ISO-8859-1; name an encoding to save
-    that pass. orient tells how a JSON document is laid out: records, columns or index. multi_line allows line
-    breaks inside quoted CSV cells, at the price of one task per file.
+    encoding "auto" reads CSV files that are not UTF-8 as ISO-8859-1. orient tells how a JSON document is laid out: records, columns or
+    index. Quoted CSV cells may hold line breaks; files that have some are found in the pass that reads the headers, and are
+    read by many tasks, too. multi_line=False takes every line for a record, True treats every file as one with breaks.
     """
     fmt = fmt or next((f for end, f in FORMATS.items() if path.lower().endswith(end)), None)
     if fmt == "csv":
@@ -61,66 +63,103 @@ def _names(header: str) -> list[str]:
     return out
 
 
-def _groups(spark: SparkSession, path: str, encoding: str) -> list[tuple[str, str, list[str]]]:
-    """Header, encoding and files of each kind of file, from one pass; kinds in the order of their first files.
+def _text(value: Column, encoding: str) -> Column:
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1" if encoding == "auto" else encoding))
 
-    A header is the first line of a file that is not blank. Only one short row per file comes back, and only when there is
-    more than one kind.
+
+def _kinds(files: DataFrame) -> list[tuple[str, str, list[str] | None]]:
+    """Header, charset and files of each kind, in the order of their first files; no list of files for the only kind.
+
+    Only one short row per file comes back, and only when there is more than one kind.
+    """
+    kinds = files.groupBy("header", "charset").agg(F.min("file").alias("first")).orderBy("first").collect()
+    if len(kinds) == 1:
+        return [(kinds[0]["header"], kinds[0]["charset"], None)]
+    found: dict[tuple, list[str]] = {(k["header"], k["charset"]): [] for k in kinds}
+    for r in files.select("header", "charset", "file").toLocalIterator():
+        found[r["header"], r["charset"]].append(r["file"])
+    return [(header, charset, sorted(names)) for (header, charset), names in found.items()]
+
+
+def _files(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(file, header, charset, plain) of all files that are not blank, from one pass.
+
+    A header is the first line of a file that is not blank. plain: no line leaves a quoted cell open.
     """
-    line = F.col("value").cast("binary")
-    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(line, "ISO-8859-1" if encoding == "auto" else encoding))
     lines = spark.read.text(path).select(
-        "value", text.alias("text"), F.col("_metadata.file_path").alias("file"),
+        "value", _text(F.col("value"), encoding).alias("text"), F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
     shown = F.when(F.trim("text") != "", F.col("place"))
     files = lines.groupBy("file").agg(
-        F.min_by("text", shown).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.count(shown).alias("shown"))
+        F.min_by("text", shown).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.count(shown).alias("shown"),
+        F.bool_and(plain_line(F.col("value"))).alias("plain"))
     charset = F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1") if encoding == "auto" else F.lit(encoding)
-    files = files.where("shown > 0").withColumn("charset", charset).persist()
-    try:
-        kinds = files.groupBy("header", "charset").agg(F.min("file").alias("first")).orderBy("first").collect()
-        if not kinds:
-            raise ValueError("The file appears to be empty.")
-        if len(kinds) == 1:
-            return [(kinds[0]["header"], kinds[0]["charset"], [path])]
-        found: dict[tuple, list[str]] = {(k["header"], k["charset"]): [] for k in kinds}
-        for r in files.select("header", "charset", "file").toLocalIterator():
-            found[r["header"], r["charset"]].append(unquote(r["file"]))
-    finally:
-        files.unpersist()
-    return [(header, charset, sorted(names)) for (header, charset), names in found.items()]
+    return files.where("shown > 0").select("file", "header", charset.alias("charset"), "plain")
 
 
-def _read_kind(spark: SparkSession, header: str, charset: str, files: list[str], multi_line: bool) -> DataFrame:
-    names = _names(header)
-    kept = clean_names(names)
-    positions = [f"c{i}" for i in range(len(names))]
-    df = (
-        spark.read.schema(text_schema(positions, RAW))
-        .options(
-            header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, encoding=charset,
-            quote='"', escape='"', multiLine=multi_line, maxColumns=max(20480, len(names) + 1),
-            # rows are judged by all their fields, whatever columns a query needs
-            columnPruning=False,
-        )
-        .csv(files)
-    )
-    # the reader hands over the raw text of rows whose field count differs from the header's; separators inside
+def _parse_options(names: list[str]) -> dict:
+    return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "quote": '"', "escape": '"', "maxColumns": str(max(20480, len(names) + 1))}
+
+
+def _cells(df: DataFrame, names: list[str]) -> DataFrame:
+    """The kept columns of parsed rows; rows with too many fields are left out, missing cells are null."""
+    # the parser hands over the raw text of rows whose field count differs from the header's; separators inside
     # quotes do not count
-    unquoted = F.regexp_replace(RAW, r'"(?:[^"]|"")*"', "")
+    unquoted = F.regexp_replace(RAW, r'"[^"]*+(?:""[^"]*+)*+"', "")
     extra = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) >= len(names)
     # the length test is always true: it keeps one data column in every scan, which the reader insists on
     df = df.where((F.col(RAW).isNull() | ~extra) & (F.coalesce(F.length("c0"), F.lit(0)) >= 0))
-    cells = [F.when(~F.col(f"c{i}").isin(MISSING_CELLS), F.col(f"c{i}")).alias(name) for i, name in kept]
-    return df.select(*cells)
+    return df.select(*[F.when(~F.col(f"c{i}").isin(MISSING_CELLS), F.col(f"c{i}")).alias(name) for i, name in clean_names(names)])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "auto", multi_line: bool = False) -> DataFrame:
+def _read_lines(spark: SparkSession, header: str, charset: str, files: list[str]) -> DataFrame:
+    """Files in which every line is a record."""
+    names = _names(header)
+    # rows are judged by all their fields, whatever columns a query needs
+    return _cells(spark.read.schema(text_schema([f"c{i}" for i in range(len(names))], RAW)).options(
+        header=True, enforceSchema=True, encoding=charset, columnPruning=False, **_parse_options(names)).csv(files), names)
+
+
+def _read_broken(spark: SparkSession, files: list[str], encoding: str) -> list[DataFrame]:
+    """Files with line breaks in quoted cells, one frame for each kind."""
+    records = broken_records(spark, files).withColumn("value", F.col("text").cast("string"))
+    shown = records.where(F.trim("value") != "").withColumn("text", _text(F.col("value"), encoding))
+    per_file = shown.groupBy("file").agg(
+        F.min_by("text", F.struct("block", "seq")).alias("header"), F.min(F.struct("block", "seq")).alias("first"),
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    charset = F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1") if encoding == "auto" else F.lit(encoding)
+    known = written(per_file.withColumn("charset", charset), "headers")
+    # one row for each file, so that a file of any size stays in its splits
+    body = shown.join(F.broadcast(known.select("file", "first", "charset", "header")), "file").where(F.struct("block", "seq") != F.col("first"))
+    parts = []
+    for header, charset_name, _ in _kinds(known):
+        names = _names(header)
+        own = body.where((F.col("header") == header) & (F.col("charset") == charset_name))
+        text = F.decode(F.col("value").cast("binary"), charset_name) if charset_name != "UTF-8" else F.col("value")
+        schema = ", ".join([*[f"c{i} string" for i in range(len(names))], f"{RAW} string"])
+        parts.append(_cells(own.select(F.from_csv(text, schema, _parse_options(names)).alias("row")).select("row.*"), names))
+    return parts
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "auto", multi_line: bool | None = None) -> DataFrame:
     """All-text CSV scan: short rows are padded, rows with too many fields are left out, missing cells are null.
 
     Every file is read by its own header; columns that a file lacks are null in its rows.
     """
-    parts = [_read_kind(spark, *kind, multi_line) for kind in _groups(spark, path, encoding)]
+    files = _files(spark, path, encoding).persist()
+    try:
+        plain = files.where(F.lit(True) if multi_line is False else F.lit(False) if multi_line else F.col("plain"))
+        broken = [] if multi_line is False else [unquote(r["file"]) for r in (files if multi_line else files.where(~F.col("plain"))).select("file").collect()]
+        kinds = _kinds(plain) if plain.take(1) else []
+        if not kinds and not broken:
+            raise ValueError("The file appears to be empty.")
+        if broken and kinds and kinds[0][2] is None:
+            kinds = [(*kinds[0][:2], sorted(r["file"] for r in plain.select("file").toLocalIterator()))]
+    finally:
+        files.unpersist()
+    parts = [_read_lines(spark, header, charset, [path] if names is None else [unquote(n) for n in names]) for header, charset, names in kinds]
+    if broken:
+        parts += _read_broken(spark, sorted(broken), encoding)
     df = parts[0]
     for part in parts[1:]:
         df = df.unionByName(part, allowMissingColumns=True)
