@@ -5,10 +5,10 @@ prior) the risk of a classifier on clean texts is its risk on unlabelled texts l
 they were clean. That difference cannot be negative for a true share; where a minibatch makes it so, the classifier has begun to
 learn the unlabelled texts by heart, and the step goes the other way.
 
-The classifiers are logistic over words and beginnings of words that occur once or more often, fitted with numpy on the driver on a bounded sample (CONFIRMED, UNLABELLED,
-FEATURES) whose words the executors hash. A feature takes part once its slope in the risk is beyond chance, and no weight is negative,
-so clean text around a toxic passage cannot outweigh it. The mean of the classifiers is one short list of weights; scoring is one
-pass over all texts.
+The classifiers are logistic over words and beginnings of words that occur once or more often, fitted with numpy on the driver on
+a bounded sample (CONFIRMED, UNLABELLED, FEATURES) whose words the executors hash. A feature takes part once its slope in the risk
+is beyond chance and most texts that have it are toxic by estimate. No weight is negative, so clean text around a toxic passage
+cannot outweigh it. The mean of the classifiers is one short list of weights; scoring is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from cohort.llm.common import Memo, map_texts, named, once, pieces, texts_of, utf8
+from cohort.session import written
 
-CONFIRMED = 4_000       # confirmed texts of the sample, at most
-UNLABELLED = 8_000      # unlabelled texts of the sample, at most
-FEATURES = 1 << 24      # the sample ends at so many features of its texts together
+CONFIRMED = 3_000       # confirmed texts of the sample, at most
+UNLABELLED = 6_000      # unlabelled texts of the sample, at most
+FEATURES = 1 << 23      # the sample ends at so many features of its texts together
 CUT = 0.5
 MEMBERS = 3             # classifiers whose mean is taken
 ROUNDS = 3              # times that features are chosen and the classifiers fitted
@@ -39,6 +40,7 @@ BATCH = 64              # confirmed texts of a minibatch, with a like share of t
 RATE = 1.0
 LEAST = 3               # texts of the sample that hold a feature which may get a weight
 SURE = 2.5              # deviations from chance that a feature's slope needs
+LIKELY = 0.5            # share of toxic texts, by estimate, among those with a feature that may get a weight
 STEMS = range(3, 8)     # characters of a word's beginnings, the whole word left out
 TIMES = (1, 2, 4)       # a feature for each number of times that a word or beginning occurs at least
 MARKS = b".,;:!?\"'()[]{}<>*_-~#%&$|/\\"
@@ -167,16 +169,23 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     model = Model(math.log(prior / (1 - prior)), np.zeros(0, np.uint64), np.zeros(0))
     if not positive or not unlabelled:
         return model
-    hashes, places, held = np.unique(np.concatenate(positive + unlabelled), return_inverse=True, return_counts=True)
-    size, cut = len(hashes), sum(map(len, positive))
-    p, u = (Texts(own, np.cumsum([0, *map(len, texts)])) for own, texts in ((places[:cut], positive), (places[cut:], unlabelled)))
+    # all features at once, as numbers of those that enough texts hold
+    everything = np.concatenate(positive + unlabelled)
+    hashes, held = np.unique(everything, return_counts=True)
+    hashes = hashes[held >= LEAST]
+    size, cut = len(hashes), len(positive)
+    places = np.minimum(np.searchsorted(hashes, everything), max(0, size - 1))
+    kept = (hashes[places] == everything) if size else np.zeros(len(everything), bool)
+    edges = np.concatenate([[0], np.cumsum(kept)])[np.cumsum([0, *map(len, positive + unlabelled)])]
+    places = places[kept]
+    p, u = Texts(places[:edges[cut]], edges[:cut + 1]), Texts(places[edges[cut]:], edges[cut:] - edges[cut])
     share = np.maximum(u.shares(size), 1 / len(u))
     chance = prior * SURE * (np.sqrt(share * (1 - share) / len(p)) + 1 / len(p))
     chosen, bias, weights = np.zeros(size, bool), model.bias, np.zeros(size)
     for _ in range(ROUNDS):
         *_, gp, gu = risk(bias + _sums(weights, p.words, p.edges), bias + _sums(weights, u.words, u.edges), prior)
-        more = p.slopes(gp, size) + u.slopes(gu, size) < -chance
-        more &= held >= LEAST
+        gain, cost = -p.slopes(gp, size), u.slopes(gu, size)
+        more = (gain - cost > chance) & (prior * gain > LIKELY * cost)
         if not (more & ~chosen).any():
             break
         chosen |= more
@@ -206,7 +215,7 @@ def _sampled(texts: DataFrame, ids: DataFrame, most: int) -> Iterable[np.ndarray
 
     made = rows.mapInArrow(describe, StructType([rows.schema["id"], StructField("words", BinaryType())]))
     left = FEATURES
-    for row in made.orderBy(F.xxhash64("id"), "id").toLocalIterator():
+    for row in written(made, "sample").orderBy(F.xxhash64("id"), "id").toLocalIterator():
         left -= len(row["words"]) // 8
         if left < 0:
             return
