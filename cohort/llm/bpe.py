@@ -21,19 +21,20 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from cohort.llm.common import Memo, map_texts, once
+from cohort.llm.common import MEMO_WORDS, Memo, map_texts, once
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 # Characters that normalisation leaves alone but for their case, which is the same in every library.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0137\u0139-\u0148\u014a-\u017e]+")
 LEAF = 4_096     # symbols of a leaf of the tree; longer words are put together
 WINDOW = 8       # tokens on each side of a join that are encoded again at first
+DIGESTED = 120_000   # words that a worker remembers with their digests' parts, which take more memory than ids
 
 
 class Codec:
     """A tokenizer file with padding and truncation off, and without special tokens added."""
 
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, remembered: int = MEMO_WORDS):
         self.leaf, self.window = leaf, window
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
@@ -45,7 +46,7 @@ class Codec:
             "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
         self.by_run = self._drops_space()
         self.pattern = self._pattern(spec) if self.by_run else None
-        self.words = Memo(self._merge_words)
+        self.words = Memo(self._merge_words, remembered)
         # the printable form of each byte in a byte-level vocabulary: itself, or the next free code point from 256 on
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.printable = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
@@ -147,9 +148,9 @@ class Codec:
         return [[i for r in runs for i in code(r)] for runs in split]
 
 
-def codec(path: str = VOCABULARY) -> Codec:
+def codec(path: str = VOCABULARY, remembered: int = MEMO_WORDS) -> Codec:
     """The codec of a worker process."""
-    return once(f"bpe codec {path}", lambda: Codec(path))
+    return once(f"bpe codec {path} {remembered}", lambda: Codec(path, remembered=remembered))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -184,7 +185,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     ids are hashed as decimal numbers joined by spaces. Edge cases as in encode.
     """
     def measure(texts):
-        tool = codec(path)
+        tool = codec(path, DIGESTED)
         plain = tool.whole.decoder is None   # then decoding joins the tokens by spaces, so runs decode by themselves
 
         def forms(runs):
@@ -192,7 +193,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                      np.array(ids, "<i4").tobytes())[:3 if plain and not with_ids else 4]
                     for ids in tool.encode_runs(runs)]
 
-        memo = once(f"bpe digests {path} {with_ids}", lambda: Memo(forms))
+        memo = once(f"bpe digests {path} {with_ids}", lambda: Memo(forms, DIGESTED))
         split = [tool.runs(t.decode()) for t in texts]
         code = memo.codes(split)
         n, hashed, decoded, ids = [], [], [], []

@@ -97,8 +97,8 @@ def keep_texts(docs: DataFrame, text_col: str, wanted: Callable) -> DataFrame:
 class Memo(dict):
     """word -> code; a bounded number of short words is remembered."""
 
-    def __init__(self, encode: Callable):
-        self.encode = encode   # list of words -> list of codes
+    def __init__(self, encode: Callable, most: int = MEMO_WORDS):
+        self.encode, self.most = encode, most   # list of words -> list of codes
 
     def codes(self, texts: list[list]) -> Callable:
         """A lookup that knows every word of these texts; unknown ones are encoded together, once."""
@@ -106,7 +106,7 @@ class Memo(dict):
         if not new:
             return self.__getitem__
         fresh = dict(zip(new, self.encode(new)))
-        if len(self) < MEMO_WORDS:
+        if len(self) < self.most:
             self.update((w, c) for w, c in fresh.items() if len(w) <= MEMO_CHARS)
             fresh = {w: c for w, c in fresh.items() if w not in self}
             if not fresh:

@@ -22,7 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest
 
@@ -214,11 +214,10 @@ def _sampled(texts: DataFrame, ids: DataFrame, most: int) -> Iterable[np.ndarray
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(words, pa.binary())], names=["id", "words"])
 
     made = rows.mapInArrow(describe, StructType([rows.schema["id"], StructField("words", BinaryType())]))
-    left = FEATURES
-    for row in written(made, "sample").orderBy(F.xxhash64("id"), "id").toLocalIterator():
-        left -= len(row["words"]) // 8
-        if left < 0:
-            return
+    # at most `most` rows, so their order needs no more than one task
+    order = Window.orderBy(F.xxhash64("id"), "id")
+    held = F.sum(F.length("words") / 8).over(order)
+    for row in written(made, "sample").withColumn("held", held).where(F.col("held") <= FEATURES).orderBy(F.xxhash64("id"), "id").collect():
         yield np.frombuffer(bytes(row["words"]), "<u8").astype(np.uint64)
 
 
