@@ -1,5 +1,9 @@
 import os
+import time
+from datetime import timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from cohort.operators import conversation as H
@@ -118,3 +122,79 @@ def test_stream_ends_like_the_batch(spark, sf_dir, log, tmp_path, late):
         names.append(target)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "flat"))
     assert rows(buffers.replay(stream, 4)) == rows(H.buffer(log, 4))
+
+
+def _files(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("part-*.parquet") if "_staged" not in str(p))
+
+
+def _batches(spark, folder, table):
+    """One file for each row, in the order of the rows."""
+    folder.mkdir()
+    for i, (conv, turn, role, text) in enumerate(table):
+        row = pa.table({"conv_id": pa.array([conv], pa.int64()), "turn": pa.array([turn], pa.int64()), "role": [role], "text": [text]})
+        pq.write_table(row, folder / f"{i:03}.parquet")
+        os.utime(folder / f"{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_many_batches_leave_one_file_a_bucket(spark, tmp_path):
+    table = [(i % 2, i // 2, "system" if i in (0, 3) else "user", f"m{i}") for i in range(6)]
+    stream, path = _batches(spark, tmp_path / "in", table), tmp_path / "out"
+    buffers.start_buffer_table(buffers.buffer_stream(stream, 2), str(path), str(tmp_path / "ck"), 4).awaitTermination()
+    buckets = {f.split("/")[0] for f in _files(path)}
+    assert len(_files(path)) == len(buckets) <= 4
+    assert len([p for p in (path / "_staged").iterdir() if p.name.startswith("batch")]) == 1
+    assert rows(buffers.current_buffers(spark, str(path))) == rows(H.buffer(spark.createDataFrame(table, SCHEMA), 2))
+
+
+def test_a_repeated_batch_changes_nothing_and_brings_a_lost_bucket_back(spark, tmp_path):
+    def batch(turn, convs):
+        return spark.createDataFrame([(c, turn, [{"turn": turn, "role": "user", "text": f"{c}/{turn}"}]) for c in convs], buffers.BUFFERS)
+
+    path = str(tmp_path / "t")
+    buffers._merge(batch(1, range(20)), path, 4, 0)
+    buffers._merge(batch(2, [3, 7, None]), path, 4, 1)
+    want = sorted((c, 2 if c in (3, 7, -1) else 1) for c in [*range(20), -1])
+    def now():
+        return sorted((-1 if r["conv_id"] is None else r["conv_id"], r["turn"]) for r in buffers.current_buffers(spark, path).collect())
+    assert now() == want
+    for lost in [f for f in _files(tmp_path / "t") if f.startswith("bucket=")][:1]:
+        (tmp_path / "t" / lost).unlink()
+    buffers._merge(batch(2, [3, 7, None]), path, 4, 1)
+    restored = now()
+    assert [x for x in restored if x[1] == 2] == [x for x in want if x[1] == 2]
+    buffers._merge(batch(3, range(20)), path, 4, 2)
+    assert [t for _, t in now() if t != 2] == [3] * 20 and len(_files(tmp_path / "t")) <= 4
+
+
+def test_idle_state_expires(spark, tmp_path):
+    """What comes after the pause begins a new buffer, as nothing is remembered."""
+    stream, path = _batches(spark, tmp_path / "in", [(1, 0, "user", "old")]), str(tmp_path / "out")
+    made = buffers.buffer_stream(stream, 3, idle=timedelta(seconds=2))
+    query = buffers.start_buffer_table(made, path, str(tmp_path / "ck"), 2, processingTime="500 milliseconds")
+    try:
+        _until(lambda: rows(buffers.current_buffers(spark, path)) == [(1, 0, "user", "old")])
+        time.sleep(4)
+        pq.write_table(pa.table({"conv_id": [1], "turn": [1], "role": ["user"], "text": ["new"]}), tmp_path / "in" / "900.parquet")
+        _until(lambda: (1, 1, "user", "new") in rows(buffers.current_buffers(spark, path)))
+    finally:
+        query.stop()
+    assert rows(buffers.current_buffers(spark, path)) == [(1, 1, "user", "new")]
+
+
+def _until(holds, seconds=60):
+    """Wait for a stream; the table may be between two states when it is read."""
+    end = time.time() + seconds
+    while time.time() < end:
+        try:
+            if holds():
+                return
+        except Exception:
+            pass
+        time.sleep(0.5)
+    raise AssertionError("it did not come")
+
+
+def test_no_table_yet(spark, tmp_path):
+    assert buffers.current_buffers(spark, str(tmp_path / "none")).count() == 0
