@@ -42,8 +42,8 @@ def _ds(spark: SparkSession, sf_dir: str) -> P.Dataset:
     return prepared_gradebook(spark, sf_dir)
 
 
-def _one_feature(spark: SparkSession, sf_dir: str) -> M.ScoreModel:
-    return M.train(_ds(spark, sf_dir), "Average", ["algebra"], F.col("year") >= 2000)
+def _one_feature(ds: P.Dataset) -> M.ScoreModel:
+    return M.train(ds, "Average", ["algebra"], F.col("year") >= 2000)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,12 +275,14 @@ def predict_by_rule(spark, sf_dir):
 
 @query
 def predict_by_model(spark, sf_dir):
-    return R.predict_performance(_ds(spark, sf_dir), SEARCH, _one_feature(spark, sf_dir))
+    ds = _ds(spark, sf_dir)
+    return R.predict_performance(ds, SEARCH, _one_feature(ds))
 
 
 @query
 def profiles(spark, sf_dir):
-    cards = R.profiles(_ds(spark, sf_dir), SEARCH, _one_feature(spark, sf_dir))
+    ds = _ds(spark, sf_dir)
+    cards = R.profiles(ds, SEARCH, _one_feature(ds))
     return cards.withColumnsRenamed({c: c.lower() for c in cards.columns})
 
 
@@ -356,12 +358,13 @@ def score_quartiles(spark, sf_dir):
 
 @query
 def regression_one_feature(spark, sf_dir):
-    return _one_feature(spark, sf_dir).metrics
+    return _one_feature(_ds(spark, sf_dir)).metrics
 
 
 @query
 def predict_one_feature(spark, sf_dir):
-    scored = _one_feature(spark, sf_dir).predict(_ds(spark, sf_dir).df)
+    ds = _ds(spark, sf_dir)
+    scored = _one_feature(ds).predict(ds.df)
     return scored.select("roll", F.bround("Predicted_Average", 4).alias("predicted_average"))
 
 
@@ -379,7 +382,7 @@ def regression_split(spark, sf_dir):
 def predict_with_gaps(spark, sf_dir):
     ds = _ds(spark, sf_dir)
     gap = F.when(F.col("roll") % 10 == 1, None).when(F.col("roll") % 10 == 2, F.lit(float("nan"))).otherwise(F.col("algebra"))
-    scored = _one_feature(spark, sf_dir).predict(ds.df.withColumn("algebra", gap))
+    scored = _one_feature(ds).predict(ds.df.withColumn("algebra", gap))
     return scored.select("roll", F.bround("Predicted_Average", 4).alias("predicted_average"))
 
 
@@ -553,7 +556,7 @@ def route_intents(spark, sf_dir):
 @query
 def answers(spark, sf_dir):
     # six reports, the vocabulary and the retrieval read the same rows and questions: compute them once
-    ds = _ds(spark, sf_dir).materialised()
+    ds = _ds(spark, sf_dir)
     questions = written(Q.asked_questions(spark, sf_dir), "questions")
     chunks = V.chunk_corpus(ds).select("chunk_id", "text")
     return H.answers(questions, ds, chunks, V.tfidf_index(chunks, TERMS))
@@ -664,34 +667,51 @@ def long_ids(spark, sf_dir):
     return ids.select(F.col("fits").cast("string").alias("fits"), F.col("beyond").cast("string").alias("beyond"))
 
 
-def _json_documents(spark: SparkSession, sf_dir: str, document) -> str:
-    """One JSON document per file, over 16 groups of rows."""
-    path = shared_folder(spark, "documents")
-    grouped = _orders(spark, sf_dir).groupBy((F.col("roll") % 16).alias("part")).agg(document.alias("value"))
-    grouped.repartition(16, "part").write.partitionBy("part").text(path)
+ROWS_A_DOCUMENT = 50_000
+
+
+def _json_documents(lines: DataFrame) -> str:
+    """Lines (part, place, value) as one JSON document for each part; a document has a bounded number of rows, their number grows."""
+    path = shared_folder(lines.sparkSession, "documents")
+    lines.repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
     return f"{path}/*/*.txt"
 
 
-@query
-def json_array(spark, sf_dir):
-    rows = F.to_json(F.collect_list(F.struct("roll", "department", "marks")))
-    return load_table(spark, _json_documents(spark, sf_dir, rows), "json")
+def _json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their document, their place in it and whether they are its first or last one."""
+    rows = _orders(spark, sf_dir).withColumn("part", F.expr(f"roll div {ROWS_A_DOCUMENT}"))
+    order = Window.partitionBy("part").orderBy("roll")
+    return rows.withColumn("first", F.lag("roll").over(order).isNull()).withColumn("last", F.lead("roll").over(order).isNull())
+
+
+def _joined(opening, cell, closing):
+    return F.concat(F.when(F.col("first"), opening).otherwise(","), cell, F.when(F.col("last"), closing).otherwise(""))
 
 
-def _mapped(key: str, value) -> object:
-    return F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), value)))
+@query
+def json_array(spark, sf_dir):
+    row = F.to_json(F.struct("roll", "department", "marks"))
+    lines = _json_rows(spark, sf_dir).select("part", F.col("roll").alias("place"), _joined("[", row, "]").alias("value"))
+    return load_table(spark, _json_documents(lines), "json")
 
 
 @query
 def json_columns(spark, sf_dir):
-    columns = F.to_json(F.struct(*[_mapped("roll", F.col(c)).alias(c) for c in ("roll", "department", "marks")]))
-    return load_table(spark, _json_documents(spark, sf_dir, columns), "json")
+    cells = []
+    for i, c in enumerate(("roll", "department", "marks")):
+        value = F.concat(F.lit('"'), "department", F.lit('"')) if c == "department" else F.col(c).cast("string")
+        cell = F.concat(F.lit('"'), "roll", F.lit('": '), value)
+        opening = ("{" if i == 0 else ",") + f'"{c}": {{'
+        cells.append(F.struct(F.struct(F.lit(i).alias("i"), "roll").alias("place"), _joined(F.lit(opening), cell, F.lit("}}" if i == 2 else "}")).alias("value")))
+    lines = _json_rows(spark, sf_dir).select("part", F.inline(F.array(*cells)))
+    return load_table(spark, _json_documents(lines), "json")
 
 
 @query
 def json_index(spark, sf_dir):
-    index = F.to_json(_mapped("roll", F.struct("roll", "department", "marks")))
-    return load_table(spark, _json_documents(spark, sf_dir, index), "json", orient="index")
+    row = F.concat(F.lit('"'), "roll", F.lit('":'), F.to_json(F.struct("roll", "department", "marks")))
+    lines = _json_rows(spark, sf_dir).select("part", F.col("roll").alias("place"), _joined("{", row, "}").alias("value"))
+    return load_table(spark, _json_documents(lines), "json", orient="index")
 
 
 @query

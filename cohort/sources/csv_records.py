@@ -64,7 +64,7 @@ def _states(zero: np.ndarray, one: np.ndarray, state: bool) -> np.ndarray:
     return out
 
 
-def _splits(batches) -> Iterator[tuple[str, int, bool, pa.Array]]:
+def splits(batches) -> Iterator[tuple[str, int, bool, pa.Array]]:
     """(file, block, first, lines): consecutive lines of one split; first when it has just begun."""
     last = None
     for batch in batches:
@@ -82,7 +82,7 @@ def _splits(batches) -> Iterator[tuple[str, int, bool, pa.Array]]:
 def _summaries(batches) -> Iterator[pa.RecordBatch]:
     """For each split its state behind the last line, and whether a record begins in it, from either state before."""
     now, found = None, []
-    for file, block, first, lines in _splits(batches):
+    for file, block, first, lines in splits(batches):
         if first:
             now = [file, block, False, True, False, False]
             found.append(now)
@@ -107,7 +107,7 @@ def _pieces(batches, known: dict) -> Iterator[pa.RecordBatch]:
             whole = begun and not ends_open
             out.append((key[0], owner, seq if begun else None, key[1], whole, b"\n".join(open_lines)))
 
-    for file, block, first, lines in _splits(batches):
+    for file, block, first, lines in splits(batches):
         if first:
             close(state)
             if (file, block) not in known:
@@ -144,9 +144,9 @@ def broken_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
-    splits = lines.mapInArrow(_summaries, "file string, block long, after0 boolean, after1 boolean, starts0 boolean, starts1 boolean").collect()
+    sums = lines.mapInArrow(_summaries, "file string, block long, after0 boolean, after1 boolean, starts0 boolean, starts1 boolean").collect()
     known, file, state, owner = {}, None, False, None
-    for row in sorted(splits, key=lambda r: (r["file"], r["block"])):
+    for row in sorted(sums, key=lambda r: (r["file"], r["block"])):
         if row["file"] != file:
             file, state, owner = row["file"], False, None
         known[file, row["block"]] = state, owner

@@ -8,9 +8,10 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohort.fixed_values import MISSING_CELLS
-from cohort.session import written
+from cohort.session import shared_folder, written
 from cohort.sources.cleaning import clean_headers, clean_names, drop_blank, text_schema, typed_from_text
 from cohort.sources.csv_records import broken_records, plain_line
+from cohort.sources.json_records import array_elements, nested_cells
 
 RAW = "__raw_record"
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet"}
@@ -178,37 +179,36 @@ def _in_first_record_order(df: DataFrame, text: DataFrame, path: str) -> DataFra
 
 
 def _read_json(spark: SparkSession, path: str, orient: str | None) -> DataFrame:
-    start = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
+    # a document may be one line, so only what stands before its first comma is looked at
+    begin = F.ltrim(F.regexp_replace("value", r"^[\s\x{FEFF}]+", ""))
+    start = spark.read.option("lineSep", ",").text(path).select(F.substring(begin, 1, 1).alias("c")).where("c <> ''").first()
     if start is None:
         raise ValueError("The file appears to be empty.")
     if start[0] not in "[{":
         raise ValueError("Cannot interpret JSON structure as a table.")
     orient = orient or ("records" if start[0] == "[" else "columns")
     if orient == "records":
-        df = spark.read.json(path, multiLine=True, mode="FAILFAST")
-        return _finish(_in_first_record_order(df, spark.read.text(path, wholetext=True), "$[0]"))
+        return _finish(_read_array(spark, path))
     if orient in ("columns", "index"):
         return typed_from_text(clean_headers(_read_nested_json(spark, path, orient)))
     raise ValueError("Cannot interpret JSON structure as a table.")
 
 
+def _read_array(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of arrays, written once as one element a line, which Spark reads in splits."""
+    elements = array_elements(spark, path)
+    lines = shared_folder(spark, "elements")
+    elements.select("value").write.text(lines)
+    df = spark.read.json(lines, mode="FAILFAST")
+    return _in_first_record_order(df, elements.orderBy("file", "block", "seq").limit(1), "$") if df.columns else df
+
+
 def _read_nested_json(spark: SparkSession, path: str, orient: str) -> DataFrame:
     """A document of the form {column: {row: cell}} or {column: [cell]}, or with rows outside (index)."""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("doc")
-    )
-    outer = docs.select("file", F.posexplode("doc").alias("position", "outer", "cells"))
-    as_list = F.transform(
-        F.from_json("cells", "array<string>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value"))
-    )
-    as_map = F.map_entries(F.from_json("cells", "map<string,string>"))
-    entries = F.when(F.ltrim("cells").startswith("["), as_list).otherwise(as_map)
-    cells = outer.select("file", "position", "outer", F.posexplode(entries).alias("inner_position", "entry"))
-    row, name, order = ("entry.key", "outer", "position") if orient == "columns" else ("outer", "entry.key", "inner_position")
-    cells = cells.select(
-        "file", F.col(row).alias("row"), F.col(name).alias("name"), F.col(order).alias("order"),
-        F.col("entry.value").alias("value"),
-    )
+    cells = nested_cells(spark, path)
+    inner = F.coalesce("inner", F.col("place").cast("string"))
+    row, name, order = (inner, F.col("outer"), "outer_place") if orient == "columns" else (F.col("outer"), inner, "place")
+    cells = cells.select("file", row.alias("row"), name.alias("name"), F.col(order).alias("order"), "value")
     # column names are metadata: one short list
     found = cells.groupBy("name").agg(F.min("order").alias("order")).orderBy("order", "name").collect()
     if not found:
