@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from cohort import fixed_values as fv
 from cohort.functions import exprs as X
@@ -79,18 +79,18 @@ class Dataset:
 
 
 def numeric_text(text: Column) -> Column:
-    """The number a text stands for, null when it is none."""
-    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+    """The number a text stands for, null when it is none. Patterns are tried on texts that are no long only."""
+    return F.coalesce(text.try_cast("long").cast("double"), F.when(text.rlike(NUMBER), F.trim(text).try_cast("double")))
 
 
 def is_integer_text(text: Column) -> Column:
     """Whether a text is a whole number that fits a long."""
-    return F.coalesce(text.rlike(WHOLE) & F.trim(text).try_cast("long").isNotNull(), F.lit(False))
+    return text.try_cast("long").isNotNull()
 
 
 def is_long_id_text(text: Column) -> Column:
     """Whether a text is a whole number beyond a long, which a double would not keep apart from its neighbours."""
-    return F.coalesce(text.rlike(WHOLE) & F.trim(text).try_cast("long").isNull(), F.lit(False))
+    return F.coalesce(text.try_cast("long").isNull() & text.rlike(WHOLE), F.lit(False))
 
 
 def detect_column(columns: Sequence[str], role: str) -> str | None:
@@ -134,8 +134,8 @@ def check_name_clash(df_columns: Sequence[str], case_sensitive: bool) -> None:
             raise ValueError(f"columns {other!r} and {c!r} differ only in case: set spark.sql.caseSensitive=true")
 
 
-def _profile(df: DataFrame) -> Mapping[str, object]:
-    """One row: row count, and per column present values, parse counts, ranges and distinct estimates."""
+def _profile(df: DataFrame) -> list[Column]:
+    """The row count, and per column present values, parse counts, ranges and distinct estimates."""
     aggs = [F.count("*").alias("rows")]
     for i, f in enumerate(df.schema.fields):
         c = col(f.name)
@@ -149,21 +149,27 @@ def _profile(df: DataFrame) -> Mapping[str, object]:
             F.count(c).alias(f"numbers_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"),
             F.approx_count_distinct(c).alias(f"distinct_{i}"),
         ]
-    return df.agg(*aggs).first().asDict()
+    return aggs
 
 
-def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = False) -> Dataset:
+def prepare(df: DataFrame, exclude_roles: bool = False, approx_median: bool = False, write: bool = False) -> Dataset:
     """Type, impute and extend a raw table and detect the roles of its columns.
 
     exclude_roles drops columns with a detected role from the subjects; approx_median trades exact medians for one
-    cheap sketch per column.
+    cheap sketch per column. write puts the rows into the shared folder in the pass that profiles them, and everything else reads
+    them there: for inputs that are dearer to compute than to write, such as joins.
     """
     case_sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
     check_name_clash([*df.columns, "Total", "Average", "Grade"], case_sensitive)
     df = plain_types(df)
     names = df.columns
     roles = {r: detect_column(names, r) for r in fv.DETECTED_ROLES}
-    found = _profile(df)
+    if write:
+        seen = Observation()
+        df = written(df.observe(seen, *_profile(df)), "rows")
+        found = seen.get
+    else:
+        found = df.agg(*_profile(df)).first().asDict()
     n_rows = found["rows"]
 
     # types: the share of parsing rows counts missing rows against a text column
