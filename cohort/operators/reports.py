@@ -43,10 +43,23 @@ def row_count(ds: Dataset) -> DataFrame:
     return ds.df.agg(F.count("*").alias("total_students"))
 
 
-def dataset_summary(ds: Dataset) -> DataFrame:
+def department_digest(ds: Dataset) -> DataFrame:
+    """One row: rows, number of departments and a digest of their labels, by partial aggregates whatever the number of labels.
+
+    The digest is the sum over the labels of the first 32 bits of their MD5, so it does not depend on an order.
+    """
+    label = col(ds.need("department", NO_DEPARTMENT)).cast("string")
+    labels = ds.df.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    bits = F.conv(F.substring(F.md5("label"), 1, 8), 16, 10).cast("long")
+    return labels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_students"), F.count("label").alias("n_departments"),
+                      F.coalesce(F.sum(bits), F.lit(0)).alias("departments_digest"))
+
+
+def dataset_summary(ds: Dataset, list_departments: bool = True) -> DataFrame:
     """One row: sizes, column and subject names, flags and overall means.
 
-    The department list holds every label; `departments` has them as rows.
+    The department list holds every label. For tables with very many, leave it out: `departments` has them as rows and
+    `department_digest` their digest.
     """
     aggs = [
         F.count("*").alias("total_students"),
@@ -56,8 +69,10 @@ def dataset_summary(ds: Dataset) -> DataFrame:
     if not ds.department:
         aggs += [F.lit(0).cast("long").alias("n_departments"), F.array().cast("array<string>").alias("departments")]
     else:
-        found = F.array_sort(F.collect_set(col(ds.department).cast("string")))
-        aggs += [F.size(found).cast("long").alias("n_departments"), found.alias("departments")]
+        label = col(ds.department).cast("string")
+        aggs.append(F.count_distinct(label).alias("n_departments"))
+        if list_departments:
+            aggs.append(F.array_sort(F.collect_set(label)).alias("departments"))
     aggs += [
         F.array(*[F.lit(c) for c in ds.subjects]).cast("array<string>").alias("subject_columns"),
         F.lit(ds.attendance is not None).alias("has_attendance"),

@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 import sys
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
@@ -31,7 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BROADCAST_VOCABULARY = 500_000  # terms that are sent to every executor
 BLOCK_CELLS = 8_000_000         # of the matrix of terms and queries that is sent at once
 SCORED_ROWS = 1_000             # chunks that are scored at once
-MAX_KEYWORDS = 2_000            # query words that are tested one by one inside a chunk
+MAX_KEYWORDS = 100_000          # words of queries that are sent to the chunks at once
+SCORED_PAIRS = 500_000          # pairs of a query and a chunk that a task holds before it keeps the best
 BROADCAST_NUMBERS = 4_000_000   # numbers of all query vectors together that are sent to every executor
 CELL_NUMBERS = 1_000_000        # of the vectors that are compared at once
 CELL_QUERIES = 500              # queries that they are compared with at once
@@ -315,50 +318,63 @@ def keyword_topk(
 
     A word that a query repeats counts as often. With pad, queries with fewer than k matches are filled up with
     unmatched chunks in the order of their ids, score 0.
+
+    Queries are sent to the chunks in blocks of a bounded number of words. A task makes one automaton of the words of all queries of a block, which
+    finds every word in one pass over a chunk, whatever their number, and hands on k rows per query.
     """
+    spark = chunks.sparkSession
+    ids = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {ids[1]}, chunk_id {ids[0]}, score double"
     asked = queries.select("query_id", F.explode(X.words(F.col("text"))).alias("word"))
-    asked = asked.groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    if _at_most(asked, max_keywords):
-        # a bounded list, sent with the plan: every query with its words
-        entries = F.collect_list(F.struct("word", "times"))
-        per_query = asked.groupBy("query_id").agg(entries.alias("words"))
-        listed = per_query.agg(F.collect_list(F.struct("query_id", "words"))).scalar()
-
-        every = asked.agg(F.collect_set("word")).scalar()
-
-        def score(found: Column, query: Column) -> Column:
-            hits = F.filter(query["words"], lambda w: F.array_contains(found, w["word"]))
-            return F.aggregate(hits, F.lit(0).cast("long"), lambda total, w: total + w["times"])
-
-        # words hold no white space, so the distinct parts of a chunk stand for it; every word is tried once per chunk, and
-        # arrays of one hold what is computed once
-        parts = F.array_join(F.array_distinct(X.words(F.col("text"))), " ")
-        found = F.transform(F.array(parts), lambda text: F.filter("every", lambda w: F.contains(text, w)))[0]
-        cells = F.transform(F.array(found), lambda words: F.transform(
-            "asked", lambda q: F.struct(q["query_id"].alias("query_id"), score(words, q).alias("score"))
-        ))[0]
-        asked_by_all = chunks.select("chunk_id", "text", listed.alias("asked"), every.alias("every"))
-        scored = asked_by_all.select("chunk_id", F.inline(cells)).where(F.col("score") > 0)
-    else:
-        scored = _keyword_join(chunks, asked)
+    asked = written(asked.groupBy("query_id", "word").agg(F.count("*").alias("times")), "keywords")
+    # words hold no white space, so the distinct parts of a chunk stand for it
+    parts = chunks.select("chunk_id", F.array_join(F.array_distinct(X.words(F.col("text"))), " ").alias("text"))
+    found = []
+    n_blocks = math.ceil(asked.count() / max(1, max_keywords))
+    for block in _blocks(asked, n_blocks) if n_blocks else ():
+        rows = block.collect()
+        if rows:
+            sent = spark.sparkContext.broadcast(_keyword_table(rows))
+            found.append(parts.mapInPandas(lambda batches, sent=sent: _keyword_search(batches, *sent.value, k), schema))
+    scored = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+    scored = scored.withColumn("score", F.col("score").cast("long"))
     best = _best(scored, k, F.desc("score")).select("query_id", "rank", "chunk_id", "score")
     return _padded(best, chunks, queries, k) if pad else best
 
 
-def _keyword_join(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """Scores by an equi-join: words hold no white space, so they lie inside the white-space parts of a chunk."""
-    lengths = asked.agg(F.collect_set(F.length("word"))).scalar()
-    parts = chunks.select("chunk_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("part"))
-    parts = parts.withColumn("lengths", lengths)
-    starts = F.sequence(F.lit(1), F.length("part"))
-    cut = F.flatten(F.transform("lengths", lambda n: F.transform(starts, lambda s: F.substring(F.col("part"), s, n))))
-    pieces = parts.select("chunk_id", F.explode(F.array_distinct(cut)).alias("word"))
-    # a word that sits in very many chunks is spread by salts
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
-    copies = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # parts of one chunk can hold the same word
-    hits = salted.join(copies, ["word", "salt"]).dropDuplicates(["query_id", "chunk_id", "word"])
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum("times").alias("score"))
+def _keyword_table(rows: list) -> tuple:
+    """Query ids, words, and for each word where its queries begin among (queries, times)."""
+    query_ids = np.array(sorted({r["query_id"] for r in rows}), object)
+    at = {q: i for i, q in enumerate(query_ids)}
+    words = sorted({r["word"] for r in rows})
+    place = {w: i for i, w in enumerate(words)}
+    order = sorted((place[r["word"]], at[r["query_id"]], r["times"]) for r in rows)
+    first, asking, times = np.array(order, np.int64).T
+    return query_ids, words, np.searchsorted(first, np.arange(len(words) + 1)), asking, times
+
+
+def _keyword_search(batches: Iterator[pd.DataFrame], query_ids, words, starts, asking, times, k: int) -> Iterator[pd.DataFrame]:
+    automaton = ahocorasick.Automaton()
+    for i, word in enumerate(words):
+        automaton.add_word(word, i)
+    automaton.make_automaton()
+    best = Best(len(query_ids), k)
+    for batch in batches:
+        chunk_ids, held, count = _ids(batch["chunk_id"]), [], 0
+        for chunk, text in zip(range(len(chunk_ids)), batch["text"]):
+            hits = {i for _, i in automaton.iter(text)} if text else ()
+            if hits:
+                reach = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in hits])
+                query, where = np.unique(asking[reach], return_inverse=True)
+                score = np.bincount(where, times[reach])
+                live = -score <= best.limit[query]
+                held.append((query[live], np.full(int(live.sum()), chunk), -score[live]))
+                count += int(live.sum())
+            if held and (count >= SCORED_PAIRS or chunk == len(chunk_ids) - 1):
+                query, rows, value = map(np.concatenate, zip(*held))
+                best.add(query, chunk_ids[rows], value)
+                held, count = [], 0
+    yield best.frame(query_ids, ("query_id", "chunk_id", "score"), -1.0)
 
 
 def _padded(best: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:

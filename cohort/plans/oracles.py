@@ -531,7 +531,7 @@ UNION ALL SELECT query_id, 'retrieval', context FROM contexts""",
 SELECT 'D' || roll AS department, 1 AS count, round((algebra + networks + rhetoric) / 3, 2) AS avg_marks,
        round(attendance, 2) AS avg_attendance, grade, 1 AS grade_count FROM book"""),
     "wide_summary": book("""
-SELECT count(*) AS total_students, count(*) AS n_departments, md5(string_agg('D' || roll, ',' ORDER BY 'D' || roll)) AS departments_md5
+SELECT count(*) AS total_students, count(*) AS n_departments, CAST(sum(CAST('0x' || substr(md5('D' || roll), 1, 8) AS BIGINT)) AS BIGINT) AS departments_digest
 FROM book"""),
     "text_gaps": f"""WITH {RAW}
 SELECT CASE WHEN roll % 7 > 0 THEN department ELSE 'Unknown' END AS department, count(*) AS count FROM raw GROUP BY 1""",
@@ -562,7 +562,7 @@ SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 'system', 'Answer briefly.' FROM con
 WHERE conv_id NOT IN (SELECT conv_id FROM found)""",
     "long_buffers": kept(12).replace("WITH ranked", """
 WITH long_log AS (
-  SELECT conv_id % 10 AS conv_id, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) - 1 AS turn, role, text
+  SELECT conv_id // 40 AS conv_id, row_number() OVER (PARTITION BY conv_id // 40 ORDER BY conv_id, turn) - 1 AS turn, role, text
   FROM conversations),
 ranked""").replace("FROM conversations),\nplaced", "FROM long_log),\nplaced"),
     "csv_ragged": f"""WITH {ORDERS}

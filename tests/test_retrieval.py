@@ -76,7 +76,7 @@ def test_every_chunk_finds_itself(book):
     assert own.where(F.col("query_id") != F.col("chunk_id")).isEmpty()
 
 
-@pytest.mark.parametrize("way", [{}, {"max_keywords": 0}])
+@pytest.mark.parametrize("way", [{}, {"max_keywords": 4}])
 def test_keywords_against_brute_force(chunks, queries, way):
     expected = []
     for q, text in enumerate(QUESTIONS):
@@ -85,6 +85,26 @@ def test_keywords_against_brute_force(chunks, queries, way):
     assert found(V.keyword_topk(chunks, queries, 3, **way)) == sorted(expected)
 
 
+def test_many_keywords_in_one_pass(spark):
+    """Fifty thousand words, overlapping ones too, against plain substring tests of a few chunks."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcde"))
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(50_000)]
+    asked = [(q, " ".join(words[q * 50:(q + 1) * 50])) for q in range(1000)]
+    texts = [(c, " ".join("".join(rng.choice(letters, 30)) for _ in range(5))) for c in range(12)] + [(50, ""), (51, None), (52, "ABCDE abcde")]
+    got = V.keyword_topk(spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"), 3)
+    expected = []
+    for q, text in asked:
+        scores = [(-sum(w in (t or "").lower() for w in text.split()), c) for c, t in texts]
+        expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(sorted(x for x in scores if x[0])[:3])]
+    assert found(got) == sorted(expected)
+
+
+def test_a_query_without_words(spark, chunks):
+    none = spark.createDataFrame([(1, " "), (2, None)], "query_id long, text string")
+    assert V.keyword_topk(chunks, none, 2).count() == 0 and V.keyword_topk(chunks, none, 2, pad=True).count() == 4
+
+
 def test_padded_keywords(chunks, queries):
     expected = []
     for q, text in enumerate(QUESTIONS):
