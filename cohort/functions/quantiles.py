@@ -1,10 +1,10 @@
-"""Exact quantiles without gathering a column in one task.
+"""Exact quantiles of any number of columns in at most two scans, without gathering a column in one task.
 
-Every (column, probability) pair is one target with a bracket [low, high] that holds its order statistics. While a
-bracket holds too many distinct values, a round narrows it: each of up to SALTS random parts of the rows computes a grid of
-approximate percentiles, and the smallest and largest grid values over the parts enclose the true quantile. When the
-bracket is small, its (value, count) table - pre-aggregated before the shuffle, at most `limit` rows per target - gives
-the exact answer from running counts.
+Every (column, probability) pair is one target. A first scan makes one mergeable sketch for each column with many distinct values,
+whose ranks are off by one part in ACCURACY at most (percentile_approx); two of its values, a little below and above the wanted rank,
+enclose the order statistics of a target. The second scan counts, for all targets at once, the rows below the bracket and each
+value inside it, pre-aggregated before the shuffle. Running counts give the exact answer. Should a bracket not hold its
+rank, which the counts tell, that target is counted once more without one.
 """
 
 from __future__ import annotations
@@ -16,13 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions.exprs import col
-
 from cohort.session import written
 
-SALTS = 64
-PART_ROWS = 100_000
-GRID = 100
-DISTINCT_LIMIT = 500_000
+ACCURACY = 20_000           # of the sketches: ranks are right to one part in so many
+MARGIN = 3 / ACCURACY       # between a target's probability and those of its bracket
+DISTINCT_LIMIT = 500_000    # distinct values of a column that are counted without a bracket
 
 
 @dataclass
@@ -32,50 +30,43 @@ class _Target:
     rank: float = 0.0       # position among the sorted present values, counted from 0, may be fractional
     low: float = -math.inf
     high: float = math.inf
-    below: int = 0          # present values smaller than low
-    inside: int = 0
-    distinct: int = 0
-
-    def value(self) -> Column:
-        c = col(self.column).cast("double")
-        return F.when(c.between(F.lit(self.low), F.lit(self.high)) & ~F.isnan(c), c)
 
 
-def _count(df: DataFrame, targets: list[_Target]) -> None:
-    exprs = []
-    for i, t in enumerate(targets):
-        exprs += [
-            F.count(F.when(col(t.column).cast("double") < F.lit(t.low), 1)).alias(f"below_{i}"),
-            F.count(t.value()).alias(f"inside_{i}"),
-            F.approx_count_distinct(t.value(), 0.02).alias(f"distinct_{i}"),
-        ]
-    row = df.agg(*exprs).first()
-    for i, t in enumerate(targets):
-        t.below, t.inside, t.distinct = row[f"below_{i}"], row[f"inside_{i}"], row[f"distinct_{i}"]
+def _number(column: str) -> Column:
+    c = col(column).cast("double")
+    return F.when(~F.isnan(c), c)
 
 
-def _long(df: DataFrame, targets: list[_Target]) -> DataFrame:
-    cells = [F.struct(F.lit(i).alias("target"), t.value().alias("value")) for i, t in enumerate(targets)]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+def _sketch(df: DataFrame, targets: list[_Target], known: Mapping[str, tuple[int, int]] | None, limit: int) -> dict[str, tuple[int, int]]:
+    """Present and distinct values of each column, from one scan that also sets the brackets of targets in columns with many."""
+    columns = list(dict.fromkeys(t.column for t in targets if known is None or known[t.column][1] > limit))
+    if not columns:
+        return dict(known or {})
+    exprs, shares = [], {}
+    for i, c in enumerate(columns):
+        shares[c] = sorted({p for t in targets if t.column == c for p in (t.prob - MARGIN, t.prob + MARGIN) if 0 < p < 1})
+        exprs += [F.count(_number(c)).alias(f"n_{i}"), F.approx_count_distinct(_number(c), 0.02).alias(f"distinct_{i}")]
+        if shares[c]:
+            exprs.append(F.percentile_approx(_number(c), shares[c], ACCURACY).alias(f"values_{i}"))
+    row = df.agg(*exprs).first()
+    sizes = dict(known or {})
+    for i, c in enumerate(columns):
+        if known is None:
+            sizes[c] = row[f"n_{i}"], row[f"distinct_{i}"]
+        at = dict(zip(shares[c], row[f"values_{i}"] or [])) if shares[c] else {}
+        for t in targets:
+            if t.column == c and sizes[c][1] > limit:
+                t.low, t.high = at.get(t.prob - MARGIN, -math.inf), at.get(t.prob + MARGIN, math.inf)
+    return sizes
 
 
-def _narrow(df: DataFrame, targets: list[_Target]) -> None:
-    # a part has enough rows for a sharp grid, and the parts are merged in parallel
-    salts = min(SALTS, 1 + max(t.inside for t in targets) // PART_ROWS)
-    salted = _long(df, targets).withColumn("salt", F.floor(F.rand(7) * salts).cast("int"))
-    shares = [i / GRID for i in range(GRID + 1)]
-    parts = salted.groupBy("target", "salt").agg(F.percentile_approx("value", shares, GRID * 10).alias("grid"))
-    points = parts.select("target", F.posexplode("grid").alias("point", "value"))
-    # a short table: GRID + 1 rows per target
-    extremes = points.groupBy("target", "point").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()
-    grid = {(r["target"], r["point"]): (r["low"], r["high"]) for r in extremes}
+def _counted(df: DataFrame, targets: list[_Target]) -> DataFrame:
+    """(target, value, n): how often each value of a bracket occurs; a null value has the rows below the bracket."""
+    cells = []
     for i, t in enumerate(targets):
-        share = (t.rank - t.below) / max(t.inside - 1, 1)
-        lower, upper = math.floor(share * GRID) - 1, math.ceil(share * GRID) + 1
-        if lower > 0:
-            t.low = max(t.low, grid[i, lower][0])
-        if upper < GRID:
-            t.high = min(t.high, grid[i, upper][1])
+        c = _number(t.column)
+        cells.append(F.struct(F.lit(i).alias("target"), F.when(c >= t.low, c).alias("value"), (c <= t.high).alias("counts")))
+    return df.select(F.inline(F.array(*cells))).where("counts").groupBy("target", "value").agg(F.count("*").alias("n"))
 
 
 def _reached_by_ranges(table: DataFrame) -> DataFrame:
@@ -87,23 +78,25 @@ def _reached_by_ranges(table: DataFrame) -> DataFrame:
     return ranges.join(before, ["target", "part"]).withColumn("reached", F.col("before") + inside)
 
 
-def _finish(df: DataFrame, targets: list[_Target]) -> list[float]:
-    table = _long(df, targets).groupBy("target", "value").agg(F.count("*").alias("n"))
-    pick = _reached_by_ranges(table) if any(not t.distinct for t in targets) else table.withColumn(
+def _finish(df: DataFrame, targets: list[_Target], many: bool) -> list[float | None]:
+    """The answer of each target; None where its bracket does not hold its rank."""
+    table = _counted(df, targets)
+    pick = _reached_by_ranges(table) if many else table.withColumn(
         "reached", F.sum("n").over(Window.partitionBy("target").orderBy("value")))
     first = F.lit(None).cast("double")
     second = F.lit(None).cast("double")
     for i, t in enumerate(targets):
-        inner = t.rank - t.below
         here = F.col("target") == i
-        first = F.when(here & (F.col("reached") > math.floor(inner)), F.col("value")).otherwise(first)
-        second = F.when(here & (F.col("reached") > math.ceil(inner)), F.col("value")).otherwise(second)
-    rows = pick.groupBy("target").agg(F.min(first).alias("a"), F.min(second).alias("b")).collect()
-    result: list[float] = [math.nan] * len(targets)
+        first = F.when(here & (F.col("reached") > math.floor(t.rank)), F.col("value")).otherwise(first)
+        second = F.when(here & (F.col("reached") > math.ceil(t.rank)), F.col("value")).otherwise(second)
+    below = F.max(F.when(F.col("value").isNull(), F.col("n")))
+    rows = pick.groupBy("target").agg(F.min(first).alias("a"), F.min(second).alias("b"), F.coalesce(below, F.lit(0)).alias("below")).collect()
+    result: list[float | None] = [None] * len(targets)
     for row in rows:
-        part = targets[row["target"]].rank % 1
-        a, b = row["a"], row["b"]
-        result[row["target"]] = a if part == 0 or a == b else a + (b - a) * part
+        t, a, b = targets[row["target"]], row["a"], row["b"]
+        if a is not None and b is not None and row["below"] <= math.floor(t.rank):
+            part = t.rank % 1
+            result[row["target"]] = a if part == 0 or a == b else a + (b - a) * part
     return result
 
 
@@ -113,31 +106,22 @@ def exact_quantiles(
 ) -> Mapping[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns; None for a column without values.
 
-    known gives the number of present values and the approximate number of distinct values per column and saves the
-    pass that counts them.
+    known gives the number of present values and the approximate number of distinct values per column; it saves the first scan
+    where all columns have few.
     """
     targets = [_Target(c, p) for c in columns for p in probs]
     if not targets:
         return {}
-    if known is None:
-        _count(df, targets)
-    else:
-        for t in targets:
-            t.inside, t.distinct = known[t.column]
+    sizes = _sketch(df, targets, known, limit)
     for t in targets:
-        t.rank = t.prob * (t.inside - 1)
-    todo = [t for t in targets if t.inside]
-    wide = [t for t in todo if t.distinct > limit]
-    while wide:
-        before = [(t.low, t.high, t.below, t.inside) for t in wide]
-        _narrow(df, wide)
-        _count(df, wide)
-        for t, (low, high, below, inside) in zip(wide, before):
-            lost = t.below > math.floor(t.rank) or t.below + t.inside <= math.ceil(t.rank)
-            if lost:        # the approximate grid missed: keep the bracket that is known to hold
-                t.low, t.high, t.below, t.inside = low, high, below, inside
-            if lost or t.inside == inside:
-                t.distinct = 0
-        wide = [t for t in wide if t.distinct > limit]
-    done = dict(zip(map(id, todo), _finish(df, todo))) if todo else {}
+        t.rank = t.prob * (sizes[t.column][0] - 1)
+    todo = [t for t in targets if sizes[t.column][0]]
+    # values of a bracket: twice the margin of the rows, and the error of the sketch on either side
+    many = any(sizes[t.column][1] > limit and sizes[t.column][0] * 4 * MARGIN > limit for t in todo)
+    done = dict(zip(map(id, todo), _finish(df, todo, many))) if todo else {}
+    again = [t for t in todo if done[id(t)] is None]
+    for t in again:
+        t.low, t.high = -math.inf, math.inf
+    if again:
+        done |= dict(zip(map(id, again), _finish(df, again, True)))
     return {c: [done.get(id(t)) for t in targets if t.column == c] for c in columns}

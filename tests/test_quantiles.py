@@ -31,8 +31,8 @@ def test_empty_and_single(spark):
     assert exact_quantiles(frame(spark, [1, 2]), ["v"], [0.5]) == {"v": [1.5]}
 
 
-def test_a_bracket_that_does_not_shrink(spark):
-    """Distinct values are said to be many but are two, so narrowing gives up and sums by ranges."""
+def test_a_bracket_of_one_value(spark):
+    """Distinct values are said to be many but are two."""
     values = [1.0] * 30 + [5.0] * 71
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
     found = exact_quantiles(df, ["x"], [0.0, 0.25, 0.3, 0.5, 1.0], limit=1, known={"x": (len(values), 10**9)})
@@ -64,3 +64,43 @@ def test_scratch_is_removed(spark, tmp_path):
     kept, session._made[:] = session._made[:-1], [path]
     assert session.remove_scratch(spark) == 1 and not os.path.exists(bare)
     session._made[:] = kept
+
+
+def _reads(spark):
+    """The rows that are read from a source, as a Python stage behind it counts them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return seen, counted
+
+
+@pytest.mark.parametrize("distinct", [10, 60_000])
+def test_two_scans_at_any_number_of_distinct_values(spark, distinct):
+    n = 60_000
+    seen, counted = _reads(spark)
+    df = spark.range(n).selectExpr(f"CAST(id % {distinct} AS DOUBLE) AS v", f"CAST(-(id % {distinct}) AS DOUBLE) AS w")
+    read = df.repartition(4).mapInArrow(counted, df.schema)
+    got = exact_quantiles(read, ["v", "w"], PROBS, limit=1000)
+    values = np.arange(n) % distinct
+    assert got["v"] == pytest.approx([np.quantile(values, p) for p in PROBS]) and got["w"] == pytest.approx([np.quantile(-values, p) for p in PROBS])
+    assert seen.value == 2 * n
+
+
+def test_a_bracket_that_misses_is_counted_again(spark, monkeypatch):
+    from cohort.functions import quantiles as Q
+
+    df = spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS v")
+    real = Q._sketch
+
+    def wrong(df, targets, *rest):
+        sizes = real(df, targets, *rest)
+        for t, (low, high) in zip(targets, [(4000.0, 4100.0), (10.0, 20.0)]):
+            t.low, t.high = low, high
+        return sizes
+
+    monkeypatch.setattr(Q, "_sketch", wrong)
+    assert exact_quantiles(df, ["v"], [0.25, 0.5], limit=10)["v"] == [1249.75, 2499.5]
