@@ -36,11 +36,11 @@ SCORED_ROWS = 1_000             # chunks that are scored at once
 MAX_KEYWORDS = 100_000          # words of queries that are sent to the chunks at once
 SCORED_PAIRS = 500_000          # pairs of a query and a chunk that a task holds before it keeps the best
 BROADCAST_NUMBERS = 4_000_000   # numbers of all query vectors together that are sent to every executor
+PIVOTS = 256                    # vectors around which cells are made
 CELL_NUMBERS = 1_000_000        # of the vectors that are compared at once
 CELL_QUERIES = 500              # queries that they are compared with at once
 BROADCAST_ROWS = 1_000_000      # ranked rows that are sent to every executor
 LARGE_SAMPLE = 20               # a corpus of so many times the sample is cut down by a bound first
-SALTS = 32
 SCORE_PLACES = 9                # scores are compared at this precision, so exact copies of a chunk tie
 
 
@@ -410,40 +410,118 @@ def _near(block: np.ndarray, points: np.ndarray, limit: np.ndarray, k: int) -> t
     return i, q, np.round(exact, SCORE_PLACES)
 
 
-def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = fv.TOP_K, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+@dataclass(frozen=True)
+class Cells:
+    """Vectors by their nearest pivot (chunk_id, cell, far, embedding), and what is known of each cell."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    held: np.ndarray      # vectors in each cell
+    near: np.ndarray      # least and greatest distance of a vector in it from its pivot
+    far: np.ndarray
+
+    def bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of each point from each pivot, and a lower bound for the vectors of the cell, with room for rounding.
+
+        A vector is between near and far from its pivot, and no nearer to the pivot next to the point than to its own.
+        """
+        d = np.sqrt(np.maximum(0, np.square(points).sum(axis=1)[:, None] + np.square(self.pivots).sum(axis=1) - 2 * points @ self.pivots.T))
+        low = np.maximum(np.maximum(d - self.far, self.near - d), (d - d.min(axis=1, keepdims=True)) / 2)
+        return d, np.maximum(0, low - 1e-6 * (1 + d))
+
+
+def cells(vectors: DataFrame, pivots: int = PIVOTS) -> Cells | None:
+    """Voronoi cells around a bounded sample of the vectors (by a hash of their ids), written once; None without vectors."""
+    vectors = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    chosen = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots).collect()
+    if not chosen:
+        return None
+    points = np.unique(_matrix([r["embedding"] for r in chosen]), axis=0)
+    sent = vectors.sparkSession.sparkContext.broadcast(points)
+
+    def place(batches):
+        points = sent.value
+        for batch in batches:
+            found = _matrix(batch["embedding"]) if len(batch) else np.zeros((0, points.shape[1]))
+            about = np.square(points).sum(axis=1) - 2 * found @ points.T
+            cell = about.argmin(axis=1)
+            yield batch.assign(cell=cell.astype("int32"), far=np.sqrt(np.square(found - points[cell]).sum(axis=1)))
+
+    schema = f"{vectors.select('chunk_id').schema.simpleString()[7:-1].replace(':', ' ', 1)}, embedding {vectors.schema['embedding'].dataType.simpleString()}, cell int, far double"
+    rows = written(vectors.mapInPandas(place, schema), "cells")
+    held, near, far = np.zeros(len(points)), np.full(len(points), np.inf), np.zeros(len(points))
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect():
+        held[r["cell"]], near[r["cell"]], far[r["cell"]] = r["n"], r["near"], r["far"]
+    return Cells(rows, points, held, np.where(held > 0, near, 0), far)
+
+
+def _search_cells(batches, query_ids, points, allowed: np.ndarray, low: np.ndarray, limit: np.ndarray, k: int, compared) -> Iterator[pd.DataFrame]:
+    """The k nearest vectors of a task to each query among the cells that it is allowed, whose bounds are within its limit so far."""
+    best = Best(len(query_ids), k)
+    for batch in batches:
+        ids, embeddings, cell = _ids(batch["chunk_id"]), batch["embedding"].to_numpy(), batch["cell"].to_numpy()
+        order = np.argsort(cell, kind="stable")
+        edges = np.flatnonzero(np.diff(cell[order], prepend=-1, append=-1))
+        for start, stop in zip(edges[:-1], edges[1:]):
+            own, c = order[start:stop], int(cell[order[start]])
+            now = np.minimum(limit, best.limit)
+            asked = np.flatnonzero(allowed[:, c] & (np.square(low[:, c]) <= now))
+            if not len(asked):
+                continue
+            compared.add(len(own) * len(asked))
+            at_once = max(1, CELL_NUMBERS // points.shape[1])
+            for start in range(0, len(own), at_once):
+                some = own[start:start + at_once]
+                found = _matrix(embeddings[some])
+                for q0 in range(0, len(asked), CELL_QUERIES):
+                    part = asked[q0:q0 + CELL_QUERIES]
+                    i, q, distance = _near(found, points[part], np.minimum(limit, best.limit)[part], k)
+                    best.add(part[q], ids[some[i]], distance)
+    yield best.frame(query_ids, ("query_id", "chunk_id", "distance"))
+
+
+def knn_topk(vectors: DataFrame | Cells, queries: DataFrame, k: int = fv.TOP_K, broadcast_numbers: int = BROADCAST_NUMBERS, compared=None) -> DataFrame:
     """Exact nearest vectors by squared Euclidean distance: query_id, rank, chunk_id, distance.
 
-    vectors has chunk_id and embedding, queries query_id and embedding. Queries are sent to the vectors in blocks of a
-    bounded size; tasks compare batches of vectors with a block and hand on k rows per query.
+    vectors has chunk_id and embedding, or is what cells(...) made of it for several searches; queries has query_id and embedding.
+    Queries are sent to the vectors in blocks of a bounded size. A first pass compares each query with the cells next to it that hold k
+    vectors together; with the distance that it found, a second pass compares it with those other cells only that can hold a nearer
+    vector by the triangle inequality. Tasks hand on k rows per query. compared, an accumulator, counts the pairs.
     """
-    spark = vectors.sparkSession
-    id_type, query_type = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, chunk_id {id_type}, distance double"
-    vectors = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    spark = queries.sparkSession
+    index = vectors if isinstance(vectors, Cells) else cells(vectors)
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    if index is None:
+        ids = vectors.schema["chunk_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"query_id {query_type}, rank int, chunk_id {ids}, distance double")
+    schema = f"query_id {query_type}, chunk_id {index.rows.schema['chunk_id'].dataType.simpleString()}, distance double"
+    compared = compared if compared is not None else spark.sparkContext.accumulator(0)
     queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    numbers, size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)), F.max(F.size("embedding"))).first()
-    at_once = max(1, CELL_NUMBERS // max(1, size or 1))
+    numbers = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0] * max(1, len(index.pivots) // max(1, index.pivots.shape[1]))
     parts = []
     for block in _blocks(queries, max(1, -(-numbers // broadcast_numbers))):
         rows = block.collect()
         if not rows:
             continue
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], object), _matrix([r["embedding"] for r in rows])))
-
-        def search(batches, sent=sent):
-            query_ids, points = sent.value
-            best = Best(len(query_ids), k)
-            for batch in batches:
-                ids, embeddings = _ids(batch["chunk_id"]), batch["embedding"].to_numpy()
-                for start in range(0, len(ids), at_once):
-                    cells = _matrix(embeddings[start:start + at_once])
-                    for q0 in range(0, len(points), CELL_QUERIES):
-                        part = slice(q0, q0 + CELL_QUERIES)
-                        i, q, distance = _near(cells, points[part], best.limit[part], k)
-                        best.add(q0 + q, ids[start + i], distance)
-            yield best.frame(query_ids, ("query_id", "chunk_id", "distance"))
-
-        parts.append(vectors.mapInPandas(search, schema))
+        query_ids, points = np.array([r["query_id"] for r in rows], object), _matrix([r["embedding"] for r in rows])
+        d, low = index.bounds(points)
+        # the cells next to a query, as many as hold k vectors
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(index.held[order], axis=1) - index.held[order]
+        first = np.zeros(d.shape, bool)
+        np.put_along_axis(first, order, before < k, axis=1)
+        none = np.full(len(points), np.inf)
+
+        def search(allowed, limit):
+            sent = spark.sparkContext.broadcast((query_ids, points, allowed, low, limit))
+            return lambda batches: _search_cells(batches, *sent.value, k, compared)
+
+        close = written(index.rows.mapInPandas(search(first, none), schema), "close")
+        reached = close.groupBy("query_id").agg(F.sort_array(F.collect_list("distance")).alias("d")).select(
+            "query_id", F.get("d", F.lit(k - 1)).alias("limit")).where("limit IS NOT NULL").collect()
+        at = {r["query_id"]: r["limit"] for r in reached}
+        limit = np.array([at.get(q, np.inf) for q in query_ids]) + 10.0 ** -SCORE_PLACES
+        parts += [close, index.rows.mapInPandas(search(~first, limit), schema)]
     near = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     return _best(near, k, F.asc("distance")).select("query_id", "rank", "chunk_id", "distance")
 

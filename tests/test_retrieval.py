@@ -128,6 +128,36 @@ def test_nearest_against_brute_force(spark, way):
     assert found(V.knn_topk(vectors, queries, 4, **way), "distance") == sorted(expected)
 
 
+@pytest.mark.parametrize("pivots", [1, 7, 60])
+def test_cells_give_the_exact_neighbours(spark, pivots):
+    """Repeated points, ties, a far point, queries outside all cells, more neighbours asked than there are."""
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(size=(40, 3)), np.zeros((12, 3)), [[50.0, 0, 0]], rng.integers(0, 2, (20, 3))])
+    vectors = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(900, None)], "chunk_id long, embedding array<double>")
+    asked = np.concatenate([points[::9], [[9.0, 9, 9], [-100.0, 0, 0]]])
+    queries = spark.createDataFrame([(q, [float(x) for x in p]) for q, p in enumerate(asked)] + [(99, None)], "query_id long, embedding array<double>")
+    index = V.cells(vectors.repartition(4), pivots)
+    for k in (1, 5, 100):
+        expected = []
+        for q, p in enumerate(asked):
+            order = sorted((round(float(((x - p) ** 2).sum()), 9), i) for i, x in enumerate(points))[:k]
+            expected += [(q, r + 1, i, round(d, 6)) for r, (d, i) in enumerate(order)]
+        assert found(V.knn_topk(index, queries, k), "distance") == sorted(expected)
+
+
+def test_few_pairs_are_compared(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 20
+    points = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))
+    vectors = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "chunk_id long, embedding array<double>").repartition(4)
+    queries = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    seen = spark.sparkContext.accumulator(0)
+    got = V.knn_topk(V.cells(vectors, 200), queries, 5, compared=seen).collect()
+    assert len(got) == 1000 and all(r["chunk_id"] == r["query_id"] for r in got if r["rank"] == 1)
+    assert 0 < seen.value < 0.1 * 200 * 4000
+    assert V.knn_topk(vectors.limit(0), queries).count() == 0
+
+
 def test_sample_does_not_depend_on_partitions(book):
     rows = V.row_chunks(book)
     a = {r[0] for r in V.sample_rows(rows, 50).select("chunk_id").collect()}
