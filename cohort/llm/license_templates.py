@@ -35,12 +35,68 @@ TEMPLATES = {
     "isc": ("isc", """<<optional>>ISC License <<end>><<optional>>Copyright (c) <<var 20>><<end>>
         Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or
         without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
-        copies."""),
+        copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var 8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var 8>> BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+        WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    # with or without the clause on names: three clauses or two
     "bsd": ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted
         provided that the following conditions are met: <<optional>>1. <<end>>Redistributions of source code must retain
         the above copyright notice, this list of conditions and the following disclaimer. <<optional>>2. <<end>>
         Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
-        following disclaimer in the documentation and/or other materials provided with the distribution."""),
+        following disclaimer in the documentation and/or other materials provided with the distribution.
+        <<optional>>3. <<end>><<optional>>Neither the name of <<var 12>> nor the names of <<var 3>> contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission. <<end>>
+        THIS SOFTWARE IS PROVIDED BY <<var 12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+        SHALL <<var 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+        TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+        THE POSSIBILITY OF SUCH DAMAGE."""),
+    "zlib": ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the
+        authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to
+        use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+        subject to the following restrictions: <<optional>>1. <<end>>The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. <<optional>>2. <<end>>
+        Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+        software. <<optional>>3. <<end>>This notice may not be removed or altered from any source distribution."""),
+    "unlicense": ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to
+        copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+        binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright
+        laws, the author or authors of this software dedicate any and all copyright interest in the software to the public
+        domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future
+        rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS
+        OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+        ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE."""),
+    "apache-header": ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+        except in compliance with the License. You may obtain a copy of the License at <<var 10>> Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License."""),
+    "apache-title": ("apache", """Apache License Version 2.0, January 2004 <<var 6>> TERMS AND CONDITIONS FOR USE,
+        REPRODUCTION, AND DISTRIBUTION"""),
+    "mpl-header": ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
+        the MPL was not distributed with this file, You can obtain one at"""),
+} | {f"{label}-header": (label, f"""is free software<<optional>>;<<end>> you can redistribute it and/or modify it under the terms of the GNU
+        {name}General Public License as published by the Free Software Foundation<<optional>>; either<<end>> version <<var 2>>
+        <<optional>>of the License<<end>><<optional>>, or (at your option) any later version<<end>>. <<var 6>> is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE. See the GNU {name}General Public License for more details.""")
+     for label, name in (("gpl", ""), ("lgpl", "Lesser "), ("agpl", "Affero "))
+} | {f"{label}-title": (label, f"""GNU {name}GENERAL PUBLIC LICENSE Version <<var 6>> Copyright (C) <<var 30>> Everyone is permitted to copy
+        and distribute verbatim copies of this license document, but changing it is not allowed.""")
+     for label, name in (("gpl", ""), ("lgpl", "LESSER "), ("agpl", "AFFERO "))
+} | {f"spdx-{name.lower()}": (label, f"SPDX-License-Identifier: {name}")
+     for name, label in (("MIT", "mit"), ("ISC", "isc"), ("BSD-2-Clause", "bsd"), ("BSD-3-Clause", "bsd"), ("Zlib", "zlib"), ("Unlicense", "unlicense"),
+                         ("Apache-2.0", "apache"), ("MPL-2.0", "mpl"), ("GPL-2.0", "gpl"), ("GPL-3.0", "gpl"), ("LGPL-2.1", "lgpl"),
+                         ("LGPL-3.0", "lgpl"), ("AGPL-3.0", "agpl"))
+} | {
     "apache-notice": ("apache", """Licensed under the Apache License, Version 2.0<<optional>> (the "License"); you may
         not use this file except in compliance with the License.<<end>>"""),
     "mit-notice": ("mit", "<<optional>>This <<var 3>> is <<end>>Released under the <<optional>>terms of the <<end>>MIT License"),

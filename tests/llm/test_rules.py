@@ -94,6 +94,30 @@ def test_phrases_against_brute_force(spark):
     assert L.license_scan(empty(spark)).count() == 0
 
 
+def test_usual_headers_and_altered_wording():
+    automata = L.compiled()
+    labels = lambda text: L.scan(text.encode(), automata)[5]
+    gpl = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+    found = L.scan(gpl.encode(), automata)
+    assert found[5] == "gpl" and "gpl-header" in [m["template"] for m in found[7]]
+    assert labels(gpl.replace("GNU General", "GNU Lesser General")) == "gpl,lgpl" and labels(gpl.replace("GNU General", "GNU Affero General")) == "agpl,gpl"
+    assert labels("// This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not\n"
+                  "// distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.") == "mpl"
+    assert labels("SPDX-License-Identifier: BSD-3-Clause") == "bsd" and labels("spdx license identifier isc") == "isc"
+    bsd = re.sub(r"<<var \d+>>", "THE AUTHORS", re.sub(r"<<optional>>|<<end>>", "", L.TEMPLATES["bsd"][1]))
+    two = bsd[:bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE"):]
+    assert labels(bsd) == labels(two) == "bsd"
+    # an altered disclaimer is no match
+    assert labels(bsd.replace("ARE DISCLAIMED", "ARE NOT DISCLAIMED")) == labels(two.replace("EVEN IF ADVISED", "IF ADVISED")) == ""
+    isc = re.sub(r"<<var \d+>>", "THE AUTHOR", re.sub(r"<<optional>>|<<end>>", "", L.TEMPLATES["isc"][1]))
+    assert labels(isc) == "isc" and labels(isc.replace("DISCLAIMS ALL", "DISCLAIMS SOME")) == ""
+    free = L.TEMPLATES["unlicense"][1]
+    assert labels(free) == "unlicense" and labels(free.replace("sell, or", "or")) == ""
+
+
 def test_templates_match_their_own_text():
     fill = lambda t, opt: re.sub(r"<<var \d+>>", "ACME Corp", re.sub(r"<<optional>>|<<end>>", "", t) if opt else re.sub(r"<<optional>>(?:(?!<<optional>>|<<end>>).)*<<end>>", " ", t, flags=re.S))
     for name, (label, template) in L.TEMPLATES.items():
