@@ -26,7 +26,9 @@ BLOCK = set("""address article aside blockquote body center dd details dialog di
 SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 menu ol p pre listing table ul".split())   # an empty line around them
 CLOSES_P = BLOCK - {"html", "body", "dd", "dt", "li", "legend", "option", "optgroup"}
 HIDDEN = set("""area base datalist head link meta noembed noframes noscript param rp script style template title iframe audio
-    video canvas object svg math source track textarea select""".split())
+    video canvas source track annotation annotation-xml""".split())
+DRAWN = {"text"}                                            # of a drawing, only the text of these elements shows
+UNDRAWN = set("title desc metadata defs symbol".split())
 IMPLIED = {   # opening tag: (tags it closes, tags beyond which it does not look)
     "li": ({"li"}, {"ul", "ol", "menu", "dir", "table", "td", "th"}),
     "dt": ({"dt", "dd"}, {"dl", "table", "td", "th"}), "dd": ({"dt", "dd"}, {"dl", "table", "td", "th"}),
@@ -40,13 +42,19 @@ IMPLIED = {   # opening tag: (tags it closes, tags beyond which it does not look
     "a": ({"a"}, {"table", "td", "th"}), "button": ({"button"}, {"table", "td", "th"}),
 }
 SCOPE = {"table", "td", "th", "html", "button", "object"}   # an implied </p> does not reach beyond these
-MAX_SPAN = 1000                                             # of columns, as in the standard
+MAX_SPAN, MAX_ROWS = 1000, 65534                            # of columns and rows, as in the standard
 
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"[ \t\n\f\r]+")
+STYLE = re.compile(r"<style\b[^>]*>(.*?)(?:</style\b|\Z)", re.S | re.I)
+STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+STYLE_BLOCK = re.compile(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;")   # what holds for some devices only
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?")
+SHOWS = re.compile(r"(?:^|;)\s*(?:display|visibility)\s*:", re.I)
 NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
 
 
@@ -61,23 +69,22 @@ def attributes(text: str) -> dict[str, str]:
 def events(html: str):
     """("open", tag, attributes), ("close", tag, None) and ("text", text, None), properly nested."""
     opened: list[str] = []
-    held: dict[str, int] = {}
+    held: dict[str, list[int]] = {}     # where each tag stands among the open ones
+
+    def push(tag: str) -> None:
+        held.setdefault(tag, []).append(len(opened))
+        opened.append(tag)
 
     def close_to(depth: int):
         while len(opened) > depth:
             tag = opened.pop()
-            held[tag] -= 1
+            held[tag].pop()
             yield "close", tag, None
 
     def innermost(tags, stop) -> int | None:
-        if not any(held.get(t) for t in tags):
-            return None
-        for i in range(len(opened) - 1, -1, -1):
-            if opened[i] in tags:
-                return i
-            if opened[i] in stop:
-                return None
-        return None
+        place = max((held[t][-1] for t in tags if held.get(t)), default=-1)
+        barrier = max((held[t][-1] for t in stop if held.get(t)), default=-1)
+        return place if place >= max(barrier, 0) else None
 
     at = 0
     while at < len(html):
@@ -116,9 +123,8 @@ def events(html: str):
             yield from close_to(opened.index("head"))
         if tag in ("html", "head", "body") and held.get(tag):
             continue
-        if tag in ("td", "th") and not innermost({"tr"}, {"table"}) and held.get("table"):
-            opened.append("tr")
-            held["tr"] = held.get("tr", 0) + 1
+        if tag in ("td", "th") and innermost({"tr"}, {"table"}) is None and held.get("table"):
+            push("tr")
             yield "open", "tr", {}
         found = attributes(m[3] if m[2] else m[6])
         yield "open", tag, found
@@ -133,17 +139,38 @@ def events(html: str):
             closing = html.find(">", stop) if end else -1
             at = closing + 1 if closing >= 0 else len(html)
         else:
-            opened.append(tag)
-            held[tag] = held.get(tag, 0) + 1
+            push(tag)
             if tag in ("pre", "listing") and html.startswith("\n", at):
                 at += 1                                        # the first line end does not count
     yield from close_to(0)
 
 
-def hidden(tag: str, found: dict[str, str], parents: list) -> bool:
-    """Whether an element and all that is in it does not show."""
+def unseen(html: str) -> dict[tuple[str, str, str], bool]:
+    """(tag, "." or "#" or nothing, name) of the simple selectors in a page's styles: whether their last rule hides.
+
+    Rules for some devices only, and selectors that look at more than one element, are not read.
+    """
+    out: dict[tuple[str, str, str], bool] = {}
+    for sheet in STYLE.findall(html) if "<style" in html.lower() else ():
+        for selectors, rule in RULE.findall(STYLE_BLOCK.sub("", STYLE_COMMENT.sub("", sheet))):
+            if SHOWS.search(rule):
+                for selector in selectors.split(","):
+                    m = SIMPLE.fullmatch(selector.strip())
+                    if m and (m[1] or m[2]):
+                        out[(m[1] or "").lower(), m[2] or "", m[3] or ""] = bool(NO_DISPLAY.search(rule))
+    return out
+
+
+def hidden(tag: str, found: dict[str, str], parents: list, styles: dict | None = None) -> bool:
+    """Whether an element and all that is in it does not show. An id's rule goes before a class's, that before a tag's."""
     if tag in HIDDEN or "hidden" in found or NO_DISPLAY.search(found.get("style", "")):
         return True
+    if styles and not SHOWS.search(found.get("style", "")):
+        names = [("#", n) for n in found.get("id", "").split()] + [(".", n) for n in found.get("class", "").split()]
+        told = [styles[own, kind, n] for kind, n in names for own in (tag, "") if (own, kind, n) in styles]
+        told += [styles[tag, "", ""]] if (tag, "", "") in styles else []
+        if told and told[0]:
+            return True
     if tag == "dialog" and "open" not in found:
         return True
     inside = parents[-1] if parents else None
@@ -211,35 +238,65 @@ class Flow:
         return "\n".join(self.lines).strip("\n")
 
 
-def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell text, columns it spans) as lines with aligned cells, two blanks apart."""
-    widths: dict[int, int] = {}
+def placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """(first column, columns, text) of the cells of each row; a cell that spans rows keeps its columns from those below."""
+    taken: dict[int, int] = {}     # column -> rows below for which it is taken
+    out = []
     for row in rows:
-        at = 0
-        for text, span in row:
+        at, cells, fresh = 0, [], {}
+        for text, columns, spanned in row:
+            while taken.get(at, 0) > 0:
+                at += 1
+            cells.append((at, columns, text))
+            if spanned > 1:
+                fresh |= dict.fromkeys(range(at, at + columns), spanned)
+            at += columns
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n - 1 for c, n in fresh.items()}
+        out.append(cells)
+    return out
+
+
+def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (cell text, columns, rows that it spans) as lines with aligned cells, two blanks apart."""
+    grid = placed(rows)
+    widths: dict[int, int] = {}
+    for cells in grid:
+        for at, span, text in cells:
+            widths.setdefault(at, 0)
             if span == 1:
-                widths[at] = max(widths.get(at, 0), max(map(width, text.split("\n"))))
-            at += span
+                widths[at] = max(widths[at], max(map(width, text.split("\n"))))
+    order = sorted({c for cells in grid for at, span, _ in cells for c in range(at, at + span)})
+    starts, total = {}, 0
+    for c in order:
+        starts[c] = total
+        total += widths.get(c, 0) + 2
     out = []
-    for row in rows:
-        if not any(t for t, _ in row):
+    for cells in grid:
+        if not any(t for *_, t in cells):
             continue
-        cells = [t.split("\n") for t, _ in row]
-        for k in range(max(map(len, cells))):
-            line, at, place = [], 0, 0
-            for (_, span), lines in zip(row, cells):
-                own = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
+        split = [t.split("\n") for *_, t in cells]
+        for k in range(max(map(len, split))):
+            line, wide = "", 0
+            for (at, _, _), lines in zip(cells, split):
                 text = lines[k] if k < len(lines) else ""
-                line.append(text + " " * max(0, own - width(text)))
-                at += span
-            out.append("  ".join(line).rstrip(" "))
+                if text:
+                    # a text that is wider than its columns moves what follows
+                    gap = max(starts[at] - wide, 2 if wide else 0)
+                    line, wide = line + " " * gap + text, wide + gap + width(text)
+            out.append(line.rstrip(" "))
     return out
 
 
+def whole_number(text: str, least: int, most: int) -> int:
+    return min(most, max(least, int(text))) if re.fullmatch(r"\d{1,9}", text) else 1
+
+
 def render(html: str) -> tuple[str, str]:
     """(title, visible text) of a page."""
     flows, parents = [Flow()], []          # parents: [tag, attributes, state]
-    skipped = pre = 0
+    styles = unseen(html)
+    tables, lists, items = [], [], 0       # open tables and lists, and how many list items are open
+    skipped = pre = drawing = drawn = 0
     title: list[str] = []
     in_title = False
     for kind, tag, found in events(html):
@@ -251,15 +308,17 @@ def render(html: str) -> tuple[str, str]:
                 inside = parents[-1] if parents else None
                 if inside and inside[0] in ("table", "tr", "tbody", "thead", "tfoot", "colgroup", "ul", "ol", "dl") and not tag.strip():
                     continue
-                if inside and inside[0] == "details" and "open" not in inside[1]:
+                if inside and inside[0] == "details" and "open" not in inside[1] or drawing and not drawn or inside and inside[0] == "select":
+                    continue
+                if inside and inside[0] == "optgroup":
                     continue
                 flow.add(tag, pre > 0)
             continue
         if kind == "open":
-            if tag == "title" and not title:
+            if tag == "title" and not title and not drawing:
                 in_title = True
             state: object = None
-            if skipped or hidden(tag, found, parents):
+            if skipped or hidden(tag, found, parents, styles) or drawing and tag in UNDRAWN:
                 skipped += 1
                 parents.append([tag, found, "skipped"])
                 continue
@@ -272,19 +331,31 @@ def render(html: str) -> tuple[str, str]:
             elif tag == "table":
                 flow.block(True)
                 state = []
+                tables.append(state)
+            elif tag == "select":
+                state = []
+            elif tag == "option" and any(p[0] == "select" for p in parents[-2:]):
+                flows.append(Flow())
+                state = "option"
+            elif tag == "svg":
+                drawing += 1
+            elif drawing and tag in DRAWN:
+                flow.block(False)
+                drawn += 1
+                state = "drawn"
             elif tag == "tr":
-                table = next((p for p in reversed(parents) if p[0] == "table"), None)
-                if table:
-                    table[2].append([])
+                if tables:
+                    tables[-1].append([])
             elif tag in ("td", "th", "caption"):
-                if any(p[0] == "table" for p in parents):
+                if tables:
                     flows.append(Flow())
                     state = "cell"
             elif tag in BLOCK:
-                nested = tag in ("ul", "ol", "dl", "menu", "dir") and any(p[0] == "li" for p in parents)
+                nested = tag in ("ul", "ol", "dl", "menu", "dir") and items > 0
                 flow.block(tag in SPACED and not nested)
                 if tag == "li":
-                    owner = next((p for p in reversed(parents) if p[0] in ("ul", "ol", "menu", "dir")), None)
+                    items += 1
+                    owner = lists[-1] if lists else None
                     mark = "- "
                     if owner and owner[0] == "ol":
                         given = found.get("value") if re.fullmatch(r"-?\d{1,9}", found.get("value", "")) else None
@@ -302,9 +373,11 @@ def render(html: str) -> tuple[str, str]:
                     state = "prefix"
             elif tag == "q":
                 flow.add("“", False)
-            if tag in ("pre", "listing"):
+            if tag in ("pre", "listing", "textarea"):
                 pre += 1
             parents.append([tag, found, state])
+            if tag in ("ul", "ol", "menu", "dir"):
+                lists.append(parents[-1])
             continue
         in_title = in_title and tag != "title"
         _, found, state = parents.pop()
@@ -313,28 +386,47 @@ def render(html: str) -> tuple[str, str]:
             continue
         if state == "cell":
             text = flows.pop().text()
-            table = next(p for p in reversed(parents) if p[0] == "table")
             if tag == "caption":
                 for line in text.split("\n") if text else ():
                     flows[-1].line(line)
             else:
-                if not table[2]:
-                    table[2].append([])
-                span = found.get("colspan", "1")
-                table[2][-1].append((text, min(MAX_SPAN, max(1, int(span))) if re.fullmatch(r"\d{1,9}", span) else 1))
+                if not tables[-1]:
+                    tables[-1].append([])
+                rows = found.get("rowspan", "1")
+                tables[-1][-1].append((text, whole_number(found.get("colspan", "1"), 1, MAX_SPAN), MAX_ROWS if rows == "0" else whole_number(rows, 1, MAX_ROWS)))
+        elif state == "option":
+            text, (_, _, options) = SPACE.sub(" ", flows.pop().text()), next(p for p in reversed(parents) if p[0] == "select")
+            options.append((text or found.get("label", ""), "selected" in found))
+        elif tag == "select":
+            if "multiple" in found or whole_number(found.get("size", "1"), 1, 9) > 1:
+                for text, _ in state:
+                    flow.block(False)
+                    flow.add(text, False)
+                flow.block(False)
+            elif state:
+                flow.add(next((t for t, chosen in reversed(state) if chosen), state[0][0]), False)
+        elif tag == "svg":
+            drawing -= 1
+        elif state == "drawn":
+            drawn -= 1
+            flow.block(False)
         elif tag == "table":
+            tables.pop()
             flow.block(False)
             for line in table_lines(state):
                 flow.line(line)
             flow.block(True)
         elif tag in BLOCK:
-            nested = tag in ("ul", "ol", "dl", "menu", "dir") and any(p[0] == "li" for p in parents)
+            nested = tag in ("ul", "ol", "dl", "menu", "dir") and items > (tag == "li")
             flow.block(tag in SPACED and not nested)
+            items -= tag == "li"
+            if tag in ("ul", "ol", "menu", "dir"):
+                lists.pop()
             if state == "prefix":
                 flow.prefix.pop()
         elif tag == "q":
             flow.add("”", False)
-        if tag in ("pre", "listing"):
+        if tag in ("pre", "listing", "textarea"):
             pre -= 1
     return SPACE.sub(" ", "".join(title)).strip(" "), flows[0].text()
 

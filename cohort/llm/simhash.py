@@ -51,7 +51,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
     asked = fps.select("fp", F.inline(halves)).select("seg", F.col("fp").alias("u"), "half", F.explode(ball).alias("flip"))
     asked = asked.select("seg", F.col("half").bitwiseXOR(F.col("flip")).alias("key"), "u")
-    found = stored.join(asked, ["seg", "key"]).where(
+    # Spark takes the exploded side for as small as what it comes from, and would send it to all tasks
+    found = stored.join(asked.hint("merge"), ["seg", "key"]).where(
         (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
     return found.select("u", "v").distinct()
 

@@ -245,10 +245,96 @@ PAGES = [
     ("<!-- a --><!DOCTYPE html><head><title>T</title><meta x><body>b", "b"),
     ("<details><summary>s</summary>in</details><details open>out</details>", "s\nout"),
     ("</p></div>stray", "stray"), ("", ""), ("<", "<"), ("<a href='x>y", "y"), ("a<!-- open", "a"), ("&nbsp;x", "\xa0x"),
-    ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("<b>a</b> <i>b</i>", "a b"), ("<select><option>1</select>z", "z"),
+    ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("<b>a</b> <i>b</i>", "a b"), ("<select><option>1</select>z", "1z"),
 ]
 
 
+PAGES += [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g<tr><td>h<td>i</table>", "a  b  c\nd     e\nf     g\nh  i"),
+    ("<style>.h, p.x{display:none} #i{visibility:hidden} /* .k{display:none} */ @media print{.k{display:none}}</style>"
+     "<p class='a h'>no<p class=x>no</p><b class=x>yes</b><p id=i>no<p class=k>k", "yes\n\nk"),
+    ("<style>.h{display:none}.h{display:block}</style><div class=h>yes</div><style>.g{display:none}</style><i class=g style='display:inline'>too</i>", "yes\ntoo"),
+    ("<textarea>one\n  two</textarea>", "one\n  two"), ("a <select multiple><option>x<option>y</select> b", "a\nx\ny\nb"),
+    ("<select><optgroup label=g><option>x<option selected>y</optgroup></select>", "y"),
+    ("<svg><title>no</title><g><text>label</text><path d=''/><text>more</text></g> no</svg>after", "label\nmore\nafter"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"), ("<object data=u>fallback</object>", "fallback"),
+]
+
+
+def test_cells_that_span_keep_their_columns():
+    """The columns of a grid that is filled cell by cell, against the placement."""
+    r = random.Random(7)
+    for _ in range(300):
+        rows = [[(f"{y}{x}", r.choice([1, 1, 2, 3]), r.choice([1, 1, 2, 4])) for x in range(r.randint(0, 4))] for y in range(r.randint(1, 5))]
+        grid, want = {}, []
+        for y, cells in enumerate(rows):
+            want.append([])
+            at = 0
+            for text, columns, down in cells:
+                while (y, at) in grid:
+                    at += 1
+                want[-1].append((at, columns, text))
+                for dy in range(down):
+                    for dx in range(columns):
+                        grid[y + dy, at + dx] = text
+                at += columns
+        assert html_layout.placed(rows) == want
+
+
+def slow_text(node):
+    """Text of a tree of blocks and inline elements by marks for what breaks lines, an independent way."""
+    kind, inner = node
+    if kind == "text":
+        return inner
+    body = "".join(map(slow_text, inner))
+    mark = {"p": "\2", "h2": "\2", "blocked": "\1", "div": "\1", "section": "\1"}.get(kind, "")
+    return "" if kind == "hidden" else mark + body + mark
+
+
+def as_html(node):
+    kind, inner = node
+    if kind == "text":
+        return inner
+    tag = {"hidden": "div hidden", "blocked": "main"}.get(kind, kind)
+    return f"<{tag}>" + "".join(map(as_html, inner)) + f"</{tag.split()[0]}>"
+
+
+def test_pages_against_an_independent_renderer():
+    r = random.Random(3)
+
+    def tree(depth, inline=False):
+        if depth == 0 or r.random() < 0.2:
+            return "text", r.choice(["a", "b c", " d ", "\n", "e  f", ""])
+        kind = r.choice(["b", "span"] if inline else ["p", "div", "section", "h2", "blocked", "hidden", "b", "span"])
+        return kind, [tree(depth - 1, inline or kind in ("p", "h2", "b", "span")) for _ in range(r.randint(0, 4))]
+
+    for _ in range(500):
+        node = ("div", [tree(4) for _ in range(3)])
+        flat = re.sub(r"[ \n]+", " ", slow_text(node))
+        lines, gap = [], False
+        for part in re.split("([\1\2])", flat):
+            if part == "\2":
+                gap = True
+            elif part.strip(" \1"):
+                lines += [""] * (gap and bool(lines)) + [re.sub(" +", " ", part).strip(" ")]
+                gap = False
+        assert html_layout.render(as_html(node))[1] == "\n".join(lines), as_html(node)
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        html_layout.render("<p><button>" + "<div>" * n + "x")
+        html_layout.render("<ul><li>" * n + "x")
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) < 40 * max(took(2_000), 0.005)
+
+
 @pytest.mark.parametrize("html, text", PAGES)
 def test_layout(html, text):
     assert html_layout.render(html)[1] == text
