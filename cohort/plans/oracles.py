@@ -288,6 +288,22 @@ ORDERS = "listed AS (SELECT o_orderkey AS roll, o_orderpriority AS department, o
 
 RAW_TABLE = f"WITH {RAW} SELECT * FROM raw"
 
+# least squares by taking one feature after the other out of the rest, on the training rows; e is what is left of the target
+ORTHOGONAL = """,
+marked AS (SELECT *, md5(roll || '|' || student_name || '|42') < '33333333' AS test FROM book),
+means AS (SELECT avg(algebra) AS a, avg(networks) AS b, avg(rhetoric) AS c, avg(attendance) AS d, avg(average) AS y FROM marked WHERE NOT test),
+d0 AS (SELECT test, algebra - a AS x1, networks - b AS x2, rhetoric - c AS x3, attendance - d AS x4, average - y AS y, average - y AS e FROM marked, means),
+p1 AS (SELECT sum(x1 * x2) / sum(x1 * x1) AS b2, sum(x1 * x3) / sum(x1 * x1) AS b3, sum(x1 * x4) / sum(x1 * x1) AS b4, sum(x1 * e) / sum(x1 * x1) AS be
+       FROM d0 WHERE NOT test),
+d1 AS (SELECT test, x2 - b2 * x1 AS x2, x3 - b3 * x1 AS x3, x4 - b4 * x1 AS x4, y, e - be * x1 AS e FROM d0, p1),
+p2 AS (SELECT sum(x2 * x3) / sum(x2 * x2) AS b3, sum(x2 * x4) / sum(x2 * x2) AS b4, sum(x2 * e) / sum(x2 * x2) AS be FROM d1 WHERE NOT test),
+d2 AS (SELECT test, x3 - b3 * x2 AS x3, x4 - b4 * x2 AS x4, y, e - be * x2 AS e FROM d1, p2),
+p3 AS (SELECT sum(x3 * x4) / sum(x3 * x3) AS b4, sum(x3 * e) / sum(x3 * x3) AS be FROM d2 WHERE NOT test),
+d3 AS (SELECT test, x4 - b4 * x3 AS x4, y, e - be * x3 AS e FROM d2, p3),
+p4 AS (SELECT sum(x4 * e) / sum(x4 * x4) AS be FROM d3 WHERE NOT test),
+d4 AS (SELECT test, y, e - be * x4 AS e FROM d3, p4)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "prepared_rows": book("SELECT * FROM book"),
     "infer_types": """
@@ -535,6 +551,11 @@ SELECT count(*) AS total_students, count(*) AS n_departments, CAST(sum(CAST('0x'
 FROM book"""),
     "text_gaps": f"""WITH {RAW}
 SELECT CASE WHEN roll % 7 > 0 THEN department ELSE 'Unknown' END AS department, count(*) AS count FROM raw GROUP BY 1""",
+    "regression_default": book("""
+SELECT round(1 - sum(e * e) FILTER (WHERE test) / (var_pop(y) FILTER (WHERE test) * count(*) FILTER (WHERE test)), 4) AS r2,
+       round(avg(abs(e)) FILTER (WHERE test), 4) AS mae,
+       count(*) FILTER (WHERE NOT test) AS train_samples, count(*) FILTER (WHERE test) AS test_samples
+FROM d4""", ORTHOGONAL),
     "regression_split": book("""
 SELECT round(1 - sum((average - a - b * algebra) ** 2) FILTER (WHERE test)
          / (var_pop(average) FILTER (WHERE test) * count(*) FILTER (WHERE test)), 4) AS r2,
