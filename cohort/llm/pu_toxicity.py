@@ -16,12 +16,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest
@@ -163,22 +163,35 @@ def _descend(positive: Texts, unlabelled: Texts, size: int, prior: float, seed:
     return bias, weights
 
 
+def _numbered(words: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> Texts:
+    """Texts of so many features each, as numbers of those in hashes (sorted); a million at a time, as they are many."""
+    places, kept = [], []
+    for start in range(0, len(words), 1 << 20):
+        some = words[start:start + (1 << 20)]
+        at = np.minimum(np.searchsorted(hashes, some), max(0, len(hashes) - 1)).astype(np.int32)
+        known = hashes[at] == some if len(hashes) else np.zeros(len(some), bool)
+        places.append(at[known])
+        kept.append(known)
+    kept = np.concatenate([np.zeros(0, bool), *kept])
+    return Texts(np.concatenate([np.zeros(0, np.int32), *places]), np.concatenate([[0], np.cumsum(kept)])[np.cumsum([0, *sizes])])
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 11) -> Model:
-    """The mean of MEMBERS classifiers. Without examples of one kind the prior is all that is known."""
+    """The mean of MEMBERS classifiers, from features(texts). Without examples of one kind the prior is all that is known."""
+    none = np.zeros(0, np.uint64)
+    return _fit(*[(np.concatenate([none, *t]), np.array([len(x) for x in t], np.int64)) for t in (positive, unlabelled)], prior, seed)
+
+
+def _fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, seed: int = 11) -> Model:
+    """fit for texts that are given as all their features and their sizes."""
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     model = Model(math.log(prior / (1 - prior)), np.zeros(0, np.uint64), np.zeros(0))
-    if not positive or not unlabelled:
+    if not len(positive[1]) or not len(unlabelled[1]):
         return model
-    # all features at once, as numbers of those that enough texts hold
-    everything = np.concatenate(positive + unlabelled)
-    hashes, held = np.unique(everything, return_counts=True)
+    hashes, held = np.unique(np.concatenate([positive[0], unlabelled[0]]), return_counts=True)
     hashes = hashes[held >= LEAST]
-    size, cut = len(hashes), len(positive)
-    places = np.minimum(np.searchsorted(hashes, everything), max(0, size - 1))
-    kept = (hashes[places] == everything) if size else np.zeros(len(everything), bool)
-    edges = np.concatenate([[0], np.cumsum(kept)])[np.cumsum([0, *map(len, positive + unlabelled)])]
-    places = places[kept]
-    p, u = Texts(places[:edges[cut]], edges[:cut + 1]), Texts(places[edges[cut]:], edges[cut:] - edges[cut])
+    size = len(hashes)
+    p, u = _numbered(*positive, hashes), _numbered(*unlabelled, hashes)
     share = np.maximum(u.shares(size), 1 / len(u))
     chance = prior * SURE * (np.sqrt(share * (1 - share) / len(p)) + 1 / len(p))
     chosen, bias, weights = np.zeros(size, bool), model.bias, np.zeros(size)
@@ -202,8 +215,8 @@ def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
     return F.coalesce(F.crc32(named(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-def _sampled(texts: DataFrame, ids: DataFrame, most: int) -> Iterable[np.ndarray]:
-    """Features of one text for each of at most so many ids, in the order of a hash; of rows with one id the least text counts."""
+def _sampled(texts: DataFrame, ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All features, and how many of them each has, of one text for each of at most so many ids, in the order of a hash; of rows with one id the least text counts."""
     chosen = F.broadcast(ids.distinct().orderBy(F.xxhash64("id"), "id").limit(most))
     rows = texts.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"))
 
@@ -217,8 +230,11 @@ def _sampled(texts: DataFrame, ids: DataFrame, most: int) -> Iterable[np.ndarray
     # at most `most` rows, so their order needs no more than one task
     order = Window.orderBy(F.xxhash64("id"), "id")
     held = F.sum(F.length("words") / 8).over(order)
-    for row in written(made, "sample").withColumn("held", held).where(F.col("held") <= FEATURES).orderBy(F.xxhash64("id"), "id").collect():
-        yield np.frombuffer(bytes(row["words"]), "<u8").astype(np.uint64)
+    kept = written(made, "sample").withColumn("held", held).where(F.col("held") <= FEATURES).orderBy(F.xxhash64("id"), "id")
+    found = kept.select("words").toArrow().column("words").combine_chunks()
+    sizes = np.array(pc.binary_length(found).to_pylist(), np.int64) // 8
+    data = np.frombuffer(found.buffers()[2] or b"", "<u8") if len(found) else np.zeros(0, np.uint64)
+    return data[:int(sizes.sum())], sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
@@ -232,8 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.bool_or("toxic").alias("toxic"))
     n, hits = marked.agg(F.count("*"), F.count_if("toxic")).first()
     texts = texts_of(docs, id_col, text_col).where("id IS NOT NULL")
-    positive = list(_sampled(texts, marked.where("toxic").select("id"), confirmed))
-    return fit(positive, list(_sampled(texts, texts.select("id"), unlabelled)), prior if prior is not None else hits / max(1, n))
+    return _fit(_sampled(texts, marked.where("toxic").select("id"), confirmed), _sampled(texts, texts.select("id"), unlabelled),
+                prior if prior is not None else hits / max(1, n))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -119,8 +119,12 @@ def test_edge_cases(spark):
 
 def test_samples_end_at_their_bounds(spark, monkeypatch):
     marks = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
+    texts, ids = T.texts_of(docs(spark), "doc_id", "text"), marks.select(F.col("doc_id").alias("id"))
+    words, sizes = T._sampled(texts, ids, 40)
+    assert len(sizes) == 40 and len(words) == sizes.sum()
+    by_text = {i: f.tolist() for (i, *_), f in zip(rows(), T.features([(t or "").encode() for _, t, *_ in rows()]))}
+    parts = [p.tolist() for p in np.split(words, np.cumsum(sizes)[:-1])]
+    assert all(p in [by_text[i] for i in range(60)] for p in parts)
     monkeypatch.setattr(T, "FEATURES", 500)
-    kept = list(T._sampled(T.texts_of(docs(spark), "doc_id", "text"), marks.select(F.col("doc_id").alias("id")), 40))
-    assert 0 < len(kept) < 40 and sum(map(len, kept)) <= 500
-    monkeypatch.setattr(T, "FEATURES", 1 << 24)
-    assert len(list(T._sampled(T.texts_of(docs(spark), "doc_id", "text"), marks.select(F.col("doc_id").alias("id")), 40))) == 40
+    words, sizes = T._sampled(texts, ids, 40)
+    assert 0 < len(sizes) < 40 and len(words) == sizes.sum() <= 500
