@@ -1,4 +1,9 @@
-"""A corpus pipeline over documents: quality rules, line dedup, near-duplicates, decontamination, tokens."""
+"""A corpus pipeline over documents: quality rules, line dedup, near-duplicates, decontamination, tokens.
+
+Every stage reads whole texts of any length, takes a null or empty text as one without words, keeps rows with null ids unless their own
+text is rejected, judges repeated rows alike, and gives an empty table for an empty table. All but the last keep the columns of
+documents, whatever else they are called; the last reads the id and the text.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +15,13 @@ from cohort.session import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the bands of their script."""
+    """Documents that pass the base rules and the bands of their script. A text without words has too few of them and goes."""
     return fertility.keep_fertile(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with repeated lines only in their first document; n_chars follows the new text."""
+    """Documents with repeated lines only in the document with the smallest id; n_chars follows the new text, which may be empty. Lines of
+    rows without an id give way to those of any other document."""
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -25,12 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. A text without words contains none; without items every document stays."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their number, and digests of the ids and of the text they decode to."""
+    """Token ids of each document, their number, and digests of the ids and of the text they decode to; none for an empty text."""
     return bpe.digests(docs, with_ids=True)
 
 
