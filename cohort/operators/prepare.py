@@ -79,18 +79,18 @@ class Dataset:
 
 
 def numeric_text(text: Column) -> Column:
-    """The number a text stands for, null when it is none. Patterns are tried on texts that are no long only."""
-    return F.coalesce(text.try_cast("long").cast("double"), F.when(text.rlike(NUMBER), F.trim(text).try_cast("double")))
+    """The number a text stands for, null when it is none. A cast that fails is dearer than the pattern, so the pattern comes first."""
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
 def is_integer_text(text: Column) -> Column:
     """Whether a text is a whole number that fits a long."""
-    return text.try_cast("long").isNotNull()
+    return F.coalesce(text.rlike(WHOLE) & F.trim(text).try_cast("long").isNotNull(), F.lit(False))
 
 
 def is_long_id_text(text: Column) -> Column:
     """Whether a text is a whole number beyond a long, which a double would not keep apart from its neighbours."""
-    return F.coalesce(text.try_cast("long").isNull() & text.rlike(WHOLE), F.lit(False))
+    return F.coalesce(text.rlike(WHOLE) & F.trim(text).try_cast("long").isNull(), F.lit(False))
 
 
 def detect_column(columns: Sequence[str], role: str) -> str | None:
