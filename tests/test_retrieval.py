@@ -212,3 +212,13 @@ def test_rows_with_the_same_roll_keep_their_own_chunk(spark):
     index = V.tfidf_index(chunks, stop_words=[])
     best = V.tfidf_topk(index, chunks, chunks.selectExpr("chunk_id AS query_id", "text"), 1).collect()
     assert all(r["score"] <= 1 for r in best)
+
+
+def test_knn_query_asks_for_every_fiftieth_vector(spark, sf_dir):
+    from cohort.plans.queries import QUERIES
+    from cohort.plans.tables import table
+
+    ids = {r["vec_id"] for r in table(spark, sf_dir, "embeddings").select("vec_id").collect()}
+    asked = QUERIES["knn_topk"](spark, sf_dir).collect()
+    assert {r["query_id"] for r in asked} == {i for i in ids if i % 50 == 0}
+    assert all(r["chunk_id"] == r["query_id"] for r in asked if r["rank"] == 1) and {r["chunk_id"] for r in asked} <= ids
