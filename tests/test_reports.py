@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from cohort.operators import charts as C
@@ -149,3 +151,16 @@ def test_missing_features_count_as_zero(spark, book):
     a, b = column(model.predict(rows), "Predicted_rhetoric")
     assert a == b
     assert R.predict_performance(book, "order#000000346", model).first()["method"] == "ML regression"
+
+
+def test_wide_summary_digests_the_whole_list_in_order(spark, sf_dir):
+    """The list of all labels in order, which a sum over the labels does not see."""
+    from cohort.plans.oracles import ORACLE_SQL
+    from cohort.plans.queries import QUERIES
+
+    rows = [(i, f"n{i}", label, float(i % 90)) for i, label in enumerate([f"D{i * 7919 % 25_000}" for i in range(25_000)] + ["é", "Z,", "D1", "D1"])]
+    ds = prepare(spark.createDataFrame(rows, "roll long, name string, department string, maths double").repartition(5))
+    listed = ",".join(sorted({r[2] for r in rows}, key=str.encode))
+    assert [tuple(r) for r in R.department_list_md5(ds).collect()] == [(hashlib.md5(listed.encode()).hexdigest(),)]
+    assert QUERIES["wide_summary"](spark, sf_dir).columns == ["total_students", "n_departments", "departments_md5"]
+    assert "string_agg('D' || roll, ',' ORDER BY" in ORACLE_SQL["wide_summary"]
