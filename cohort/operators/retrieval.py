@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +15,9 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,6 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BROADCAST_VOCABULARY = 500_000  # terms that are sent to every executor
 BLOCK_CELLS = 8_000_000         # of the matrix of terms and queries that is sent at once
+COUNTED_TOKENS = 500_000        # words of texts that a task counts at once
 SCORED_ROWS = 1_000             # chunks that are scored at once
 MAX_KEYWORDS = 100_000          # words of queries that are sent to the chunks at once
 SCORED_PAIRS = 500_000          # pairs of a query and a chunk that a task holds before it keeps the best
@@ -203,21 +205,19 @@ class TfidfIndex:
         place = wanted.schema["place"].dataType.simpleString()
         tokens = texts.select(col(key).alias(key), X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
         if self.n_terms <= limit:
-            known = self.terms.join(wanted, "term", "left").select("term", "idf", "place").collect()
-            sent = texts.sparkSession.sparkContext.broadcast({r["term"]: (r["idf"], r["place"]) for r in known})
+            sent = _sent_terms(self.terms.join(wanted, "term", "left"))
 
             def count(batches):
-                get = sent.value.get
-                for batch in batches:
-                    cells = []
-                    for words in batch["t"]:
-                        found = {w: (n, got) for w, n in Counter(words).items() if (got := get(w))}
-                        norm = math.sqrt(math.fsum((n * idf) ** 2 for n, (idf, _) in found.values()))
-                        cells.append([{"place": at, "weight": n * idf / norm} for n, (idf, at) in found.values() if at is not None])
-                    yield pd.DataFrame({key: batch[key], "cells": cells})
+                number, idf, places = sent.value
+                for part in _token_slices(batches):
+                    row, at, n, _ = _counted(part.column(1), number)
+                    raw = n * idf[at]
+                    norm = np.sqrt(np.bincount(row, raw * raw, part.num_rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), _cells(part.num_rows, row, places.take(pa.array(at)), raw / norm[row], "weight")], names=[key, "cells"])
 
             kind = texts.schema[key].dataType.simpleString()
-            return tokens.mapInPandas(count, f"`{key}` {kind}, cells array<struct<place: {place}, weight: double>>")
+            return tokens.mapInArrow(count, f"`{key}` {kind}, cells array<struct<place: {place}, weight: double>>")
         pairs = tokens.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
         found = pairs.join(self.terms.select("term", "idf"), "term").join(wanted, "term", "left")
         raw = F.col("n") * F.col("idf")
@@ -227,6 +227,98 @@ class TfidfIndex:
         return whole.select(key, F.transform("cells", lambda c: F.struct(
             c["place"].alias("place"), (c["raw"] / F.col("norm")).alias("weight"))).alias("cells"))
 
+    def _asked_rows(self, texts: DataFrame, key: str, asked: DataFrame, limit: int) -> DataFrame:
+        """As _rows, for few wanted terms and many texts; of a large vocabulary texts without any wanted term are left out.
+
+        The wanted and the most frequent terms of a large vocabulary, about limit of them, travel to the texts. Only the other terms of a text meet
+        their idf in a shuffle; they add to its norm and to nothing else.
+        """
+        if self.n_terms <= limit:
+            return self._rows(texts, key, asked, limit)
+        level = F.floor(F.log2("df") * 8)
+        bound = _frequent(self.terms.groupBy(level.alias("level")).count().collect(), limit)
+        sent = _sent_terms(self.terms.join(asked, "term", "left").where((level >= bound) | F.col("place").isNotNull()))
+        tokens = texts.select(col(key).alias(key), X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+
+        def count(batches):
+            number, idf, places = sent.value
+            task, seen = TaskContext.get().partitionId(), 0
+            for part in _token_slices(batches):
+                size = part.num_rows
+                row, at, n, (other, words, times) = _counted(part.column(1), number)
+                raw = n * idf[at]
+                cells = _cells(size, row, places.take(pa.array(at)), raw, "raw")
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, np.arange(size + 1)), pa.int32()),
+                                                pa.StructArray.from_arrays([words, pa.array(times)], names=["term", "n"]))
+                found = pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(seen, seen + size) + (task << 33)), part.column(0), pa.array(np.bincount(row, raw * raw, size)), cells, rare],
+                    names=["row", key, "squares", "cells", "rare"])
+                seen += size
+                yield found.filter(pc.greater(pc.list_value_length(cells), 0))
+
+        kind, place = texts.schema[key].dataType.simpleString(), asked.schema["place"].dataType.simpleString()
+        rows = written(tokens.mapInArrow(
+            count, f"row long, `{key}` {kind}, squares double, cells array<struct<place: {place}, raw: double>>, rare array<struct<term: string, n: long>>"), "vectors")
+        raw = F.col("n") * F.col("idf")
+        more = rows.select("row", F.inline("rare")).join(self.terms.select("term", "idf"), "term").groupBy("row").agg(F.sum(raw * raw).alias("more"))
+        norm = F.sqrt(F.col("squares") + F.coalesce("more", F.lit(0.0)))
+        return rows.drop("rare").join(more, "row", "left").select(col(key).alias(key), norm.alias("norm"), "cells").select(
+            key, F.transform("cells", lambda c: F.struct(c["place"].alias("place"), (c["raw"] / F.col("norm")).alias("weight"))).alias("cells"))
+
+
+def _frequent(levels: list, most: int) -> float:
+    """The lowest level from which on at most so many terms lie; levels are rows of (level, count)."""
+    bound, held = math.inf, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            break
+        bound = r["level"]
+    return bound
+
+
+def _sent_terms(terms: DataFrame):
+    """A broadcast of the number of each term, and by number its idf and place (null: not wanted)."""
+    known = terms.select("term", "idf", "place").toArrow()
+    number = {t: i for i, t in enumerate(known["term"].to_pylist())}
+    return terms.sparkSession.sparkContext.broadcast(
+        (number, np.array(known["idf"].to_pylist(), float), pa.concat_arrays(known["place"].chunks) if number else pa.nulls(0, known["place"].type)))
+
+
+def _token_slices(batches) -> Iterator[pa.RecordBatch]:
+    """(key, tokens) in slices of a bounded number of tokens, unless one text has more."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.list_value_length(batch.column(1)), np.int64))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + COUNTED_TOKENS, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _counted(texts: pa.ListArray, number: dict) -> tuple:
+    """Row, number and count of the known words of each text, by row and number; (row, word, count) of its other words."""
+    sizes = np.asarray(pc.list_value_length(texts), np.int64)
+    coded = texts.flatten().dictionary_encode()
+    known = np.array([number.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row, at = np.repeat(np.arange(len(sizes)), sizes), known[code]
+
+    def pairs(live, value, values):
+        pair, n = np.unique(row[live] * max(1, values) + value[live], return_counts=True)
+        return pair // max(1, values), pair % max(1, values), n
+
+    other, words, times = pairs(at < 0, code, len(known))
+    return *pairs(at >= 0, at, len(number)), (other, coded.dictionary.take(pa.array(words)), times)
+
+
+def _cells(size: int, row: np.ndarray, places: pa.Array, values: np.ndarray, name: str) -> pa.ListArray:
+    """Lists of (place, value), one for each of so many rows, without those that have no place."""
+    wanted = np.asarray(places.is_valid())
+    cells = pa.StructArray.from_arrays([places.filter(pa.array(wanted)), pa.array(values[wanted])], names=["place", name])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[wanted], np.arange(size + 1)), pa.int32()), cells)
+
 
 def tfidf_index(chunks: DataFrame, max_terms: int | None = None, stop_words: list[str] | None = None) -> TfidfIndex:
     """Count the terms of a corpus, all of them or the max_terms most frequent ones, with their smoothed idf.
@@ -274,9 +366,10 @@ def tfidf_topk(
     n_blocks = max(1, math.ceil(math.sqrt(cells * n_queries / block_cells)))
     parts = []
     for block in _blocks(wanted, n_blocks) if cells else ():
-        rows = block.collect()
-        if not rows:
+        rows = block.toArrow()
+        if not rows.num_rows:
             continue
+        kind, rows = rows.schema.field("query_id").type, rows.to_pylist()
         query_ids = np.array(sorted({r["query_id"] for r in rows}), object)
         at = {q: i for i, q in enumerate(query_ids)}
         terms = sorted({r["place"] for r in rows})
@@ -284,27 +377,29 @@ def tfidf_topk(
         matrix = np.zeros((len(terms), len(query_ids)))
         for r in rows:
             matrix[row[r["place"]], at[r["query_id"]]] = r["weight"]
-        sent = spark.sparkContext.broadcast((query_ids, matrix))
+        sent = spark.sparkContext.broadcast((query_ids, matrix, kind))
         asked = spark.createDataFrame(list(row.items()), "term string, place int")
-        vectors = index._rows(chunks, "chunk_id", asked, vocabulary)
+        vectors = index._asked_rows(chunks, "chunk_id", asked, vocabulary)
 
         def search(batches, sent=sent):
-            query_ids, matrix = sent.value
-            best = Best(len(query_ids), k)
+            query_ids, matrix, kind = sent.value
+            best, names = Best(len(query_ids), k), None
             for batch in batches:
-                chunk_ids, cells = _ids(batch["chunk_id"]), batch["cells"].to_numpy()
+                names = names or pa.schema([("query_id", kind), ("chunk_id", batch.schema.field("chunk_id").type), ("score", pa.float64())])
+                chunk_ids, cells = _ids(batch.column("chunk_id").to_pandas()), batch.column("cells")
+                edges, place, weight = (np.asarray(x) for x in (cells.offsets, cells.values.field("place"), cells.values.field("weight")))
                 order = np.argsort(chunk_ids, kind="stable")
-                chunk_ids, cells = chunk_ids[order], cells[order]
-                for start in range(0, len(cells), SCORED_ROWS):
-                    some = cells[start:start + SCORED_ROWS]
+                for start in range(0, len(order), SCORED_ROWS):
+                    some = order[start:start + SCORED_ROWS]
                     scores = np.zeros((len(some), len(query_ids)))
-                    for i, found in enumerate(some):
-                        if len(found):
-                            scores[i] = np.array([c["weight"] for c in found]) @ matrix[[c["place"] for c in found]]
-                    best.add_scores(chunk_ids[start:start + SCORED_ROWS], -np.round(scores, SCORE_PLACES))
-            yield best.frame(query_ids, ("query_id", "chunk_id", "score"), -1.0)
-
-        parts.append(vectors.mapInPandas(search, schema))
+                    for i, (a, b) in enumerate(zip(edges[some], edges[some + 1])):
+                        if b > a:
+                            scores[i] = weight[a:b] @ matrix[place[a:b]]
+                    best.add_scores(chunk_ids[some], -np.round(scores, SCORE_PLACES))
+            if names is not None:
+                yield pa.RecordBatch.from_pandas(best.frame(query_ids, ("query_id", "chunk_id", "score"), -1.0), names, preserve_index=False)
+
+        parts.append(vectors.mapInArrow(search, schema))
     scored = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     return _best(scored, k, F.desc("score")).select("query_id", "rank", "chunk_id", "score")
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,15 @@ def test_knn_query_asks_for_every_fiftieth_vector(spark, sf_dir):
     asked = QUERIES["knn_topk"](spark, sf_dir).collect()
     assert {r["query_id"] for r in asked} == {i for i in ids if i % 50 == 0}
     assert all(r["chunk_id"] == r["query_id"] for r in asked if r["rank"] == 1) and {r["chunk_id"] for r in asked} <= ids
+
+
+@pytest.mark.parametrize("vocabulary", [0, 3, 100])
+def test_texts_are_counted_in_slices_of_few_tokens(chunks, queries, monkeypatch, vocabulary):
+    """Whatever the rows of a batch; of a large vocabulary the most frequent terms and those of the queries travel to the texts."""
+    sizes = [0, 2, 9, 1, 1, 1, 3, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([["w"] * n for n in sizes])], names=["key", "t"])
+    monkeypatch.setattr(V, "COUNTED_TOKENS", 4)
+    slices = [s.column(1).to_pylist() for s in V._token_slices([batch])]
+    assert [len(t) for s in slices for t in s] == sizes and all(len(s) == 1 or sum(map(len, s)) <= 4 for s in slices)
+    index = V.tfidf_index(chunks, stop_words=["and"])
+    assert found(V.tfidf_topk(index, chunks, queries, 2, vocabulary=vocabulary)) == expected_cosines(None, {"and"}, 2)
