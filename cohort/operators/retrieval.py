@@ -254,7 +254,9 @@ class TfidfIndex:
                     [pa.array(np.arange(seen, seen + size) + (task << 33)), part.column(0), pa.array(np.bincount(row, raw * raw, size)), cells, rare],
                     names=["row", key, "squares", "cells", "rare"])
                 seen += size
-                yield found.filter(pc.greater(pc.list_value_length(cells), 0))
+                found = found.filter(pc.greater(pc.list_value_length(cells), 0))
+                if found.num_rows:
+                    yield found
 
         kind, place = texts.schema[key].dataType.simpleString(), asked.schema["place"].dataType.simpleString()
         rows = written(tokens.mapInArrow(
