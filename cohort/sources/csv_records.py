@@ -135,6 +135,45 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "block", "seq", "split", "whole", "text"])
 
 
+def first_lines(batches) -> Iterator[pa.RecordBatch]:
+    """One row for each split: its first line that is not blank, and whether all its lines are valid and plain.
+
+    The lines are structs of (text, shown, valid, plain).
+    """
+    found: list[list] = []
+    for file, block, first, lines in splits(batches):
+        if first:
+            found.append([file, block, None, True, True])
+        now, shown = found[-1], np.asarray(lines.field("shown"))
+        if now[2] is None and shown.any():
+            now[2] = lines.field("text")[int(shown.argmax())].as_py()
+        now[3] &= bool(np.asarray(lines.field("valid")).all())
+        now[4] &= bool(np.asarray(lines.field("plain")).all())
+    if found:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["file", "block", "header", "valid", "plain"])
+
+
+def first_records(batches) -> Iterator[pa.RecordBatch]:
+    """Of (file, block, seq, text, valid), one row for each file of a task: its first record, and whether all are valid."""
+    found: dict[str, list] = {}
+    for batch in batches:
+        names = batch.column(0).dictionary_encode()
+        kind, block, seq, valid = names.indices.to_numpy(), *(np.asarray(batch.column(i)) for i in (1, 2, 4))
+        order = np.lexsort((seq, block, kind))
+        for begin, stop in zip(*(np.searchsorted(kind[order], np.arange(len(names.dictionary)), side) for side in ("left", "right"))):
+            least, file = int(order[begin]), names.dictionary[int(kind[order[begin]])].as_py()
+            now, all_valid = (int(block[least]), int(seq[least])), bool(valid[order[begin:stop]].all())
+            known = found.setdefault(file, [now, None, True])
+            if known[1] is None or now < known[0]:
+                known[:2] = now, batch.column(3)[least].as_py()
+            known[2] &= all_valid
+    if found:
+        rows = [(file, *place, text, valid) for file, (place, text, valid) in found.items()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "block", "seq", "header", "valid"])
+
+
 def broken_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, block, seq, text): the records of files with line breaks in quoted cells, as bytes; blank lines are records, too.
 

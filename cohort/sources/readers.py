@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohort.fixed_values import MISSING_CELLS
 from cohort.session import shared_folder, written
 from cohort.sources.cleaning import clean_headers, clean_names, drop_blank, text_schema, typed_from_text
-from cohort.sources.csv_records import broken_records, plain_line
+from cohort.sources.csv_records import broken_records, first_lines, first_records, plain_line
 from cohort.sources.json_records import array_elements, nested_cells
 
 RAW = "__raw_record"
@@ -87,13 +87,16 @@ def _files(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
     A header is the first line of a file that is not blank. plain: no line leaves a quoted cell open.
     """
+    text = _text(F.col("value"), encoding)
     lines = spark.read.text(path).select(
-        "value", _text(F.col("value"), encoding).alias("text"), F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-    shown = F.when(F.trim("text") != "", F.col("place"))
-    files = lines.groupBy("file").agg(
-        F.min_by("text", shown).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.count(shown).alias("shown"),
-        F.bool_and(plain_line(F.col("value"))).alias("plain"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.struct(text.alias("text"), (F.trim(text) != "").alias("shown"), F.is_valid_utf8("value").alias("valid"),
+                 plain_line(F.col("value")).alias("plain")).alias("line"))
+    # texts are no values that a hash aggregate holds: over lines it would sort each split, over a row for each split it is small
+    found = lines.mapInArrow(first_lines, "file string, block long, header string, valid boolean, plain boolean")
+    files = found.groupBy("file").agg(
+        F.min_by("header", F.when(F.col("header").isNotNull(), F.col("block"))).alias("header"), F.bool_and("valid").alias("valid"),
+        F.count("header").alias("shown"), F.bool_and("plain").alias("plain"))
     charset = F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1") if encoding == "auto" else F.lit(encoding)
     return files.where("shown > 0").select("file", "header", charset.alias("charset"), "plain")
 
@@ -125,9 +128,11 @@ def _read_broken(spark: SparkSession, files: list[str], encoding: str) -> list[D
     """Files with line breaks in quoted cells, one frame for each kind."""
     records = broken_records(spark, files).withColumn("value", F.col("text").cast("string"))
     shown = records.where(F.trim("value") != "").withColumn("text", _text(F.col("value"), encoding))
-    per_file = shown.groupBy("file").agg(
-        F.min_by("text", F.struct("block", "seq")).alias("header"), F.min(F.struct("block", "seq")).alias("first"),
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    first = shown.select("file", "block", "seq", "text", F.is_valid_utf8("value").alias("valid")).mapInArrow(
+        first_records, "file string, block long, seq long, header string, valid boolean")
+    per_file = first.groupBy("file").agg(
+        F.min_by("header", F.struct("block", "seq")).alias("header"), F.min(F.struct("block", "seq")).alias("first"),
+        F.bool_and("valid").alias("valid"))
     charset = F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1") if encoding == "auto" else F.lit(encoding)
     known = written(per_file.withColumn("charset", charset), "headers")
     # one row for each file, so that a file of any size stays in its splits

@@ -146,3 +146,26 @@ def test_other_splits_are_noticed():
 
 def test_numbers_of_a_text_that_has_none():
     assert csv_records._states(np.zeros(0, bool), np.ones(0, bool), True).tolist() == [True]
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path, capsys):
+    """Over texts an aggregate would sort every line of a split; it only meets a row for each split."""
+    from cohort.sources.readers import _files
+
+    (tmp_path / "a.csv").write_text(" \n\nk,v\n1,x\n")
+    (tmp_path / "b.csv").write_bytes('k,w\n2,"é\nopen"\n'.encode("latin-1"))
+    (tmp_path / "c.csv").write_text("\n \n")
+    files = _files(spark, str(tmp_path), "auto")
+    got = sorted((r["file"][-5:], r["header"], r["charset"], r["plain"]) for r in files.collect())
+    assert got == [("a.csv", "k,v", "UTF-8", True), ("b.csv", "k,w", "ISO-8859-1", False)]
+    files.explain()
+    below = capsys.readouterr().out.rsplit("MapInArrow", 1)[1]
+    assert "Sort" not in below and "Exchange" not in below
+
+
+def test_the_first_record_of_each_file_is_the_least_place():
+    rows = [("f", 5, 0, "later", True), ("g", 0, 2, "g2", True), ("f", 0, 7, "f7", False), ("f", 0, 3, "f3", True), ("g", 0, 1, "g1", True)]
+    names = ["file", "block", "seq", "text", "valid"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part]) for part in (rows[:2], rows[2:], []) if part]
+    got = [tuple(r.values()) for b in csv_records.first_records(batches) for r in b.to_pylist()]
+    assert sorted(got) == [("f", 0, 3, "f3", False), ("g", 0, 1, "g1", True)]
