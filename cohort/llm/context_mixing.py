@@ -5,9 +5,10 @@ byte followed them in the training texts; along the bits of a byte these counts
 predictions in the logistic domain with weights gated by the bit's place in its byte, and refines the weights while it
 reads the text. The sum of the coding costs gives the bits per byte and the log-probability of the whole text.
 
-Counts are gathered from all training texts: tasks count into tables and send what is not zero, and sums are taken in rounds
+Counts are gathered from all training texts: tasks send what is not zero, and sums are taken in rounds
 of at most FAN rows a group, so no group grows with the number of tasks. The finished tables have a fixed size and are sent to
-the executors. The unigram base model needs the count of every word of every text: frequent words, a number bounded
+the executors. The first weights are fitted to all training texts, too: to each half of them with the counts of the other half,
+as a text's own counts would make every context look surer than it is for a new text. The unigram base model needs the count of every word of every text: frequent words, a number bounded
 by HEAVY, are sent as well, and only the others meet their counts in a shuffle.
 """
 
@@ -34,31 +35,59 @@ SCALE = 0.1                  # of a table entry, in the logistic domain
 CHUNK = 1 << 16              # table entries that travel together
 FAN = 64                     # rows of a chunk that are summed in one group
 HEAVY = 200_000              # words whose counts are sent to the executors, at most
-TUNING = 100                 # training texts that fit the first weights and are not counted, at most
 BLOCK = 64                   # bytes between refinements of the weights, in texts of any length
 LANE_BYTES = 1 << 20         # of the texts that are coded side by side
+STEPS = 1                    # of fitting the first weights, each over all training texts
+PULL = 10.0                  # of START on the first weights
+FAR = 0.2                    # that a step changes a weight, at most
+WORDS = 300_000              # words that a task counts at once
+LANES = 128                  # texts whose weights are refined together
+FITTED = 1 << 13             # keys whose derivatives are summed together
 RATE = 0.02
 START = (0.2, 0.3, 0.2, 0.35, 0.1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TABLES = [(1 << b) * 256 for b in BITS]
+EACH = lambda byte: np.uint64(byte * 0x0101010101010101)
 NODES = np.array([[(1 << d) | (b >> (8 - d)) for d in range(8)] for b in range(256)], np.int32)      # of the tree of bits
 SIGNS = np.array([[((b >> (7 - d)) & 1) * 2 - 1 for d in range(8)] for b in range(256)], np.float32)
 
 
-def contexts(keys: np.ndarray) -> list[np.ndarray]:
-    """For each context the table place of its row. A key holds a byte in its low bits and the BACK bytes before it above."""
+def _own(keys: np.ndarray) -> list[np.ndarray]:
+    """For each context what it is told by. A key holds a byte in its low bits and the BACK bytes before it above."""
     back = keys >> np.uint64(8)
-    word, length = np.zeros_like(keys), np.zeros_like(keys)
-    inside = np.ones(keys.shape, bool)
-    for k in range(BACK):
-        b = (back >> np.uint64(8 * k)) & np.uint64(255)
-        inside &= (b != 32) & ((b < 9) | (b > 13))
-        word |= np.where(inside, b << np.uint64(8 * k), np.uint64(0))
-        length += inside
-    own = [back & np.uint64((1 << 8 * o) - 1) for o in ORDERS] + [word ^ (length << np.uint64(59))]
+    # the top bit of every byte that is white space, by sums that stay within a byte; the byte above all others ends a word, too
+    low = back & EACH(0x7F)
+    other = ((low ^ EACH(32)) + EACH(0x7F)) & ~((low + EACH(0x80 - 9)) & ~(low + EACH(0x80 - 14)))
+    space = (~(other | back) & EACH(0x80)) | np.uint64(1 << 63)
+    inside = ((space & (~space + np.uint64(1))) >> np.uint64(7)) - np.uint64(1)     # all bits of the bytes before the first white space
+    length = np.bitwise_count(inside).astype(np.uint64) >> np.uint64(3)
+    return [back & np.uint64((1 << 8 * o) - 1) for o in ORDERS] + [(back & inside) ^ (length << np.uint64(59))]
+
+
+def _rows(own: np.ndarray, bits: int) -> np.ndarray:
+    """The table places of the rows of a context."""
     # the multiplier mixes low bits up; folding lets high bits count as well
-    return [((((k ^ (k >> np.uint64(29))) * MULTIPLIER) >> np.uint64(64 - b)) << np.uint64(8)).astype(np.int32)
-            for k, b in zip(own, BITS)]
+    return ((((own ^ (own >> np.uint64(29))) * MULTIPLIER) >> np.uint64(64 - bits)) << np.uint64(8)).astype(np.int64)
+
+
+def contexts(keys: np.ndarray) -> list[np.ndarray]:
+    """For each context the table place of its row."""
+    return [_rows(own, bits) for own, bits in zip(_own(keys), BITS)]
+
+
+def _runs(keys: np.ndarray):
+    """For each context, over neighbouring keys that agree in it and in their byte: where they begin, their row and their byte."""
+    last = (keys & np.uint64(255)).astype(np.int64)
+    other = last[1:] != last[:-1]
+    for own, bits in zip(_own(keys), BITS):
+        heads = np.flatnonzero(np.concatenate([[True], other | (own[1:] != own[:-1])]))[:len(keys)]
+        yield heads, _rows(own[heads], bits), last[heads]
+
+
+def _distinct(keys: np.ndarray, **also) -> tuple:
+    """np.unique, with keys that agree in their latest bytes side by side, as most contexts are told by these."""
+    found = np.unique(keys.byteswap(), **also)
+    return found[0].byteswap(), *found[1:]
 
 
 def _keys(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -90,8 +119,8 @@ def _part(text: bytes, start: int, n: int) -> tuple[bytes, bytes]:
     return text[max(0, start - BACK):start], text[start:start + n] + (bytes([END]) if start <= len(text) < start + n else b"")
 
 
-def count(tables: list[np.ndarray], texts: list[bytes]) -> None:
-    """Add what follows the contexts of lower-cased texts to the tables."""
+def _stretches(texts: list[bytes]):
+    """All bytes of lower-cased texts with their ends as distinct keys and their numbers, in groups of a bounded size."""
     held: list[tuple[bytes, bytes]] = []
     size = 0
     for i, text in enumerate(texts):
@@ -99,30 +128,75 @@ def count(tables: list[np.ndarray], texts: list[bytes]) -> None:
             held.append(_part(text, start, LANE_BYTES))
             size += len(held[-1][1])
             if size >= LANE_BYTES or i == len(texts) - 1 and start + LANE_BYTES > len(text):
-                keys, n = np.unique(_keys(held), return_counts=True)   # most keys repeat, so tables are touched less often
-                for table, rows in zip(tables, contexts(keys)):
-                    np.add.at(table, rows + (keys & np.uint64(255)).astype(np.int32), n.astype(np.uint32))
+                yield _distinct(_keys(held), return_counts=True)   # most keys repeat, so tables are touched less often
                 held, size = [], 0
 
 
+def _counted(texts: list[bytes]):
+    """For groups of bytes and each context: (context, table entries, how often); an entry may come again."""
+    for keys, n in _stretches(texts):
+        for i, (heads, rows, last) in enumerate(_runs(keys)):
+            yield i, rows + last, np.add.reduceat(n, heads)
+
+
+def count(tables: list[np.ndarray], texts: list[bytes]) -> None:
+    """Add what follows the contexts of lower-cased texts to the tables."""
+    for i, at, n in _counted(texts):
+        np.add.at(tables[i], at, n.astype(np.uint32))
+
+
+class Counts:
+    """What is not zero in a table: sorted entries and their counts, so that a task holds no more than its texts need."""
+
+    def __init__(self):
+        self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.more: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, at: np.ndarray, n: np.ndarray) -> None:
+        self.more.append((at.astype(np.uint32), n.astype(np.uint32)))
+        self.size += len(at)
+        if self.size > max(CHUNK * 8, len(self.at)):
+            self.settle()
+
+    def settle(self) -> None:
+        """Put the new counts to the others."""
+        both = np.concatenate([(a.astype(np.uint64) << np.uint64(32)) | n for a, n in [(self.at, self.n), *self.more]])
+        self.more, self.size = [], 0
+        both.sort()
+        at = (both >> np.uint64(32)).astype(np.uint32)
+        heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))[:len(at)]
+        sums = np.add.reduceat(both & np.uint64(0xFFFFFFFF), heads) if len(heads) else both
+        self.at, self.n = at[heads], np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)
+
+
 def predictions(counts: np.ndarray) -> np.ndarray:
     """Table entries for counts of bytes, 256 for each row: for each node of the tree of bits, ln(ones / zeros), scaled."""
     level = counts.reshape(-1, 256).astype(np.float64)
     out = np.zeros(level.shape, np.int8)
     for depth in range(7, -1, -1):
         pairs = level.reshape(len(level), -1, 2)
-        odds = np.log((pairs[:, :, 1] + PRIOR) / (pairs[:, :, 0] + PRIOR))
-        out[:, 1 << depth:2 << depth] = np.clip(np.rint(odds / SCALE), -127, 127)
-        level = pairs.sum(axis=2)
+        level = pairs[:, :, 0] + pairs[:, :, 1]
+        row, node = np.nonzero(level)   # the others are zero
+        found = pairs[row, node]
+        odds = np.log((found[:, 1] + PRIOR) / (found[:, 0] + PRIOR))
+        out[row, (1 << depth) + node] = np.clip(np.rint(odds / SCALE), -127, 127)
     return out.reshape(-1)
 
 
 def _inputs(tables: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     """(keys, 8 bits, contexts) table entries."""
-    nodes = NODES[(keys & np.uint64(255)).astype(np.int32)]
     out = np.empty((len(keys), 8, len(tables)), np.int8)
-    for i, (table, rows) in enumerate(zip(tables, contexts(keys))):
-        out[:, :, i] = table[rows[:, None] + nodes]
+    for i, (table, (heads, rows, last)) in enumerate(zip(tables, _runs(keys))):
+        found = table.take(rows[:, None] + NODES.take(last, axis=0))
+        out[:, :, i] = found.repeat(np.diff(heads, append=len(keys)), axis=0)
+    return out
+
+
+def _signed(tables: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Table entries turned such that a positive one speaks for the bit that came."""
+    out = _inputs(tables, keys)
+    out *= SIGNS.astype(np.int8).take((keys & np.uint64(255)).astype(np.int64), axis=0)[:, :, None]
     return out
 
 
@@ -141,30 +215,51 @@ def cost(tables: list[np.ndarray], texts: list[bytes], weights: np.ndarray) -> t
             parts = [_part(texts[i], start, step) for i in places]
             sizes = np.array([len(p) for _, p in parts])
             first = np.cumsum(sizes) - sizes
-            keys, at = np.unique(_keys(parts), return_inverse=True)
-            inputs, bytes_of = _inputs(tables, keys), (keys & np.uint64(255)).astype(np.int32)
-            for from_ in range(0, int(sizes.max()), BLOCK):
-                column = from_ + np.arange(BLOCK)
-                mask = column < sizes[:, None]
-                live = mask.any(axis=1)
-                lanes, m = np.flatnonzero(live), mask[live]
-                found = at[np.where(m, first[lanes, None] + column, 0)]
-                x = inputs.take(found, axis=0).astype(np.float32).transpose(0, 2, 1, 3)    # lane, bit, byte, context
-                sign = SIGNS.take(bytes_of.take(found), axis=0).transpose(0, 2, 1)
-                z = (x @ w[lanes][..., None])[..., 0]
-                p = 1 / (1 + np.exp(-np.clip(sign * z, -15, 15)))
-                # products of four chances stay within float32
-                bits = np.log(p[:, 0] * p[:, 1] * p[:, 2] * p[:, 3]) + np.log(p[:, 4] * p[:, 5] * p[:, 6] * p[:, 7])
-                own[lanes] -= (bits * m).sum(axis=1, dtype=np.float64)
-                wrong = sign * (1 - p) * m[:, None]
-                n = m.sum(axis=1)
-                rate = (RATE * SCALE / n * np.minimum(n / BLOCK, 1)).astype(np.float32)
-                w[lanes] += (wrong[:, :, None] @ x)[:, :, 0] * rate[:, None, None]
+            keys, at = _distinct(_keys(parts), return_inverse=True)
+            inputs = _signed(tables, keys)
+            for low in range(0, len(places), LANES):   # few enough for the processor's cache
+                near = slice(low, low + LANES)
+                for from_ in range(0, int(sizes[near].max()), BLOCK):
+                    column = from_ + np.arange(BLOCK)
+                    mask = column < sizes[near, None]
+                    lanes = low + np.flatnonzero(mask[:, 0])
+                    m = mask[mask[:, 0]]
+                    found = at.take(np.where(m, first[lanes, None] + column, 0))
+                    x = inputs.take(found, axis=0).astype(np.float32).transpose(0, 2, 1, 3)    # lane, bit, byte, context
+                    odds = (x @ -w[lanes][..., None])[..., 0]    # against the bit that came
+                    np.exp(np.clip(odds, -15, 15, out=odds), out=odds)
+                    inverse = odds + 1
+                    # products of four inverse chances stay within float32
+                    half = inverse[:, :4] * inverse[:, 4:]
+                    bits = np.log(half[:, 0] * half[:, 1]) + np.log(half[:, 2] * half[:, 3])
+                    own[lanes] += (bits * m).sum(axis=1, dtype=np.float64)
+                    wrong = np.divide(odds, inverse, out=odds)
+                    wrong *= m[:, None]
+                    n = m.sum(axis=1)
+                    rate = (RATE * SCALE / n * np.minimum(n / BLOCK, 1)).astype(np.float32)
+                    w[lanes] += (wrong[:, :, None] @ x)[:, :, 0] * rate[:, None, None]
         total[places] = own
         final[places] = w / np.float32(SCALE)
     return total, final
 
 
+def moments(tables: list[np.ndarray], texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """(8, contexts, 1 + contexts): the first and second derivatives, by the weights, of minus the coding costs and of the costs of texts."""
+    total, w = np.zeros((*weights.shape, 1 + weights.shape[1])), (weights * SCALE).astype(np.float32)
+    for keys, n in _stretches(texts):
+        inputs = _signed(tables, keys)
+        for start in range(0, len(keys), FITTED):
+            x = inputs[start:start + FITTED].transpose(1, 2, 0).astype(np.float32, order="C")      # bit, context, key
+            odds = (-w[:, None] @ x)[:, 0]
+            np.exp(np.clip(odds, -15, 15, out=odds), out=odds)
+            wrong = odds / (odds + 1)
+            slope = wrong * n[start:start + FITTED].astype(np.float32)
+            total[:, :, 0] += (x @ slope[..., None])[..., 0]
+            slope -= slope * wrong
+            total[:, :, 1:] += x @ (x * slope[:, None]).transpose(0, 2, 1)
+    return total * np.concatenate([[SCALE], [SCALE ** 2] * weights.shape[1]])
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -175,36 +270,46 @@ def held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
 
 
 def _gather(texts: DataFrame) -> DataFrame:
-    """(kind, key, n, task, data): kind -1 is a word and its training count; kind t >= 0 a chunk of table t."""
-    def run(batches):
-        words: Counter = Counter()
-        tables = [np.zeros(n, np.uint32) for n in TABLES]
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                found = utf8(part.column("text"))
-                for t in found:
-                    words.update(words_of(t))
-                tuning = part.column("tuning").to_pylist()
-                count(tables, [t.lower() for t, skip in zip(found, tuning) if not skip])
-        task = TaskContext.get().partitionId()
+    """(kind, key, n, task, data): kind -1 is a word and its training count; kind 2 t + half a chunk of table t, of one half of the texts."""
+    names = ["kind", "key", "n", "task", "data"]
+
+    def of_words(words: Counter, task: int):
         items = list(words.items())
         for start in range(0, len(items), 50_000):
             some = items[start:start + 50_000]
             n = len(some)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-1] * n, pa.int32()), pa.array([w for w, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64()),
-                 pa.array([task] * n, pa.int64()), pa.nulls(n, pa.binary())], names=["kind", "key", "n", "task", "data"])
+                 pa.array([task] * n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+
+    def run(batches):
+        words: Counter = Counter()
+        tables = [Counts() for _ in range(2 * len(TABLES))]
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found = [t.lower() for t in utf8(part.column("text"))]
+                for t in found:
+                    words.update(t.split())
+                if len(words) > WORDS:
+                    yield from of_words(words, task)
+                    words.clear()
+                halves = part.column("half").to_pylist()
+                for half in (0, 1):
+                    for i, at, n in _counted([t for t, h in zip(found, halves) if h == half]):
+                        tables[2 * i + half].add(at, n)
+        yield from of_words(words, task)
         for kind, table in enumerate(tables):
-            for chunk in range(len(table) // CHUNK):
-                counts = table[chunk * CHUNK:(chunk + 1) * CHUNK]
-                at = np.flatnonzero(counts)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([chunk], pa.int64()),
-                         pa.array([task], pa.int64()), pa.array([counts[at].astype("<u4").tobytes()], pa.binary())],
-                        names=["kind", "key", "n", "task", "data"])
+            table.settle()
+            edges = np.searchsorted(table.at, np.arange(0, TABLES[kind // 2] + 1, CHUNK))
+            for chunk in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[chunk], edges[chunk + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind], pa.int32()), pa.array([(table.at[own] % CHUNK).astype("<u2").tobytes()], pa.binary()),
+                     pa.array([chunk], pa.int64()), pa.array([task], pa.int64()), pa.array([table.n[own].astype("<u4").tobytes()], pa.binary())],
+                    names=names)
 
-    return texts.where("NOT held").mapInArrow(run, "kind int, key binary, n long, task long, data binary")
+    return texts.where("NOT held").select("text", "half").mapInArrow(run, "kind int, key binary, n long, task long, data binary")
 
 
 def _summed(rows: pd.DataFrame) -> np.ndarray:
@@ -214,8 +319,8 @@ def _summed(rows: pd.DataFrame) -> np.ndarray:
     return np.minimum(total, 0xFFFFFFFF)
 
 
-def _tables(chunks: DataFrame, tasks: int) -> list[np.ndarray]:
-    """The finished tables, on the driver; their size is fixed by BITS."""
+def _tables(chunks: DataFrame, tasks: int) -> list[list[np.ndarray]]:
+    """The finished tables of either half and of both, on the driver; their size is fixed by BITS."""
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = _summed(rows)
         at = np.flatnonzero(total)
@@ -225,14 +330,18 @@ def _tables(chunks: DataFrame, tasks: int) -> list[np.ndarray]:
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        return pd.DataFrame({"kind": [first["kind"]], "n": [first["n"]], "data": [predictions(_summed(rows)).tobytes()]})
+        halves = [_summed(rows[rows["kind"] % 2 == half]) for half in (0, 1)]
+        made = [predictions(counts).tobytes() for counts in (*halves, np.minimum(halves[0] + halves[1], 0xFFFFFFFF))]
+        return pd.DataFrame({"kind": [first["kind"] // 2], "n": [first["n"]], "zero": made[:1], "one": made[1:2], "both": made[2:]})
 
     while tasks > FAN:
         chunks = chunks.groupBy("kind", "n", F.floor(F.col("task") / FAN)).applyInPandas(merge, chunks.schema)
         tasks = -(-tasks // FAN)
-    tables = [np.zeros(n, np.int8) for n in TABLES]
-    for r in chunks.groupBy("kind", "n").applyInPandas(finish, "kind int, n long, data binary").toLocalIterator():
-        tables[r["kind"]][r["n"] * CHUNK:(r["n"] + 1) * CHUNK] = np.frombuffer(bytes(r["data"]), np.int8)
+    tables = [[np.zeros(n, np.int8) for n in TABLES] for _ in range(3)]
+    finished = chunks.groupBy(F.floor(F.col("kind") / 2), "n").applyInPandas(finish, "kind int, n long, zero binary, one binary, both binary")
+    for r in written(finished, "tables").toLocalIterator():   # finished by many tasks, read one after the other
+        for own, data in zip(tables, (r["zero"], r["one"], r["both"])):
+            own[r["kind"]][r["n"] * CHUNK:(r["n"] + 1) * CHUNK] = np.frombuffer(bytes(data), np.int8)
     return tables
 
 
@@ -251,32 +360,42 @@ def _heavy(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["word"]): r["c"] for r in rows.toLocalIterator()}
 
 
-def _first_weights(texts: DataFrame, tables) -> np.ndarray:
-    """Weights that fit the tuning texts: the mean of where refinement ends, over a few passes in one small task.
+def _first_weights(texts: DataFrame, halves: list) -> np.ndarray:
+    """START after STEPS steps of Newton's method towards the weights of least cost for all training texts, each with the tables of the other half.
 
-    Only the tuning texts are shuffled to it. In the mean a text counts by its length, from 20,000 bytes on by that many.
+    A step sums derivatives over all texts, so it does not depend on how they lie in partitions; PULL holds the weights near START
+    where texts are few, and no weight moves more than FAR in a step.
     """
-    def fit(batches):
-        found = [t.lower() for b in batches for t in utf8(b.column("text"))]
-        w = np.tile(np.array(START, np.float32), (8, 1))
-        lengths = np.array([min(len(t), 20_000) + 1 for t in found], float)
-        for _ in range(6 if found else 0):
-            _, final = cost(tables.value, found, w)
-            w = np.average(final, axis=0, weights=lengths).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
-
-    got = texts.where("tuning").select("id", "text").repartition(1).sortWithinPartitions("id", "text").mapInArrow(fit, "w binary").collect()
-    return np.frombuffer(bytes(got[0]["w"]), np.float32).reshape(8, -1) if got else np.tile(np.array(START, np.float32), (8, 1))
-
+    start = np.tile(np.array(START), (8, 1))
+    weights = start.copy()
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, heavy: int = HEAVY,
-          tuning: int = TUNING) -> DataFrame:
+    def step(batches):
+        total = np.zeros((*weights.shape, 1 + weights.shape[1]))
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found, own = [t.lower() for t in utf8(part.column("text"))], part.column("half").to_pylist()
+                for half in (0, 1):
+                    total += moments(halves[1 - half].value, [t for t, h in zip(found, own) if h == half], weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "part"])
+
+    for _ in range(STEPS):
+        parts = texts.where("NOT held").select("text", "half").mapInArrow(step, "place long, part double")
+        total = np.zeros((*weights.shape, 1 + weights.shape[1]))
+        for r in parts.groupBy("place").agg(F.sum("part").alias("sum")).collect():
+            total.flat[r["place"]] = r["sum"]
+        slope = total[:, :, 0] - PULL * (weights - start)
+        weights = weights + np.clip(np.linalg.solve(total[:, :, 1:] + PULL * np.eye(weights.shape[1]), slope[..., None])[..., 0], -FAR, FAR)
+    # rounded, as sums differ in their last digits by the order of their parts
+    return np.round(weights, 3).astype(np.float32)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, heavy: int = HEAVY) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     held: which rows are kept from learning; by default a part of the ids' checksums. Texts are lower-cased (A-Z). base_score is the
     unigram model with one added to each count, over the words and one end of each text; score is the mixed
-    model's log10 probability of all bytes and the end. tuning training rows at most, by a hash of their ids, fit the first
-    weights and are not counted in the contexts; the base model counts them.
+    model's log10 probability of all bytes and the end. All training rows are counted and fit the first weights; the halves for
+    this go by a hash of the texts, so copies fall into one.
 
     A null or empty text has its end only. Repeated rows are learned and scored each time; rows with null ids are learned
     from. Without any training row counts are zero and all contexts predict one half. An empty table gives an empty
@@ -286,11 +405,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     spark = docs.sparkSession
     flagged = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"),
                           F.coalesce(held, F.lit(False)).alias("held"))
-    # of few training rows at most a fifth, so that some are left to count
+    flagged = flagged.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     n_docs = flagged.where("NOT held").count()
-    chosen = [r["id"] for r in flagged.where("NOT held AND id IS NOT NULL").select("id").distinct().orderBy(
-        F.xxhash64("id"), "id").limit(min(tuning, n_docs // 5)).collect()] if n_docs >= 5 else []
-    flagged = flagged.withColumn("tuning", F.coalesce(~F.col("held") & F.col("id").isin(chosen), F.lit(False)))
 
     gathered = written(_gather(flagged), "gathered")
     counts = written(gathered.where("kind = -1").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
@@ -299,8 +415,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     total, distinct = n_words + n_docs, n_distinct + known_end
     chunks = gathered.where("kind >= 0")
     tasks = (chunks.agg(F.max("task")).first()[0] or 0) + 1
-    tables = spark.sparkContext.broadcast(_tables(chunks, tasks))
-    weights = _first_weights(flagged, tables)
+    *halves, both = _tables(chunks, tasks)
+    halves = [spark.sparkContext.broadcast(half) for half in halves]
+    weights = _first_weights(flagged, halves)
+    for half in halves:
+        half.destroy()
+    tables = spark.sparkContext.broadcast(both)
     frequent = spark.sparkContext.broadcast({w: (math.log10(c + 1)) for w, c in _heavy(counts, heavy).items()})
 
     def run(batches):

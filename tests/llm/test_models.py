@@ -204,3 +204,71 @@ def test_long_texts_are_refined_as_often_as_short_ones():
         w += (wrong[:, :, None] * x[at:stop]).sum(axis=0) * M.RATE * M.SCALE / (stop - at) * min((stop - at) / 64, 1)
     assert got[0] == pytest.approx(total, rel=2e-4)
     assert final[0] == pytest.approx(w / M.SCALE, rel=2e-2, abs=2e-3)
+
+
+def test_every_training_text_is_counted_and_fits_the_first_weights(spark, monkeypatch):
+    """No text is left out of the counts or of the fit, however many there are."""
+    texts = [f"text number {i} of many that are all alike but for {i * 7919 % 1000}" for i in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    tables, slopes = [], []
+    solve, finished = np.linalg.solve, M._tables
+
+    def seen(chunks, tasks):
+        sums = [np.zeros(n, np.int64) for n in M.TABLES]
+        for r in chunks.collect():
+            np.add.at(sums[r["kind"] // 2], r["n"] * M.CHUNK + np.frombuffer(bytes(r["key"]), "<u2").astype(int), np.frombuffer(bytes(r["data"]), "<u4"))
+        tables.append(sums)
+        return finished(chunks, tasks)
+
+    monkeypatch.setattr(M, "_tables", seen)
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: slopes.append((a, b)) or solve(a, b))
+    M.score(d).count()
+    train = [t.encode() for i, t in enumerate(texts) if not held(i, 7, 2)]
+    whole = [np.zeros(n, np.uint32) for n in M.TABLES]
+    M.count(whole, train)
+    assert all((a == b).all() for a, b in zip(tables[0], whole))
+    # the same halves by hand
+    half = {r["text"].encode(): r["h"] for r in d.selectExpr("text", "pmod(xxhash64(text), 2) h").collect()}
+    made = []
+    for h in (0, 1):
+        counts = [np.zeros(n, np.uint32) for n in M.TABLES]
+        M.count(counts, [t for t in train if half[t] == h])
+        made.append([M.predictions(c) for c in counts])
+    start = np.tile(np.array(M.START), (8, 1))
+    total = sum(M.moments(made[1 - h], [t for t in train if half[t] == h], start) for h in (0, 1))
+    assert np.allclose(slopes[0][1][:, :, 0], total[:, :, 0], rtol=1e-3, atol=1e-2)
+    assert np.allclose(slopes[0][0] - M.PULL * np.eye(5), total[:, :, 1:], rtol=1e-3, atol=1e-2)
+
+
+def test_derivatives_of_the_costs():
+    texts = [b"the cat sat on the mat", b"a cat sat"]
+    counts = [np.zeros(n, np.uint32) for n in M.TABLES]
+    M.count(counts, [b"the cat and the mat", b"a rat sat on it"])
+    tables = [M.predictions(c) for c in counts]
+    start = np.tile(np.array(M.START), (8, 1))
+
+    def fixed(w):
+        keys = M._keys([(b"", t + bytes([M.END])) for t in texts])
+        z = (M._signed(tables, keys).astype(float) * M.SCALE * w).sum(axis=2)
+        return np.log1p(np.exp(-z)).sum()
+
+    got = M.moments(tables, texts, start)
+    for d, c in [(0, 0), (3, 1), (7, 4)]:
+        e = np.zeros_like(start)
+        e[d, c] = 1e-3
+        assert got[d, c, 0] == pytest.approx(-(fixed(start + e) - fixed(start - e)) / 2e-3, rel=1e-2, abs=1e-3)
+        assert got[d, c, 1 + c] == pytest.approx((fixed(start + e) - 2 * fixed(start) + fixed(start - e)) / 1e-6, rel=2e-2, abs=1e-2)
+
+
+def test_sparse_counts_are_those_of_whole_tables():
+    r = np.random.default_rng(2)
+    whole, got = np.zeros(1000, np.int64), M.Counts()
+    for _ in range(30):
+        at, n = r.integers(0, 1000, 50_000), r.integers(1, 9, 50_000)
+        np.add.at(whole, at, n)
+        got.add(at, n)
+    got.settle()
+    assert (got.at == np.flatnonzero(whole)).all() and (got.n == whole[got.at]).all()
+    empty_one = M.Counts()
+    empty_one.settle()
+    assert len(empty_one.at) == 0
