@@ -14,6 +14,7 @@ from cohort.sources.csv_records import broken_records, first_lines, first_record
 from cohort.sources.json_records import array_elements, nested_cells
 
 RAW = "__raw_record"
+PARTS_OF_A_SPLIT = 4     # of nested JSON, in which its rows meet
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet"}
 
 
@@ -219,4 +220,7 @@ def _read_nested_json(spark: SparkSession, path: str, orient: str) -> DataFrame:
     if not found:
         raise ValueError("Cannot interpret JSON structure as a table.")
     names = [r["name"] for r in found]
-    return cells.groupBy("file", "row").pivot("name", names).agg(F.first("value", ignorenulls=True)).drop("file", "row")
+    # rows meet in parts that grow with the documents in number, not in size; before the aggregate, so that it sorts texts once
+    scan = spark.read.option("lineSep", ",").text(path)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_OF_A_SPLIT * scan.rdd.getNumPartitions())
+    return cells.repartition(n, "file", "row").groupBy("file", "row").pivot("name", names).agg(F.first("value", ignorenulls=True)).drop("file", "row")

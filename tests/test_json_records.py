@@ -113,3 +113,16 @@ def test_scan(pieces):
     for bit in (0, 1):
         assert list(zip(depths[bit].tolist(), quotes.tolist())) == slow_scan(pieces, bit)
     assert isinstance(quotes, np.ndarray)
+
+
+def test_parts_in_which_rows_meet_grow_with_the_splits(spark, tmp_path):
+    from cohort.sources.readers import PARTS_OF_A_SPLIT, _read_nested_json
+
+    doc = {f"row,{i}": r for i, r in enumerate(flat(30, 4))}
+    path = str(tmp_path / "d.json")
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    with Sizes(spark, 300):
+        splits = spark.read.option("lineSep", ",").text(path).rdd.getNumPartitions()
+        got = _read_nested_json(spark, path, "index")
+        assert splits > 3 and got.rdd.getNumPartitions() >= PARTS_OF_A_SPLIT * splits
+        assert sorted(r["name"] for r in got.collect()) == sorted(r["name"] for r in flat(30, 4))
