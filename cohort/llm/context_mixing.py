@@ -319,8 +319,8 @@ def _summed(rows: pd.DataFrame) -> np.ndarray:
     return np.minimum(total, 0xFFFFFFFF)
 
 
-def _tables(chunks: DataFrame, tasks: int) -> list[list[np.ndarray]]:
-    """The finished tables of either half and of both, on the driver; their size is fixed by BITS."""
+def _tables(chunks: DataFrame, tasks: int) -> DataFrame:
+    """(kind, n, zero, one, both): chunks of the finished tables of either half and of both; their size is fixed by BITS."""
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = _summed(rows)
         at = np.flatnonzero(total)
@@ -337,12 +337,16 @@ def _tables(chunks: DataFrame, tasks: int) -> list[list[np.ndarray]]:
     while tasks > FAN:
         chunks = chunks.groupBy("kind", "n", F.floor(F.col("task") / FAN)).applyInPandas(merge, chunks.schema)
         tasks = -(-tasks // FAN)
-    tables = [[np.zeros(n, np.int8) for n in TABLES] for _ in range(3)]
-    finished = chunks.groupBy(F.floor(F.col("kind") / 2), "n").applyInPandas(finish, "kind int, n long, zero binary, one binary, both binary")
-    for r in written(finished, "tables").toLocalIterator():   # finished by many tasks, read one after the other
-        for own, data in zip(tables, (r["zero"], r["one"], r["both"])):
-            own[r["kind"]][r["n"] * CHUNK:(r["n"] + 1) * CHUNK] = np.frombuffer(bytes(data), np.int8)
-    return tables
+    return written(chunks.groupBy(F.floor(F.col("kind") / 2), "n").applyInPandas(
+        finish, "kind int, n long, zero binary, one binary, both binary"), "tables")
+
+
+def _sent(finished: DataFrame, of: str):
+    """The finished tables of one half or of both, sent to the executors."""
+    tables = [np.zeros(n, np.int8) for n in TABLES]
+    for r in finished.select("kind", "n", of).toLocalIterator():
+        tables[r["kind"]][r["n"] * CHUNK:(r["n"] + 1) * CHUNK] = np.frombuffer(bytes(r[of]), np.int8)
+    return finished.sparkSession.sparkContext.broadcast(tables)
 
 
 def _heavy(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -415,12 +419,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     total, distinct = n_words + n_docs, n_distinct + known_end
     chunks = gathered.where("kind >= 0")
     tasks = (chunks.agg(F.max("task")).first()[0] or 0) + 1
-    *halves, both = _tables(chunks, tasks)
-    halves = [spark.sparkContext.broadcast(half) for half in halves]
+    finished = _tables(chunks, tasks)
+    halves = [_sent(finished, of) for of in ("zero", "one")]
     weights = _first_weights(flagged, halves)
     for half in halves:
         half.destroy()
-    tables = spark.sparkContext.broadcast(both)
+    tables = _sent(finished, "both")
     frequent = spark.sparkContext.broadcast({w: (math.log10(c + 1)) for w, c in _heavy(counts, heavy).items()})
 
     def run(batches):
