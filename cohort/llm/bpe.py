@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from cohort.llm.common import MEMO_WORDS, Memo, map_texts, once
+from cohort.llm.common import MEMO_CHARS, MEMO_WORDS, Memo, map_texts, once
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 # Characters that normalisation leaves alone but for their case, which is the same in every library.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0137\u0139-\u0148\u014a-\u017e]+")
+MARKS = string.punctuation + string.digits
+MARK_RUNS = 10_000   # runs of marks and digits whose parts a worker remembers
 LEAF = 4_096     # symbols of a leaf of the tree; longer words are put together
 WINDOW = 8       # tokens on each side of a join that are encoded again at first
 DIGESTED = 120_000   # words that a worker remembers with their digests' parts, which take more memory than ids
@@ -46,10 +50,12 @@ class Codec:
             "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
         self.by_run = self._drops_space()
         self.pattern = self._pattern(spec) if self.by_run else None
+        self.marks = lru_cache(MARK_RUNS)(self.words_of)
         self.words = Memo(self._merge_words, remembered)
         # the printable form of each byte in a byte-level vocabulary: itself, or the next free code point from 256 on
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.printable = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
+        others = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
+        self.printable = [chr(others.get(b, b)) for b in range(256)]
         self.tokens = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
         self.memo = Memo(self.encode_runs)
 
@@ -85,26 +91,50 @@ class Codec:
         known = (space["pattern"] == {"Regex": "\\s+"} and space["content"] == " " and split["invert"] and split["behavior"] == "Removed"
                  and "Regex" in split["pattern"] and not level["add_prefix_space"] and not level["use_regex"])
         pattern = regex.compile(split["pattern"]["Regex"]) if known else None
-        # most runs are a word, or one with a mark or digit behind, and are told without the pattern
-        usual = {"ab": ["ab"], "ab,": ["ab", ","], "ab1": ["ab", "1"], "ab'": ["ab", "'"], "é-": ["é", "-"]}
+        # most runs are a word, or one with marks or digits behind, and are told without the pattern but for these
+        usual = {"ab": ["ab"], "ab,": ["ab", ","], "ab1": ["ab", "1"], "ab'": ["ab", "'"], "é-": ["é", "-"],
+                 "ab&&&": ["ab", "&&&"], "ab12,": ["ab", "1", "2", ","], "ab',1": ["ab", "',", "1"]}
         return pattern if known and all(pattern.findall(t) == words for t, words in usual.items()) else None
 
+    def words_of(self, plain: str) -> list[int]:
+        """The ids of a plain run that the pattern splits."""
+        words = self.pattern.findall(plain.lower())
+        code = dict(zip(own := list(set(words)), self.words.each(own)))
+        return [i for w in words for i in code[w]]
+
     def _merge_words(self, words: list[str]) -> list[list[int]]:
-        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(self.printable) for w in words]
-        return [e.ids for e in self.merges.encode_batch_fast(mapped, add_special_tokens=False)]
+        mapped = [w if w.isascii() else "".join([self.printable[b] for b in w.encode()]) for w in words]
+        tokens = self.merges.model.tokenize   # a word is one piece, so the model alone gives its ids, without an encoding around them
+        return [[t.id for t in tokens(w)] for w in mapped]
 
     def encode_runs(self, runs: list[str]) -> list[list[int]]:
         """The ids of each run. Plain runs are split here and their words, which repeat more than runs, are remembered."""
         everything = "\n".join(runs)
         special = any(t in everything for t in self.special)
-        kinds = [2 if len(r) > self.leaf else self.pattern is not None and PLAIN.fullmatch(r) is not None
-                 and not (special and any(t in r for t in self.special)) for r in runs]
-        split = [(r.lower(),) if r.isalpha() else (r[:-1].lower(), r[-1]) if r[:-1].isalpha() else self.pattern.findall(r.lower())
-                 for r, k in zip(runs, kinds) if k is True]
-        code = self.words.codes(split)
-        plain = iter([code(words[0]) if len(words) == 1 else [i for w in words for i in code(w)] for words in split])
-        other = iter(self.whole.encode_batch_fast([r for r, k in zip(runs, kinds) if k is False], add_special_tokens=False))
-        return [next(plain) if k is True else next(other).ids if k is False else self.run(r) for r, k in zip(runs, kinds)]
+        out, at, words, rests, other = [None] * len(runs), [], [], [], []
+        leaf, plain = self.leaf, PLAIN.fullmatch
+        for i, r in enumerate(runs):
+            if len(r) > leaf:
+                out[i] = self.run(r)
+            elif self.pattern is None or not plain(r) or special and any(t in r for t in self.special):
+                other.append(i)
+            else:
+                word = r.rstrip(MARKS)
+                n = len(r) - len(word)
+                if n <= MEMO_CHARS and word.isalpha():
+                    at.append(i)
+                    words.append(word.lower())
+                    rests.append(self.marks(r[-n:]) if n else None)
+                else:
+                    out[i] = self.words_of(r)
+        distinct = list(set(words))
+        code = dict(zip(distinct, self.words.each(distinct)))
+        for i, w, rest in zip(at, words, rests):
+            out[i] = code[w] + rest if rest else code[w]
+        if other:
+            for i, e in zip(other, self.whole.encode_batch_fast([runs[i] for i in other], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
 
     def tree(self, word: str) -> list[int]:
         """The ids of one word, which the splitting pattern does not cut."""

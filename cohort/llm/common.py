@@ -46,12 +46,12 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"))
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in slices of a bounded number of rows and, beyond single long texts, of bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
-        if i > start and (held + n > PIECE_BYTES or i - start >= PIECE_ROWS):
+        if i > start and (held + n > most or i - start >= rows):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -114,6 +114,25 @@ class Memo(dict):
         get = self.get
         return lambda w: fresh[w] if w in fresh else get(w)
 
+    def each(self, words: list) -> list:
+        """The codes of distinct words, in their order; unknown ones are encoded together, once."""
+        out = list(map(self.get, words))
+        places = [i for i, c in enumerate(out) if c is None]
+        if not places:
+            return out
+        new, collects = [words[i] for i in places], gc.isenabled()
+        gc.disable()   # codes come by the ten thousand and hold no cycles, so collections in between find nothing
+        try:
+            fresh = self.encode(new)
+        finally:
+            if collects:
+                gc.enable()
+        for i, c in zip(places, fresh):
+            out[i] = c
+        if len(self) < self.most:
+            self.update((w, c) for w, c in zip(new, fresh) if len(w) <= MEMO_CHARS)
+        return out
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge to another one; root is the smallest node of its component.

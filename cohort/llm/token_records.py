@@ -15,19 +15,22 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cohort.llm.bpe import VOCABULARY, codec
+from cohort.llm.bpe import VOCABULARY, Codec, codec
 from cohort.llm.checksums import masked
-from cohort.llm.common import Memo, once, pieces, texts_of, utf8
+from cohort.llm.common import Memo, once, pieces, texts_of
 
 INDEX = "shard string, offset long, length long, n_tokens long, before long"
 READ_BYTES = 8 << 20
+WRITE_BYTES, WRITE_ROWS = 8 << 20, 8_000   # of texts that are encoded and written at once; the more, the fewer distinct runs a byte
 NO_KEY = 0xFFFFFFFF
 
 
@@ -41,12 +44,39 @@ def _encoder(path: str, end_id: int | None):
     def make():
         tool = codec(path)
         width, kind = (2, "H") if max(len(tool.tokens), (end_id or 0) + 1) <= 1 << 16 else (4, "I")
-        memo = Memo(lambda runs: [struct.pack(f"<{len(i)}{kind}", *i) for i in tool.encode_runs(runs)])
-        return tool, memo, width, b"" if end_id is None else struct.pack(f"<{kind}", end_id)
+
+        def encode(runs):
+            ids = tool.encode_runs(runs)
+            ends = (np.cumsum([len(i) for i in ids]) * width).tolist()
+            data = np.fromiter(chain.from_iterable(ids), f"<u{width}").tobytes()
+            return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+        return tool, Memo(encode), width, b"" if end_id is None else struct.pack(f"<{kind}", end_id)
 
     return once(f"bpe records {path} {end_id}", make)
 
 
+def _packed(texts: pa.Array, tool: Codec, memo: Memo, width: int) -> list[bytes]:
+    """The ids of each text as bytes. Every distinct run of the texts is looked up once, and numbers are put in its places."""
+    texts = pc.fill_null(texts, "")
+    if tool.by_run:
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")   # as Codec.runs; a run between two spaces has no ids
+        first, runs = split.offsets.to_numpy(), split.values
+    else:
+        first, runs = np.arange(len(texts) + 1), texts
+    runs = runs.dictionary_encode()
+    words, at = runs.dictionary.to_pylist(), runs.indices.to_numpy()
+    known = memo.each(words)
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // width
+    n = sizes[at]
+    ends = np.cumsum(n)
+    places = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)
+    places += np.arange(len(places))
+    data = np.frombuffer(b"".join(known), f"<u{width}")[places].tobytes()
+    bounds = (np.concatenate([[0], ends])[first] * width).tolist()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def write_records(
     docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY,
     end_id: int | None = None, shards: int | None = None
@@ -70,11 +100,9 @@ def write_records(
         disk.create_dir(base, recursive=True)
         own, out, offset, before = f"{base}/_{shard}-{uuid.uuid4().hex}", None, 0, 0
         for batch in batches:
-            for part in pieces(batch, "text"):
-                split = [tool.runs(t.decode()) for t in utf8(part.column("text"))]
-                code = memo.codes(split)
+            for part in pieces(batch, "text", WRITE_BYTES, WRITE_ROWS):
                 keys = part.column("key").to_pylist()
-                ids = [b"".join(map(code, runs)) + end for runs in split]
+                ids = [i + end for i in _packed(part.column("text"), tool, memo, width)]
                 framed = _frames([b"".join((
                     struct.pack("<BI", width, NO_KEY if k is None else len(k.encode())), (k or "").encode(), i))
                     for k, i in zip(keys, ids)])

@@ -40,6 +40,45 @@ def test_special_strings(small, library):
         assert small.ids([text])[0] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_take_the_model_alone(library, monkeypatch):
+    import types
+
+    codec = bpe.Codec(bpe.VOCABULARY, remembered=3)
+    monkeypatch.setattr(codec, "merges", types.SimpleNamespace(model=codec.merges.model))   # nothing makes an encoding for a word
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abtéß'1,") for _ in range(r.randint(1, 80))) for _ in range(30)) for _ in range(20)]
+    for text in texts + texts:
+        assert codec.ids([text])[0] == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packed_ids_of_distinct_runs(name):
+    import public_tokenizers
+    import pyarrow as pa
+
+    tool, memo, width, _ = token_records._encoder(public_tokenizers.path(name), None)
+    texts = ["", None, " ", "\n", "a  b\nc", " x ", "word " * 5, "\u3000é\t日 \r\n", "a<|endoftext|> b", "", "&&& tion&&&"]
+    asked = []
+    encode, memo.encode = memo.encode, lambda runs: asked.extend(runs) or encode(runs)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array([*texts, *texts], kind)
+        for part in (column, column.slice(3, 7), column.slice(1, 0)):
+            got = [np.frombuffer(i, f"<u{width}").tolist() for i in token_records._packed(part, tool, memo, width)]
+            assert got == [tool.whole.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+    assert len(asked) == len(set(asked))
+
+
+def test_codes_of_distinct_words():
+    from cohort.llm.common import MEMO_CHARS, Memo
+
+    asked = []
+    memo = Memo(lambda words: asked.append(words) or [w.upper() for w in words], most=2)
+    long = "x" * (MEMO_CHARS + 1)
+    for words in (["a", "b", long], ["a", "c", "d"], [], ["c", long, "b"]):
+        assert memo.each(words) == [w.upper() for w in words] and set(memo) <= {"a", "b"}
+    assert asked == [["a", "b", long], ["c", "d"], ["c", long]]
+
+
 def test_other_vocabularies(library):
     import public_tokenizers
 
