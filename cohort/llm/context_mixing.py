@@ -42,7 +42,7 @@ PULL = 10.0                  # of START on the first weights
 FAR = 0.2                    # that a step changes a weight, at most
 WORDS = 300_000              # words that a task counts at once
 LANES = 128                  # texts whose weights are refined together
-FITTED = 1 << 13             # keys whose derivatives are summed together
+FITTED = 1 << 13             # keys whose table entries are read and whose derivatives are summed together
 RATE = 0.02
 START = (0.2, 0.3, 0.2, 0.35, 0.1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -184,20 +184,23 @@ def predictions(counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _inputs(tables: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """(keys, 8 bits, contexts) table entries."""
+def _inputs(tables: list[np.ndarray], keys: np.ndarray, signs: np.ndarray | None = None) -> np.ndarray:
+    """(keys, 8 bits, contexts) table entries; signs: of the bits of every byte, to turn them by."""
     out = np.empty((len(keys), 8, len(tables)), np.int8)
     for i, (table, (heads, rows, last)) in enumerate(zip(tables, _runs(keys))):
-        found = table.take(rows[:, None] + NODES.take(last, axis=0))
-        out[:, :, i] = found.repeat(np.diff(heads, append=len(keys)), axis=0)
+        edges = np.append(heads, len(keys))
+        for low in range(0, len(heads), FITTED):   # few enough for the processor's cache
+            byte, own = last[low:low + FITTED], edges[low:low + FITTED + 1]
+            found = table.take(rows[low:low + FITTED, None] + NODES.take(byte, axis=0))
+            if signs is not None:
+                found *= signs.take(byte, axis=0)
+            out[own[0]:own[-1], :, i] = found.repeat(np.diff(own), axis=0)
     return out
 
 
 def _signed(tables: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Table entries turned such that a positive one speaks for the bit that came."""
-    out = _inputs(tables, keys)
-    out *= SIGNS.astype(np.int8).take((keys & np.uint64(255)).astype(np.int64), axis=0)[:, :, None]
-    return out
+    return _inputs(tables, keys, SIGNS.astype(np.int8))
 
 
 def cost(tables: list[np.ndarray], texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
