@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -41,14 +43,14 @@ STEPS = 1                    # of fitting the first weights, each over all train
 PULL = 10.0                  # of START on the first weights
 FAR = 0.2                    # that a step changes a weight, at most
 WORDS = 300_000              # words that a task counts at once
-LANES = 128                  # texts whose weights are refined together
-FITTED = 1 << 13             # keys whose derivatives are summed together
+LANES = 64                   # texts whose weights are refined together
+NEAR = 1 << 14               # keys that are looked up together
 RATE = 0.02
 START = (0.2, 0.3, 0.2, 0.35, 0.1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TABLES = [(1 << b) * 256 for b in BITS]
 EACH = lambda byte: np.uint64(byte * 0x0101010101010101)
-NODES = np.array([[(1 << d) | (b >> (8 - d)) for d in range(8)] for b in range(256)], np.int32)      # of the tree of bits
+LOWER = np.arange(7, -1, -1, dtype=np.uint8)[:, None]      # bits below each bit of a byte
 SIGNS = np.array([[((b >> (7 - d)) & 1) * 2 - 1 for d in range(8)] for b in range(256)], np.float32)
 
 
@@ -67,7 +69,7 @@ def _own(keys: np.ndarray) -> list[np.ndarray]:
 def _rows(own: np.ndarray, bits: int) -> np.ndarray:
     """The table places of the rows of a context."""
     # the multiplier mixes low bits up; folding lets high bits count as well
-    return ((((own ^ (own >> np.uint64(29))) * MULTIPLIER) >> np.uint64(64 - bits)) << np.uint64(8)).astype(np.int64)
+    return ((((own ^ (own >> np.uint64(29))) * MULTIPLIER) >> np.uint64(64 - bits)) << np.uint64(8)).view(np.int64)
 
 
 def contexts(keys: np.ndarray) -> list[np.ndarray]:
@@ -84,31 +86,40 @@ def _runs(keys: np.ndarray):
         yield heads, _rows(own[heads], bits), last[heads]
 
 
-def _distinct(keys: np.ndarray, **also) -> tuple:
-    """np.unique, with keys that agree in their latest bytes side by side, as most contexts are told by these."""
-    found = np.unique(keys.byteswap(), **also)
-    return found[0].byteswap(), *found[1:]
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and how often they occur; those that agree in their latest bytes side by side, as most contexts are told by these."""
+    found, n = np.unique(keys.byteswap(), return_counts=True)
+    return found.byteswap(), n
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and for each key its place among them."""
+    order = np.argsort(keys.byteswap())
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], at
 
 
 def _keys(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
     """The keys of all bytes of stretches (bytes before, bytes), one after the other."""
-    data = np.frombuffer(b"".join(x for before, part in parts for x in (before[-BACK:].rjust(BACK, b"\0"), part)), np.uint8)
-    keys = np.zeros(max(0, len(data) - BACK), np.uint64)
-    for k in range(BACK + 1):
-        keys |= data[BACK - k:len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+    data = b"".join(x for before, part in parts for x in (before[-BACK:].rjust(BACK, b"\0"), part))
+    keys = np.ndarray(max(0, len(data) - BACK), ">u8", data, strides=(1,))      # the eight bytes from each position on
     # positions are those of the data less BACK, so each stretch is followed by the BACK bytes before the next one
     real = np.repeat(np.tile([True, False], len(parts)), [x for _, part in parts for x in (len(part), BACK)])[:len(keys)]
-    return keys[real]
+    return keys[real].astype(np.uint64)
 
 
 def _lanes(texts: list[bytes]):
-    """Groups of (places, lengths) of texts that are coded side by side: of like length, short ones first."""
+    """Groups of (places, length of the longest) of texts that are coded side by side, short ones first: of LANE_BYTES, or one longer text."""
     sizes = [len(t) + 1 for t in texts]
     order = sorted(range(len(texts)), key=lambda i: sizes[i])
     start = 0
     while start < len(order):
-        stop = start
-        while stop < len(order) and (stop == start or (stop - start + 1) * sizes[order[stop]] <= LANE_BYTES):
+        stop, held = start + 1, sizes[order[start]]
+        while stop < len(order) and held + sizes[order[stop]] <= LANE_BYTES:
+            held += sizes[order[stop]]
             stop += 1
         yield order[start:stop], sizes[order[stop - 1]]
         start = stop
@@ -119,6 +130,11 @@ def _part(text: bytes, start: int, n: int) -> tuple[bytes, bytes]:
     return text[max(0, start - BACK):start], text[start:start + n] + (bytes([END]) if start <= len(text) < start + n else b"")
 
 
+def _sums(n: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The sums of runs that begin at heads, the first at 0."""
+    return n if len(heads) == len(n) else np.add.reduceat(n, heads)
+
+
 def _stretches(texts: list[bytes]):
     """All bytes of lower-cased texts with their ends as distinct keys and their numbers, in groups of a bounded size."""
     held: list[tuple[bytes, bytes]] = []
@@ -128,15 +144,16 @@ def _stretches(texts: list[bytes]):
             held.append(_part(text, start, LANE_BYTES))
             size += len(held[-1][1])
             if size >= LANE_BYTES or i == len(texts) - 1 and start + LANE_BYTES > len(text):
-                yield _distinct(_keys(held), return_counts=True)   # most keys repeat, so tables are touched less often
+                yield _distinct(_keys(held))   # most keys repeat, so tables are touched less often
                 held, size = [], 0
 
 
 def _counted(texts: list[bytes]):
     """For groups of bytes and each context: (context, table entries, how often); an entry may come again."""
     for keys, n in _stretches(texts):
-        for i, (heads, rows, last) in enumerate(_runs(keys)):
-            yield i, rows + last, np.add.reduceat(n, heads)
+        for start in range(0, len(keys), NEAR):   # few enough for the processor's cache
+            for i, (heads, rows, last) in enumerate(_runs(keys[start:start + NEAR])):
+                yield i, rows + last, _sums(n[start:start + NEAR], heads)
 
 
 def count(tables: list[np.ndarray], texts: list[bytes]) -> None:
@@ -166,7 +183,7 @@ class Counts:
         both.sort()
         at = (both >> np.uint64(32)).astype(np.uint32)
         heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))[:len(at)]
-        sums = np.add.reduceat(both & np.uint64(0xFFFFFFFF), heads) if len(heads) else both
+        sums = _sums(both & np.uint64(0xFFFFFFFF), heads)
         self.at, self.n = at[heads], np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)
 
 
@@ -184,20 +201,54 @@ def predictions(counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _inputs(tables: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """(keys, 8 bits, contexts) table entries."""
-    out = np.empty((len(keys), 8, len(tables)), np.int8)
-    for i, (table, (heads, rows, last)) in enumerate(zip(tables, _runs(keys))):
-        found = table.take(rows[:, None] + NODES.take(last, axis=0))
-        out[:, :, i] = found.repeat(np.diff(heads, append=len(keys)), axis=0)
-    return out
+def _columns(table: np.ndarray) -> np.ndarray:
+    """A table by the nodes of the tree of bits: 256 columns of few enough entries for the processor's cache."""
+    return table if table.ndim == 2 else table.reshape(-1, 256).T
+
+
+def _entries(tables: list[np.ndarray], keys: np.ndarray, signed: bool):
+    """For each context of keys in the order of their bytes: their table entries by bits, of runs of keys, and the run of each key (None: its own).
+
+    The keys of a node are neighbours, so one column is met after the other. signed: a positive entry speaks for the bit that came.
+    """
+    byte = keys.astype(np.uint8)
+    signs = ((byte >> LOWER & np.uint8(1)) * np.uint8(2) - np.uint8(1)).view(np.int8)
+    first = np.concatenate([[0], np.flatnonzero(byte[1:] != byte[:-1]) + 1])
+    bytes_ = byte[first].tolist()
+    for table, (heads, rows, _) in zip(tables, _runs(keys)):
+        columns = _columns(table)
+        rows >>= 8
+        lows = np.searchsorted(heads, first).tolist()
+        found = np.empty((8, len(heads)), np.int8)
+        for d in range(8):
+            nodes: dict[int, int] = {}
+            for b, low in zip(bytes_, lows):
+                nodes.setdefault((1 << d) + (b >> 8 - d), low)
+            for (node, low), high in zip(nodes.items(), [*nodes.values(), len(heads)][1:]):
+                columns[node].take(rows[low:high], out=found[d, low:high], mode="clip")
+        alone = len(heads) == len(keys)
+        if signed:
+            found *= signs if alone else signs.take(heads, axis=1)
+        yield found, None if alone else np.repeat(np.arange(len(heads)), np.diff(heads, append=len(keys)))
+
+
+def _inputs(tables: list[np.ndarray], keys: np.ndarray, signed: bool = False) -> np.ndarray:
+    """(keys, 8 bits, contexts) table entries; of keys in the order of their bytes the bits of a context lie side by side in memory."""
+    byte = keys & np.uint64(255)
+    if (byte[1:] < byte[:-1]).any():
+        order = np.argsort(byte, kind="stable")
+        return _inputs(tables, keys[order], signed)[np.argsort(order)]
+    out = np.empty((len(keys), len(tables)), np.int64)
+    for start in range(0, len(keys), NEAR):   # few enough for the processor's cache
+        for i, (found, run) in enumerate(_entries(tables, keys[start:start + NEAR], signed)):
+            entries = np.ascontiguousarray(found.T).view(np.int64)[:, 0]
+            out[start:start + NEAR, i] = entries if run is None else entries.take(run)
+    return out.view(np.int8).reshape(*out.shape, 8).transpose(0, 2, 1)
 
 
 def _signed(tables: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Table entries turned such that a positive one speaks for the bit that came."""
-    out = _inputs(tables, keys)
-    out *= SIGNS.astype(np.int8).take((keys & np.uint64(255)).astype(np.int64), axis=0)[:, :, None]
-    return out
+    return _inputs(tables, keys, signed=True)
 
 
 def cost(tables: list[np.ndarray], texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,39 +258,53 @@ def cost(tables: list[np.ndarray], texts: list[bytes], weights: np.ndarray) -> t
     """
     total = np.zeros(len(texts))
     final = np.zeros((len(texts), *weights.shape), np.float32)
+    against = weights.T.astype(np.float32) * np.float32(-SCALE)
+    n_contexts, block = len(against), np.arange(BLOCK)[:, None]
+    # of bytes, texts and bits; places are reused, as new memory is dear
+    codes_ = np.empty((BLOCK * LANES, n_contexts), np.int64)
+    inputs_, odds_, inverse_ = (np.empty(n * BLOCK * LANES * 8, np.float32) for n in (n_contexts, 1, 1))
     for places, longest in _lanes(texts):
-        w = np.repeat(weights[None].astype(np.float32) * np.float32(SCALE), len(places), axis=0)
+        w = np.repeat(against[:, None], len(places), axis=1)    # context, text, bit
         own = np.zeros(len(places))
-        step = max(BLOCK, LANE_BYTES // len(places) // BLOCK * BLOCK)
-        for start in range(0, longest, step):
-            parts = [_part(texts[i], start, step) for i in places]
-            sizes = np.array([len(p) for _, p in parts])
+        for start in range(0, longest, LANE_BYTES):
+            parts = [_part(texts[i], start, LANE_BYTES) for i in places]
+            sizes = np.array([len(p) for _, p in parts])     # in ascending order
             first = np.cumsum(sizes) - sizes
-            keys, at = _distinct(_keys(parts), return_inverse=True)
-            inputs = _signed(tables, keys)
+            keys, at = _numbered(_keys(parts))
+            inputs = _signed(tables, keys).transpose(0, 2, 1).view(np.int64)[:, :, 0]
             for low in range(0, len(places), LANES):   # few enough for the processor's cache
-                near = slice(low, low + LANES)
-                for from_ in range(0, int(sizes[near].max()), BLOCK):
-                    column = from_ + np.arange(BLOCK)
-                    mask = column < sizes[near, None]
-                    lanes = low + np.flatnonzero(mask[:, 0])
-                    m = mask[mask[:, 0]]
-                    found = at.take(np.where(m, first[lanes, None] + column, 0))
-                    x = inputs.take(found, axis=0).astype(np.float32).transpose(0, 2, 1, 3)    # lane, bit, byte, context
-                    odds = (x @ -w[lanes][..., None])[..., 0]    # against the bit that came
+                high = min(low + LANES, len(places))
+                for from_ in range(0, int(sizes[high - 1]), BLOCK):
+                    lanes = slice(low + int(np.searchsorted(sizes[low:high], from_, "right")), high)
+                    where = block + (first[lanes] + from_)
+                    past, rate = None, np.float32(RATE * SCALE / BLOCK)
+                    if sizes[lanes.start] < from_ + BLOCK:
+                        n = np.minimum(sizes[lanes] - from_, BLOCK)
+                        past = block >= n
+                        where[past] = 0
+                        rate = (RATE * SCALE / n * np.minimum(n / BLOCK, 1)).astype(np.float32)[:, None]
+                    found = at.take(where)
+                    shape = (BLOCK, found.shape[1] * 8)
+                    x = inputs_[:n_contexts * found.size * 8].reshape(n_contexts, *shape)
+                    odds, inverse = odds_[:found.size * 8].reshape(shape), inverse_[:found.size * 8].reshape(shape)
+                    codes = inputs.take(found.reshape(-1), axis=0, out=codes_[:found.size], mode="clip")
+                    for i in range(n_contexts):
+                        x[i] = codes[:, i].copy().view(np.int8).reshape(shape)
+                    if past is not None:
+                        x.reshape(n_contexts, *found.shape, 8)[:, past] = 0
+                    np.einsum("cbi,ci->bi", x, w[:, lanes].reshape(n_contexts, -1), out=odds)    # against the bit that came
                     np.exp(np.clip(odds, -15, 15, out=odds), out=odds)
-                    inverse = odds + 1
-                    # products of four inverse chances stay within float32
-                    half = inverse[:, :4] * inverse[:, 4:]
-                    bits = np.log(half[:, 0] * half[:, 1]) + np.log(half[:, 2] * half[:, 3])
-                    own[lanes] += (bits * m).sum(axis=1, dtype=np.float64)
+                    np.add(odds, 1, out=inverse)
                     wrong = np.divide(odds, inverse, out=odds)
-                    wrong *= m[:, None]
-                    n = m.sum(axis=1)
-                    rate = (RATE * SCALE / n * np.minimum(n / BLOCK, 1)).astype(np.float32)
-                    w[lanes] += (wrong[:, :, None] @ x)[:, :, 0] * rate[:, None, None]
+                    w[:, lanes] -= np.einsum("bi,cbi->ci", wrong, x).reshape(n_contexts, -1, 8) * rate
+                    if past is not None:
+                        inverse.reshape(*found.shape, 8)[past] = 1
+                    # products of four inverse chances stay within float32
+                    chances = inverse.reshape(4, BLOCK // 4, -1)
+                    bits = np.log(chances[0] * chances[1] * (chances[2] * chances[3]))
+                    own[lanes] += bits.sum(axis=0).reshape(-1, 8).sum(axis=1, dtype=np.float64)
         total[places] = own
-        final[places] = w / np.float32(SCALE)
+        final[places] = w.transpose(1, 2, 0) / np.float32(-SCALE)
     return total, final
 
 
@@ -247,13 +312,15 @@ def moments(tables: list[np.ndarray], texts: list[bytes], weights: np.ndarray) -
     """(8, contexts, 1 + contexts): the first and second derivatives, by the weights, of minus the coding costs and of the costs of texts."""
     total, w = np.zeros((*weights.shape, 1 + weights.shape[1])), (weights * SCALE).astype(np.float32)
     for keys, n in _stretches(texts):
-        inputs = _signed(tables, keys)
-        for start in range(0, len(keys), FITTED):
-            x = inputs[start:start + FITTED].transpose(1, 2, 0).astype(np.float32, order="C")      # bit, context, key
+        for start in range(0, len(keys), NEAR):
+            some = keys[start:start + NEAR]
+            x = np.empty((*weights.shape, len(some)), np.float32)      # bit, context, key
+            for i, (found, run) in enumerate(_entries(tables, some, signed=True)):
+                x[:, i] = found if run is None else found.take(run, axis=1)
             odds = (-w[:, None] @ x)[:, 0]
             np.exp(np.clip(odds, -15, 15, out=odds), out=odds)
             wrong = odds / (odds + 1)
-            slope = wrong * n[start:start + FITTED].astype(np.float32)
+            slope = wrong * n[start:start + NEAR].astype(np.float32)
             total[:, :, 0] += (x @ slope[..., None])[..., 0]
             slope -= slope * wrong
             total[:, :, 1:] += x @ (x * slope[:, None]).transpose(0, 2, 1)
@@ -342,10 +409,11 @@ def _tables(chunks: DataFrame, tasks: int) -> DataFrame:
 
 
 def _sent(finished: DataFrame, of: str):
-    """The finished tables of one half or of both, sent to the executors."""
-    tables = [np.zeros(n, np.int8) for n in TABLES]
+    """The finished tables of one half or of both by their columns, sent to the executors."""
+    tables = [np.zeros((256, n // 256), np.int8) for n in TABLES]
+    rows = CHUNK // 256
     for r in finished.select("kind", "n", of).toLocalIterator():
-        tables[r["kind"]][r["n"] * CHUNK:(r["n"] + 1) * CHUNK] = np.frombuffer(bytes(r[of]), np.int8)
+        tables[r["kind"]][:, r["n"] * rows:(r["n"] + 1) * rows] = _columns(np.frombuffer(bytes(r[of]), np.int8))
     return finished.sparkSession.sparkContext.broadcast(tables)
 
 
@@ -364,29 +432,33 @@ def _heavy(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["word"]): r["c"] for r in rows.toLocalIterator()}
 
 
-def _first_weights(texts: DataFrame, halves: list) -> np.ndarray:
+def _first_weights(texts: DataFrame, finished: DataFrame) -> np.ndarray:
     """START after STEPS steps of Newton's method towards the weights of least cost for all training texts, each with the tables of the other half.
 
     A step sums derivatives over all texts, so it does not depend on how they lie in partitions; PULL holds the weights near START
-    where texts are few, and no weight moves more than FAR in a step.
+    where texts are few, and no weight moves more than FAR in a step. The halves are read one after the other, so executors hold the tables of one.
     """
     start = np.tile(np.array(START), (8, 1))
     weights = start.copy()
 
-    def step(batches):
-        total = np.zeros((*weights.shape, 1 + weights.shape[1]))
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                found, own = [t.lower() for t in utf8(part.column("text"))], part.column("half").to_pylist()
-                for half in (0, 1):
-                    total += moments(halves[1 - half].value, [t for t, h in zip(found, own) if h == half], weights)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "part"])
+    def derivatives(tables):
+        def step(batches):
+            total = np.zeros((*weights.shape, 1 + weights.shape[1]))
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    total += moments(tables.value, [t.lower() for t in utf8(part.column("text"))], weights)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "part"])
+
+        return step
 
     for _ in range(STEPS):
-        parts = texts.where("NOT held").select("text", "half").mapInArrow(step, "place long, part double")
         total = np.zeros((*weights.shape, 1 + weights.shape[1]))
-        for r in parts.groupBy("place").agg(F.sum("part").alias("sum")).collect():
-            total.flat[r["place"]] = r["sum"]
+        for half, other in ((0, "one"), (1, "zero")):
+            tables = _sent(finished, other)
+            parts = texts.where(~F.col("held") & (F.col("half") == half)).select("text").mapInArrow(derivatives(tables), "place long, part double")
+            for r in parts.groupBy("place").agg(F.sum("part").alias("sum")).collect():
+                total.flat[r["place"]] += r["sum"]
+            tables.destroy()
         slope = total[:, :, 0] - PULL * (weights - start)
         weights = weights + np.clip(np.linalg.solve(total[:, :, 1:] + PULL * np.eye(weights.shape[1]), slope[..., None])[..., 0], -FAR, FAR)
     # rounded, as sums differ in their last digits by the order of their parts
@@ -420,10 +492,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     chunks = gathered.where("kind >= 0")
     tasks = (chunks.agg(F.max("task")).first()[0] or 0) + 1
     finished = _tables(chunks, tasks)
-    halves = [_sent(finished, of) for of in ("zero", "one")]
-    weights = _first_weights(flagged, halves)
-    for half in halves:
-        half.destroy()
+    weights = _first_weights(flagged, finished)
     tables = _sent(finished, "both")
     frequent = spark.sparkContext.broadcast({w: (math.log10(c + 1)) for w, c in _heavy(counts, heavy).items()})
 
@@ -434,21 +503,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
             for part in pieces(batch, "text"):
                 texts = [t.lower() for t in utf8(part.column("text"))]
                 costs, _ = cost(tables.value, texts, weights)
-                n, known, base, rare = [], [], [], []
+                n, known, base, rare, times, ends = [], [], [], [], [], [0]
                 for t in texts:
                     words = t.split()
-                    found = [log_count.get(w) for w in words]
+                    found = list(map(log_count.get, words))
                     n.append(len(words))
-                    base.append(math.fsum(x for x in found if x is not None))
+                    base.append(math.fsum(filter(None, found)))     # none is zero
                     known.append(len(words) - found.count(None))
-                    rare.append(list(Counter(w for w, x in zip(words, found) if x is None).items()))
+                    own = Counter(compress(words, map(not_, found)))
+                    rare += own
+                    times += own.values()
+                    ends.append(len(rare))
                 keys = np.arange(row, row + len(texts), dtype=np.int64) + (task << 33)
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys), part.column("id"), part.column("held"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
                     pa.array(base, pa.float64()), pa.array(costs, pa.float64()), pa.array([len(t) + 1 for t in texts], pa.int64()),
-                    pa.array([[{"word": w, "tf": c} for w, c in r] for r in rare],
-                             pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))],
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                        [pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "tf"]))],
                     names=["row", "id", "held", "words", "known", "base", "cost", "bytes", "rare"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -272,3 +272,42 @@ def test_sparse_counts_are_those_of_whole_tables():
     empty_one = M.Counts()
     empty_one.settle()
     assert len(empty_one.at) == 0
+
+
+def test_texts_of_unlike_lengths_are_coded_in_one_group():
+    """Groups are bounded by their bytes, not by the longest text times their number, so bytes that repeat are looked up once."""
+    texts = [b"short"] * 500 + [b"x" * 100_000]
+    assert [len(places) for places, _ in M._lanes(texts)] == [501]
+    many = [b"x" * 300_000] * 7 + [b"y" * (3 * M.LANE_BYTES)]
+    assert [len(places) for places, _ in M._lanes(many)] == [3, 3, 1, 1]
+
+
+def test_entries_by_columns_are_those_of_whole_rows():
+    """Tables by the nodes of the tree give the same entries and costs as tables by rows, for keys in any order."""
+    texts = [b"the cat sat on the mat", "é日 the cat".encode(), b""]
+    counts = [np.zeros(n, np.uint32) for n in M.TABLES]
+    M.count(counts, texts[:2])
+    rows_ = [M.predictions(c) for c in counts]
+    columns = [np.ascontiguousarray(r.reshape(-1, 256).T) for r in rows_]
+    keys = M._keys([(b"", t + bytes([M.END])) for t in texts])
+    places = M.contexts(keys)
+    by_hand = np.array([[[int(t[at[i] + (1 << d | (int(k) & 255) >> 8 - d)]) for t, at in zip(rows_, places)] for d in range(8)]
+                        for i, k in enumerate(keys)])
+    assert (M._inputs(columns, keys) == by_hand).all() and (M._inputs(rows_, keys) == by_hand).all()
+    distinct, at = M._numbered(keys)
+    assert (distinct[at] == keys).all() and (M._inputs(columns, distinct)[at] == by_hand).all()
+    assert (M._signed(columns, distinct)[at] == by_hand * M.SIGNS[(keys & np.uint64(255)).astype(int)][:, :, None]).all()
+    start = np.tile(np.array(M.START, np.float32), (8, 1))
+    assert (M.cost(columns, texts, start)[0] == M.cost(rows_, texts, start)[0]).all()
+
+
+def test_texts_longer_than_a_group_keep_their_costs(monkeypatch):
+    texts = [b"the cat sat on the mat " * 60, b"a rat", b"the mat " * 30]
+    counts = [np.zeros(n, np.uint32) for n in M.TABLES]
+    M.count(counts, texts[1:])
+    tables = [M.predictions(c) for c in counts]
+    start = np.tile(np.array(M.START, np.float32), (8, 1))
+    whole = M.cost(tables, texts, start)[0]
+    monkeypatch.setattr(M, "LANE_BYTES", 4 * M.BLOCK)
+    monkeypatch.setattr(M, "NEAR", 50)
+    assert M.cost(tables, texts, start)[0] == pytest.approx(whole, rel=1e-6)
