@@ -166,25 +166,33 @@ class Counts:
     """What is not zero in a table: sorted entries and their counts, so that a task holds no more than its texts need."""
 
     def __init__(self):
-        self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.more: list[tuple[np.ndarray, np.ndarray]] = []
+        self.both = np.zeros(0, np.uint64)     # entries, with their counts in the low bits
+        self.more: list[np.ndarray] = []
         self.size = 0
 
+    @property
+    def at(self) -> np.ndarray:
+        return (self.both >> np.uint64(32)).astype(np.uint32)
+
+    @property
+    def n(self) -> np.ndarray:
+        return self.both.astype(np.uint32)
+
     def add(self, at: np.ndarray, n: np.ndarray) -> None:
-        self.more.append((at.astype(np.uint32), n.astype(np.uint32)))
+        self.more.append((at.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64))
         self.size += len(at)
-        if self.size > max(CHUNK * 8, len(self.at)):
+        if self.size > max(CHUNK * 8, len(self.both)):
             self.settle()
 
     def settle(self) -> None:
         """Put the new counts to the others."""
-        both = np.concatenate([(a.astype(np.uint64) << np.uint64(32)) | n for a, n in [(self.at, self.n), *self.more]])
+        both = np.concatenate([self.both, *self.more])
         self.more, self.size = [], 0
         both.sort()
-        at = (both >> np.uint64(32)).astype(np.uint32)
+        at = both >> np.uint64(32)
         heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))[:len(at)]
         sums = _sums(both & np.uint64(0xFFFFFFFF), heads)
-        self.at, self.n = at[heads], np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)
+        self.both = (at[heads] << np.uint64(32)) | np.minimum(sums, np.uint64(0xFFFFFFFF))
 
 
 def predictions(counts: np.ndarray) -> np.ndarray:
@@ -302,7 +310,7 @@ def cost(tables: list[np.ndarray], texts: list[bytes], weights: np.ndarray) -> t
                     # products of four inverse chances stay within float32
                     chances = inverse.reshape(4, BLOCK // 4, -1)
                     bits = np.log(chances[0] * chances[1] * (chances[2] * chances[3]))
-                    own[lanes] += bits.sum(axis=0).reshape(-1, 8).sum(axis=1, dtype=np.float64)
+                    own[lanes] += bits.sum(axis=0, dtype=np.float64).reshape(-1, 8).sum(axis=1)
         total[places] = own
         final[places] = w.transpose(1, 2, 0) / np.float32(-SCALE)
     return total, final
@@ -368,12 +376,13 @@ def _gather(texts: DataFrame) -> DataFrame:
         yield from of_words(words, task)
         for kind, table in enumerate(tables):
             table.settle()
-            edges = np.searchsorted(table.at, np.arange(0, TABLES[kind // 2] + 1, CHUNK))
+            entries, n = table.at, table.n
+            edges = np.searchsorted(entries, np.arange(0, TABLES[kind // 2] + 1, CHUNK))
             for chunk in np.flatnonzero(np.diff(edges)).tolist():
                 own = slice(edges[chunk], edges[chunk + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([(table.at[own] % CHUNK).astype("<u2").tobytes()], pa.binary()),
-                     pa.array([chunk], pa.int64()), pa.array([task], pa.int64()), pa.array([table.n[own].astype("<u4").tobytes()], pa.binary())],
+                    [pa.array([kind], pa.int32()), pa.array([(entries[own] % CHUNK).astype("<u2").tobytes()], pa.binary()),
+                     pa.array([chunk], pa.int64()), pa.array([task], pa.int64()), pa.array([n[own].astype("<u4").tobytes()], pa.binary())],
                     names=names)
 
     return texts.where("NOT held").select("text", "half").mapInArrow(run, "kind int, key binary, n long, task long, data binary")
