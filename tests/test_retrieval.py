@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -248,14 +249,20 @@ def test_rows_with_the_same_roll_keep_their_own_chunk(spark):
     assert all(r["score"] <= 1 for r in best)
 
 
-def test_knn_query_asks_for_every_fiftieth_vector(spark, sf_dir):
+def test_knn_query_asks_for_every_vector(spark, tmp_path):
+    """The query and its SQL; the ids begin anywhere and none of them need be divisible by anything."""
+    from cohort.plans.oracles import ORACLE_SQL
     from cohort.plans.queries import QUERIES
-    from cohort.plans.tables import table
 
-    ids = {r["vec_id"] for r in table(spark, sf_dir, "embeddings").select("vec_id").collect()}
-    asked = QUERIES["knn_topk"](spark, sf_dir).collect()
-    assert {r["query_id"] for r in asked} == {i for i in ids if i % 50 == 0}
-    assert all(r["chunk_id"] == r["query_id"] for r in asked if r["rank"] == 1) and {r["chunk_id"] for r in asked} <= ids
+    points = np.random.default_rng(4).normal(size=(70, 5)).astype("float32")
+    vectors = spark.createDataFrame([(3 * i + 7, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["knn_topk"](spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == {3 * i + 7 for i in range(70)} and len(got) == 6 * 70
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = con.execute(ORACLE_SQL["knn_topk"]).fetchall()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["distance"]) for r in got) == sorted(expected)
 
 
 @pytest.mark.parametrize("vocabulary", [0, 3, 100])
