@@ -43,6 +43,7 @@ BROADCAST_NUMBERS = 4_000_000   # numbers of all query vectors together that are
 PIVOTS = 256                    # vectors around which cells are made
 CELL_NUMBERS = 1_000_000        # of the vectors that are compared at once
 CELL_QUERIES = 500              # queries that they are compared with at once
+CLOSE_POINTS = 4_096            # queries whose distances from all pivots are held at once
 BROADCAST_ROWS = 1_000_000      # ranked rows that are sent to every executor
 LARGE_SAMPLE = 20               # a corpus of so many times the sample is cut down by a bound first
 SCORE_PLACES = 9                # scores are compared at this precision, so exact copies of a chunk tie
@@ -518,19 +519,43 @@ def _matrix(embeddings) -> np.ndarray:
 
 
 def _near(block: np.ndarray, points: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, query and exact distance of all pairs that can be among the k nearest, ties included.
+    """Row, query and exact distance of all pairs within the limits that can be among the k nearest, ties included.
 
     Distances by a matrix product pick the candidates, with room for its rounding; exact ones decide.
     """
     rows, asked = np.square(block).sum(axis=1), np.square(points).sum(axis=1)
-    about = rows[:, None] + asked - 2 * (block @ points.T)
-    room = 1e-9 * (1 + rows.max() + asked)
-    if len(block) > k:
-        limit = np.minimum(limit, np.partition(about, k - 1, axis=0)[k - 1] + room)
-    i, q = np.nonzero(about <= limit + room)
+    # the product gives the squared distance less the query's own square and the room for the row
+    about = np.column_stack([block, rows * (1 - 1e-9)]) @ np.column_stack([-2 * points, np.ones(len(points))]).T
+    most = limit + 1e-9 * (1 + asked) - asked
+    hits = np.flatnonzero(about <= most)
+    if len(hits) > 4 * k * len(points) and len(block) > k:
+        most = np.minimum(most, np.partition(about, k - 1, axis=0)[k - 1] + 3e-9 * (1 + rows.max() + asked))
+        hits = np.flatnonzero(about <= most)
+    i, q = np.divmod(hits, len(points))
     exact = np.concatenate([np.square(block[i[a:a + SCORED_ROWS]] - points[q[a:a + SCORED_ROWS]]).sum(axis=1)
                             for a in range(0, len(i), SCORED_ROWS)] or [np.empty(0)])
-    return i, q, np.round(exact, SCORE_PLACES)
+    exact = np.round(exact, SCORE_PLACES)
+    live = exact <= limit[q]
+    return i[live], q[live], exact[live]
+
+
+def _without_spare(found: np.ndarray, far: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the vectors without copies that have k equal ones of lower ids: no query can want them.
+
+    far is the same for equal vectors of a cell.
+    """
+    _, group, count = np.unique(far, return_inverse=True, return_counts=True)
+    if count.max() <= k:
+        return np.arange(len(found))
+    _, group = np.unique(np.ascontiguousarray(found).view(f"V{found.itemsize * found.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    return np.sort(order[np.arange(len(order)) - np.searchsorted(group[order], group[order]) < k])
+
+
+def _apart(points: np.ndarray, squares: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each point, whose sum of squares is known, from each pivot, and the room for its rounding."""
+    a, b = squares[:, None], np.square(pivots).sum(axis=1)
+    return np.sqrt(np.maximum(0, a + b - 2 * (points @ pivots.T))), 1e-6 * (1 + np.sqrt(a) + np.sqrt(b))
 
 
 @dataclass(frozen=True)
@@ -543,18 +568,26 @@ class Cells:
     near: np.ndarray      # least and greatest distance of a vector in it from its pivot
     far: np.ndarray
 
-    def bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distance of each point from each pivot, and a lower bound for the vectors of the cell, with room for rounding.
-
-        A vector is between near and far from its pivot, and no nearer to the pivot next to the point than to its own.
-        """
-        d = np.sqrt(np.maximum(0, np.square(points).sum(axis=1)[:, None] + np.square(self.pivots).sum(axis=1) - 2 * points @ self.pivots.T))
-        low = np.maximum(np.maximum(d - self.far, self.near - d), (d - d.min(axis=1, keepdims=True)) / 2)
-        return d, np.maximum(0, low - 1e-6 * (1 + d))
+    def close(self, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of each point from the pivot next to it, and the cells next to it, as many as hold k vectors; -1 fills up."""
+        nearest, first = [np.empty(0)], [np.empty((0, k), "int32")]
+        for start in range(0, len(points), CLOSE_POINTS):
+            some = points[start:start + CLOSE_POINTS]
+            d, _ = _apart(some, np.square(some).sum(axis=1), self.pivots)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]       # a cell holds its pivot at least
+            before = np.cumsum(self.held[order], axis=1) - self.held[order]
+            cells = np.full((len(d), k), -1, "int32")
+            cells[:, :order.shape[1]] = np.where(before < k, order, -1)
+            nearest.append(d.min(axis=1))
+            first.append(cells)
+        return np.concatenate(nearest), np.concatenate(first)
 
 
 def cells(vectors: DataFrame, pivots: int = PIVOTS) -> Cells | None:
-    """Voronoi cells around a bounded sample of the vectors (by a hash of their ids), written once; None without vectors."""
+    """Voronoi cells around a bounded sample of the vectors (by a hash of their ids), written once; None without vectors.
+
+    Vectors of a cell lie together, and a cell of many vectors in several files.
+    """
     vectors = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
     chosen = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots).collect()
     if not chosen:
@@ -571,82 +604,104 @@ def cells(vectors: DataFrame, pivots: int = PIVOTS) -> Cells | None:
             yield batch.assign(cell=cell.astype("int32"), far=np.sqrt(np.square(found - points[cell]).sum(axis=1)))
 
     schema = f"{vectors.select('chunk_id').schema.simpleString()[7:-1].replace(':', ' ', 1)}, embedding {vectors.schema['embedding'].dataType.simpleString()}, cell int, far double"
-    rows = written(vectors.mapInPandas(place, schema), "cells")
+    files = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, vectors.rdd.getNumPartitions())
+    rows = written(vectors.mapInPandas(place, schema).repartitionByRange(files, "cell", F.xxhash64("chunk_id")), "cells")
     held, near, far = np.zeros(len(points)), np.full(len(points), np.inf), np.zeros(len(points))
     for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect():
         held[r["cell"]], near[r["cell"]], far[r["cell"]] = r["n"], r["near"], r["far"]
     return Cells(rows, points, held, np.where(held > 0, near, 0), far)
 
 
-def _search_cells(batches, query_ids, points, allowed: np.ndarray, low: np.ndarray, limit: np.ndarray, k: int, compared) -> Iterator[pd.DataFrame]:
-    """The k nearest vectors of a task to each query among the cells that it is allowed, whose bounds are within its limit so far."""
-    best = Best(len(query_ids), k)
+def _search_cells(batches, points: np.ndarray, known: tuple, nearest: np.ndarray, first: np.ndarray, limit: np.ndarray | None, k: int, compared) -> Best:
+    """The k nearest vectors of a task to each query: without limits in the cells next to it, else in all cells whose bounds are within its limit."""
+    pivots, near, far = known
+    best, held, count = Best(len(points), k), [], 0
+    most = np.full(len(points), np.inf) if limit is None else limit
+    squares = np.square(points).sum(axis=1)
     for batch in batches:
-        ids, embeddings, cell = _ids(batch["chunk_id"]), batch["embedding"].to_numpy(), batch["cell"].to_numpy()
+        ids, embeddings, distance, cell = _ids(batch["chunk_id"]), batch["embedding"].to_numpy(), batch["far"].to_numpy(), batch["cell"].to_numpy()
         order = np.argsort(cell, kind="stable")
         edges = np.flatnonzero(np.diff(cell[order], prepend=-1, append=-1))
         for start, stop in zip(edges[:-1], edges[1:]):
             own, c = order[start:stop], int(cell[order[start]])
-            now = np.minimum(limit, best.limit)
-            asked = np.flatnonzero(allowed[:, c] & (np.square(low[:, c]) <= now))
+            now = np.minimum(most, best.limit)
+            if limit is None:
+                asked = np.flatnonzero((first == c).any(axis=1))
+            else:
+                # a vector is between near and far from its pivot, and no nearer to the pivot next to the query than to its own
+                (d,), (room,) = (x.T for x in _apart(points, squares, pivots[c:c + 1]))
+                low = np.maximum(np.maximum(d - far[c], near[c] - d), (d - nearest) / 2) - room
+                asked = np.flatnonzero(np.square(np.maximum(0, low)) <= now)
             if not len(asked):
                 continue
+            found = _matrix(embeddings[own])
+            some = _without_spare(found, distance[own], ids[own], k)
+            own, found = own[some], found[some]
             compared.add(len(own) * len(asked))
             at_once = max(1, CELL_NUMBERS // points.shape[1])
             for start in range(0, len(own), at_once):
-                some = own[start:start + at_once]
-                found = _matrix(embeddings[some])
                 for q0 in range(0, len(asked), CELL_QUERIES):
                     part = asked[q0:q0 + CELL_QUERIES]
-                    i, q, distance = _near(found, points[part], np.minimum(limit, best.limit)[part], k)
-                    best.add(part[q], ids[some[i]], distance)
-    yield best.frame(query_ids, ("query_id", "chunk_id", "distance"))
+                    i, q, exact = _near(found[start:start + at_once], points[part], now[part], k)
+                    held.append((part[q], ids[own[start + i]], exact))
+                    count += len(i)
+                    if count >= SCORED_PAIRS:
+                        best.add(*map(np.concatenate, zip(*held)))
+                        held, count = [], 0
+                        now = np.minimum(most, best.limit)
+    if held:
+        best.add(*map(np.concatenate, zip(*held)))
+    return best
 
 
 def knn_topk(vectors: DataFrame | Cells, queries: DataFrame, k: int = fv.TOP_K, broadcast_numbers: int = BROADCAST_NUMBERS, compared=None) -> DataFrame:
     """Exact nearest vectors by squared Euclidean distance: query_id, rank, chunk_id, distance.
 
     vectors has chunk_id and embedding, or is what cells(...) made of it for several searches; queries has query_id and embedding.
-    Queries are sent to the vectors in blocks of a bounded size. A first pass compares each query with the cells next to it that hold k
-    vectors together; with the distance that it found, a second pass compares it with those other cells only that can hold a nearer
-    vector by the triangle inequality. Tasks hand on k rows per query. compared, an accumulator, counts the pairs.
+    Queries are sent to the vectors in blocks of a bounded size, and the rows of a block are written before the next one. A first pass compares
+    each query with the cells next to it that hold k vectors together; with the distance that it found, a second pass compares it with those
+    cells only that can hold a nearer vector by the triangle inequality. Tasks hand on k rows per query. compared, an accumulator, counts the pairs.
+    Where no cell can be left out, as among points that are all about equally far from each other, all pairs are compared, by matrix products.
     """
     spark = queries.sparkSession
     index = vectors if isinstance(vectors, Cells) else cells(vectors)
     query_type = queries.schema["query_id"].dataType.simpleString()
+    id_type = (vectors if index is None else index.rows).schema["chunk_id"].dataType.simpleString()
+    nothing = spark.createDataFrame([], f"query_id {query_type}, rank int, chunk_id {id_type}, distance double")
     if index is None:
-        ids = vectors.schema["chunk_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"query_id {query_type}, rank int, chunk_id {ids}, distance double")
-    schema = f"query_id {query_type}, chunk_id {index.rows.schema['chunk_id'].dataType.simpleString()}, distance double"
+        return nothing
+    schema = f"query_id {query_type}, chunk_id {id_type}, distance double"
     compared = compared if compared is not None else spark.sparkContext.accumulator(0)
     queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    numbers = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0] * max(1, len(index.pivots) // max(1, index.pivots.shape[1]))
-    parts = []
+    numbers = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    known, parts = (index.pivots, index.near, index.far), []
     for block in _blocks(queries, max(1, -(-numbers // broadcast_numbers))):
-        rows = block.collect()
-        if not rows:
+        rows = block.toArrow()
+        if not rows.num_rows:
             continue
-        query_ids, points = np.array([r["query_id"] for r in rows], object), _matrix([r["embedding"] for r in rows])
-        d, low = index.bounds(points)
-        # the cells next to a query, as many as hold k vectors
-        order = np.argsort(d, axis=1, kind="stable")
-        before = np.cumsum(index.held[order], axis=1) - index.held[order]
-        first = np.zeros(d.shape, bool)
-        np.put_along_axis(first, order, before < k, axis=1)
-        none = np.full(len(points), np.inf)
-
-        def search(allowed, limit):
-            sent = spark.sparkContext.broadcast((query_ids, points, allowed, low, limit))
-            return lambda batches: _search_cells(batches, *sent.value, k, compared)
-
-        close = written(index.rows.mapInPandas(search(first, none), schema), "close")
-        reached = close.groupBy("query_id").agg(F.sort_array(F.collect_list("distance")).alias("d")).select(
-            "query_id", F.get("d", F.lit(k - 1)).alias("limit")).where("limit IS NOT NULL").collect()
-        at = {r["query_id"]: r["limit"] for r in reached}
-        limit = np.array([at.get(q, np.inf) for q in query_ids]) + 10.0 ** -SCORE_PLACES
-        parts += [close, index.rows.mapInPandas(search(~first, limit), schema)]
-    near = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
-    return _best(near, k, F.asc("distance")).select("query_id", "rank", "chunk_id", "distance")
+        query_ids, points = np.array(rows.column("query_id").to_pylist(), object), _matrix(rows.column("embedding").to_pandas())
+        nearest, first = index.close(points, k)
+        sent = spark.sparkContext.broadcast((points, known, nearest, first))
+
+        def closest(batches, sent=sent):
+            best = _search_cells(batches, *sent.value, None, k, compared)
+            yield pd.DataFrame({"place": best.query.astype("int32"), "distance": best.value})
+
+        reached = index.rows.mapInPandas(closest, "place int, distance double").groupBy("place").agg(
+            F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("limit")).where("limit IS NOT NULL").toArrow()
+        limit = np.full(len(points), np.inf)
+        limit[reached.column("place").to_numpy()] = reached.column("limit").to_numpy() + 10.0 ** -SCORE_PLACES
+        bounds = spark.sparkContext.broadcast((query_ids, limit))
+
+        def search(batches, sent=sent, bounds=bounds):
+            query_ids, limit = bounds.value
+            yield _search_cells(batches, *sent.value, limit, k, compared).frame(query_ids, ("query_id", "chunk_id", "distance"))
+
+        found = _best(index.rows.mapInPandas(search, schema), k, F.asc("distance"))
+        parts.append(written(found.select("query_id", "rank", "chunk_id", "distance"), "nearest"))
+        sent.destroy()
+        bounds.destroy()
+    return reduce(DataFrame.unionAll, parts) if parts else nothing
 
 
 # Context -------------------------------------------------------------------------------------------------------------

@@ -249,6 +249,23 @@ def test_rows_with_the_same_roll_keep_their_own_chunk(spark):
     assert all(r["score"] <= 1 for r in best)
 
 
+def test_every_copy_asks_but_few_pairs_are_compared(spark):
+    """Many equal vectors, and ids that occur twice: the k lowest ids of equal vectors are enough for all queries."""
+    rng = np.random.default_rng(5)
+    points = rng.permutation(np.concatenate([np.ones((900, 4)), np.full((300, 4), 1 + 1e-7), rng.normal(size=(60, 4))]))
+    rows = [(i // 2 if i < 20 else i, [float(x) for x in p]) for i, p in enumerate(points)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+    got = V.knn_topk(V.cells(vectors, 30), vectors.withColumnRenamed("chunk_id", "query_id"), 3, compared=seen)
+    best = {}
+    for q, p in rows:
+        apart = np.round(np.square(points - np.array(p)).sum(axis=1), 9)
+        best.setdefault(q, []).extend(sorted(zip(apart.tolist(), [i for i, _ in rows]))[:3])
+    expected = [(q, r + 1, i, round(d, 6)) for q, near in best.items() for r, (d, i) in enumerate(sorted(near)[:3])]
+    assert found(got, "distance") == sorted(expected)
+    assert 0 < seen.value < 0.1 * len(rows) ** 2
+
+
 def test_knn_query_asks_for_every_vector(spark, tmp_path):
     """The query and its SQL; the ids begin anywhere and none of them need be divisible by anything."""
     from cohort.plans.oracles import ORACLE_SQL
