@@ -576,10 +576,10 @@ class Cells:
             d, _ = _apart(some, np.square(some).sum(axis=1), self.pivots)
             order = np.argsort(d, axis=1, kind="stable")[:, :k]       # a cell holds its pivot at least
             before = np.cumsum(self.held[order], axis=1) - self.held[order]
-            cells = np.full((len(d), k), -1, "int32")
-            cells[:, :order.shape[1]] = np.where(before < k, order, -1)
+            chosen = np.full((len(d), k), -1, "int32")
+            chosen[:, :order.shape[1]] = np.where(before < k, order, -1)
             nearest.append(d.min(axis=1))
-            first.append(cells)
+            first.append(chosen)
         return np.concatenate(nearest), np.concatenate(first)
 
 
@@ -604,7 +604,8 @@ def cells(vectors: DataFrame, pivots: int = PIVOTS) -> Cells | None:
             yield batch.assign(cell=cell.astype("int32"), far=np.sqrt(np.square(found - points[cell]).sum(axis=1)))
 
     schema = f"{vectors.select('chunk_id').schema.simpleString()[7:-1].replace(':', ' ', 1)}, embedding {vectors.schema['embedding'].dataType.simpleString()}, cell int, far double"
-    files = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, vectors.rdd.getNumPartitions())
+    spark = vectors.sparkSession
+    files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = written(vectors.mapInPandas(place, schema).repartitionByRange(files, "cell", F.xxhash64("chunk_id")), "cells")
     held, near, far = np.zeros(len(points)), np.full(len(points), np.inf), np.zeros(len(points))
     for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect():
@@ -631,7 +632,7 @@ def _search_cells(batches, points: np.ndarray, known: tuple, nearest: np.ndarray
                 # a vector is between near and far from its pivot, and no nearer to the pivot next to the query than to its own
                 (d,), (room,) = (x.T for x in _apart(points, squares, pivots[c:c + 1]))
                 low = np.maximum(np.maximum(d - far[c], near[c] - d), (d - nearest) / 2) - room
-                asked = np.flatnonzero(np.square(np.maximum(0, low)) <= now)
+                asked = np.flatnonzero(np.square(np.maximum(0, low)) <= now + 10.0 ** -SCORE_PLACES)
             if not len(asked):
                 continue
             found = _matrix(embeddings[own])
